@@ -38,9 +38,10 @@ def rates(docs: DataFrame, source_col: str = "source", weights: Mapping[str, flo
         n = n.join(given, "__source", "left").fillna(0.0, ["__w"])
     else:
         n = n.withColumn("__w", F.pow("__n", F.lit(float(temperature))))
-    sums = n.agg(F.sum("__w").alias("__all_w"), F.sum("__n").alias("__all_n"))
-    wanted = F.lit(float(total)) if total is not None else F.col("__all_n")
-    rate = n.crossJoin(F.broadcast(sums)).withColumn("__rate", F.when(F.col("__all_w") > 0, wanted * F.col("__w") / F.col("__all_w") / F.col("__n")).otherwise(0.0))  # sums has one row
+    n = stage(n, "source-counts")
+    all_w, all_n = n.agg(F.coalesce(F.sum("__w"), F.lit(0.0)), F.coalesce(F.sum("__n"), F.lit(0.0))).first()
+    wanted = float(total) if total is not None else all_n
+    rate = n.withColumn("__rate", F.lit(wanted) * F.col("__w") / F.lit(all_w or 1.0) / F.col("__n"))
     # Terms far beyond the mean that no 48-bit uniform number reaches are left off; the last count takes what is left.
     last = F.ceil(F.col("__rate") + 12 * F.sqrt("__rate") + 40).cast("int")
     start = F.struct(F.lit(0.0).alias("logf"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))

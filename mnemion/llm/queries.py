@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemion.llm.bpe import bpe_encode
-from mnemion.llm.common import read
+from mnemion.llm.common import bucket_of_id, read
 from mnemion.llm.exact_dedup import exact_dedup
+from mnemion.llm.html_extract import extract_pages
 from mnemion.llm.mixing import mix_sources
 from mnemion.llm.mixing import oracle as mixing_oracle
 from mnemion.llm.pii import find_pii
+from mnemion.llm.secrets import find_secrets
+from mnemion.llm.toxicity import score_toxicity, train
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -25,6 +28,22 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grammar is learned from the rows that aren't held out."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = bucket_of_id(F.col("doc_id"), 5) == 0
+    grammar = train(docs.where(~held_out), labels.where(~held_out))
+    return score_toxicity(docs.select("doc_id", "text", held_out.alias("held_out")), grammar, keep=("held_out",))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
     return mix_sources(docs).select("doc_id", "source", "copy", "copies", F.round("rate", 9).alias("rate"))
@@ -43,7 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_mix_sources": op6_mix_sources, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_extract_pages": op1_extract_pages, "op3_secrets": op3_secrets, "op5_toxicity": op5_toxicity, "op6_mix_sources": op6_mix_sources, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_exact_dedup": op10_exact_dedup}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
