@@ -14,6 +14,7 @@ from mnemion.llm.exact_dedup import exact_dedup
 from mnemion.llm.html_extract import extract_pages
 from mnemion.llm.mixing import mix_sources
 from mnemion.llm.mixing import oracle as mixing_oracle
+from mnemion.llm.near_dedup import near_dedup
 from mnemion.llm.pii import find_pii
 from mnemion.llm.secrets import find_secrets
 from mnemion.llm.toxicity import score_toxicity, train
@@ -32,6 +33,10 @@ def op1_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read(spark, sf_dir, "documents"), words=2)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
@@ -62,7 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_extract_pages": op1_extract_pages, "op3_secrets": op3_secrets, "op5_toxicity": op5_toxicity, "op6_mix_sources": op6_mix_sources, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_extract_pages": op1_extract_pages, "op2_near_dedup": op2_near_dedup, "op3_secrets": op3_secrets, "op5_toxicity": op5_toxicity, "op6_mix_sources": op6_mix_sources, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_exact_dedup": op10_exact_dedup}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
