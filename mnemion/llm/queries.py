@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemion.llm.ann import search
 from mnemion.llm.bpe import bpe_encode
 from mnemion.llm.common import bucket_of_id, read
 from mnemion.llm.exact_dedup import exact_dedup
@@ -41,6 +42,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grammar is learned from the rows that aren't held out."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -67,7 +73,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_extract_pages": op1_extract_pages, "op2_near_dedup": op2_near_dedup, "op3_secrets": op3_secrets, "op5_toxicity": op5_toxicity, "op6_mix_sources": op6_mix_sources, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_extract_pages": op1_extract_pages, "op2_near_dedup": op2_near_dedup, "op3_secrets": op3_secrets, "op4_nearest": op4_nearest, "op5_toxicity": op5_toxicity, "op6_mix_sources": op6_mix_sources, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_exact_dedup": op10_exact_dedup}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
