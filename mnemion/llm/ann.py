@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemion.llm.common import salt, schema, stage
+from mnemion.llm.common import hashed_sample, salt, schema, stage
 
-SAMPLE_ROWS = 20_000  # vectors that the index is fitted on, those with the smallest hash of their id
+SAMPLE_ROWS = 20_000  # vectors that the index is fitted on, chosen by a hash of their id
 CELLS = 128  # coarse centroids at most
 SUBSPACES = 16
 CODES = 64  # codewords a subspace
@@ -79,8 +79,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
 
 
 def fit(vectors: DataFrame, rows: int = SAMPLE_ROWS) -> Index | None:
-    """An index fitted on at most `rows` of the (id, v) rows; None without rows."""
-    sample = [r.v for r in vectors.orderBy(F.xxhash64("id"), "id").limit(rows).select("v").collect()]
+    """An index fitted on about `rows` of the (id, v) rows, at most twice as many; None without rows."""
+    sample = [r.v for r in hashed_sample(vectors, "id", rows).select("v").collect()]
     if not sample:
         return None
     x = np.array(sample, np.float64)

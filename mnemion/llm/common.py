@@ -69,5 +69,17 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: list[str], spread: str
     return left.join(spread_right, [*key, "__salt"], how).drop("__salt")
 
 
+def hashed_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """About `rows` rows of df, at most twice as many: those whose hashed id is below a threshold set by the number of rows.
+
+    Nothing is sorted or gathered to choose them. Meant for fitting models on a bounded sample.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    share = rows / n
+    return df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(2 * rows)
+
+
 def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)

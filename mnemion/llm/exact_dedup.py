@@ -111,8 +111,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical after lower-casing A-Z; null counts as empty. The largest id of equal texts stays. Rows
-    that repeat an id with the same text count in group_size and share kept. Null ids never stay if another row has an id;
-    their row is returned with a null id, kept false. An empty table gives an empty result. Other columns are left aside.
+    that repeat an id with the same text count in group_size and share kept. A null id is the least: it stays only where no
+    equal text has an id. An empty table gives an empty result. Other columns are left aside.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     hashed = texts.withColumn("text_sha256", F.sha2(lower_ascii(F.col("__text")).cast("binary"), 256))
@@ -124,7 +124,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         rows = found.drop("keep_id", "__keep_sha", "group_size").join(differ.withColumn("__other", F.lit(1)), ["__id", "text_sha256"], "left")
         found = _groups(rows.withColumn("__class", F.when(F.col("__other") == 1, F.col("text_sha256")).otherwise("")), ["__fp", "__bytes", "__class"])
     return found.select(
-        F.col("__id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.coalesce(F.col("__id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
+        F.col("__id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
@@ -145,3 +145,15 @@ def _differing(texts: DataFrame, found: DataFrame) -> DataFrame:
     theirs = members.select("keep_id", "__keep_sha", "__salt").distinct().join(theirs, ["keep_id", "__keep_sha"])
     pairs = mine.join(theirs, ["keep_id", "__keep_sha", "__salt", "__k"], "left")
     return pairs.where(~F.col("__part").eqNullSafe(F.col("__theirs"))).select(*key).distinct()
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all its columns: one row of each text, that with the largest id."""
+    found = exact_dedup(docs, id_col, text_col).where("kept")
+    keys = found.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__n"))
+    keys = stage(keys, "kept")
+    mine = docs.withColumn("__own", F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
+    out = mine.join(keys, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
+    if not keys.where("__n > 1").isEmpty():  # whole rows are repeated
+        out = out.dropDuplicates([id_col, "__own"])
+    return out.select(*docs.columns)

@@ -13,6 +13,7 @@ from mnemion.llm.bpe import bpe_encode
 from mnemion.llm.common import bucket_of_id, read
 from mnemion.llm.exact_dedup import exact_dedup
 from mnemion.llm.html_extract import extract_pages
+from mnemion.llm.lm_score import lm_scores
 from mnemion.llm.mixing import mix_sources
 from mnemion.llm.mixing import oracle as mixing_oracle
 from mnemion.llm.near_dedup import near_dedup
@@ -60,6 +61,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "source", "copy", "copies", F.round("rate", 9).alias("rate"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"), bucket_of_id(F.col("doc_id"), 7) != 2)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(read(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -73,7 +78,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_extract_pages": op1_extract_pages, "op2_near_dedup": op2_near_dedup, "op3_secrets": op3_secrets, "op4_nearest": op4_nearest, "op5_toxicity": op5_toxicity, "op6_mix_sources": op6_mix_sources, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_extract_pages": op1_extract_pages, "op2_near_dedup": op2_near_dedup, "op3_secrets": op3_secrets, "op4_nearest": op4_nearest, "op5_toxicity": op5_toxicity, "op6_mix_sources": op6_mix_sources, "op7_lm_scores": op7_lm_scores, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_exact_dedup": op10_exact_dedup}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

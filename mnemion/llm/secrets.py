@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemion.llm.common import hashed_sample
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
@@ -49,7 +51,7 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["all"])).otherwise(none)
 
 
-def samples(docs: DataFrame, text_col: str = "text", random_strings: int = RANDOM_STRINGS, word_rows: int = WORD_ROWS) -> DataFrame:
+def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", random_strings: int = RANDOM_STRINGS, word_rows: int = WORD_ROWS) -> DataFrame:
     """(token, label): labelled samples. 1: strings drawn by digests in four alphabets; 0: words of a bounded, hashed sample of rows.
 
     Words inside a base match are left out of label 0.
@@ -60,8 +62,7 @@ def samples(docs: DataFrame, text_col: str = "text", random_strings: int = RANDO
     text = F.base64(F.unhex(digest))
     made = F.when(kind == 0, F.substring(digest, 1, 40)).when(kind == 1, F.substring(text, 1, 44)).when(kind == 2, F.substring(F.upper(F.regexp_replace(text, "[+/=]", "")), 1, 24)).otherwise(F.substring(F.regexp_replace(text, "[+/=]", ""), 1, 32))
     random = spark.range(random_strings).select(made.alias("token"), F.lit(1).alias("label"))
-    rows = docs.select(F.col(text_col).cast("string").alias("__text")).where("__text is not null")
-    rows = rows.orderBy(F.xxhash64("__text"), "__text").limit(word_rows)
+    rows = hashed_sample(docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")), "__id", word_rows).where("__text is not null")
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("__text"), ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = rows.select(F.explode(F.regexp_extract_all(clean, F.lit("[A-Za-z0-9+/_=-]{3,}"), F.lit(0))).alias("token"))
     # Ordinary identifiers are words, alone and joined as code and paths join them.
@@ -98,7 +99,7 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, id_col: str
     samples(docs). Repeated rows are each searched; null ids are passed through; other columns are left aside; an empty
     table gives an empty result.
     """
-    model = train(samples(docs, text_col)) if model is None else model
+    model = train(samples(docs, id_col, text_col)) if model is None else model
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")  # folded to a constant
     text = F.col("__text")
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))

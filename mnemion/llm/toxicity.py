@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemion.llm.common import schema
+from mnemion.llm.common import hashed_sample, schema
 
-SAMPLE_ROWS = 6000  # labelled rows that are learned from, those with the smallest hash of their id
+SAMPLE_ROWS = 6000  # labelled rows that are learned from, chosen by a hash of their id
 LEAST_TEXTS = 3  # toxic texts that a learned pattern is in
 LEAST_GAIN = 14.0  # its log-likelihood gain over texts (G^2)
 LEAST_RATIO = 4.0  # its rate in toxic texts over that in others
@@ -160,11 +160,11 @@ def patterns_of(text: str) -> Counter:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(__text, label) of at most `rows` labelled rows; the ids are chosen first, so only their texts move."""
+    """(__text, label) of about `rows` labelled rows, at most twice as many; the ids are chosen first, so only their texts move."""
     ids = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and __id is not null")
-    ids = ids.groupBy("__id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    ids = hashed_sample(ids.groupBy("__id").agg(F.max("label").alias("label")), "__id", rows)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    return texts.join(F.broadcast(ids), "__id").select("__text", "label")  # at most `rows` pairs of numbers are broadcast
+    return texts.join(F.broadcast(ids), "__id").select("__text", "label")  # at most 2 * rows pairs of numbers are broadcast
 
 
 def learn_patterns(sample: DataFrame) -> dict[str, float]:
@@ -263,3 +263,16 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", te
 
     types = {f.name: f.dataType.simpleString() for f in kept.schema}
     return kept.mapInArrow(run, schema(", ".join([f"`{id_col}` long", *(f"`{k}` {types[k]}" for k in keep), "score double", "predicted int"])))
+
+
+def drop_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """docs, with all its columns, without the rows whose text scores `least` or more. Null and empty texts are scored as such."""
+    known, coefficients = grammar.learned, grammar.coefficients
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = Grammar(known, coefficients)
+        for b in batches:
+            yield b.filter(pa.array([g.score(x or "") < least for x in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
