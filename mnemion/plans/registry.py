@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemion.plans import temporal
+from mnemion.plans import graph, temporal
 
-MODULES = (temporal,)
+MODULES = (temporal, graph)
 
 
 def queries() -> dict:
