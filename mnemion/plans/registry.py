@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemion.plans import graph, temporal
+from mnemion.plans import documents, graph, operations, retrieval, temporal
 
-MODULES = (temporal, graph)
+MODULES = (temporal, graph, retrieval, documents, operations)
 
 
 def queries() -> dict:
