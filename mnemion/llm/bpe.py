@@ -25,7 +25,7 @@ from mnemion.llm.common import schema
 
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 SHORT = 40  # bytes of a word that is merged without a heap
 CACHED_CHARS = 64  # longer words are split each time
 ROWS = 256  # texts handled at once

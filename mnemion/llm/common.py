@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemion.sources.staging import shared_dir, stage
+
+__all__ = ["LOWER_BYTES", "SALTS", "UPPER", "bucket_of_id", "hashed_sample", "lower_ascii", "read", "salt", "schema", "shared_dir", "stage"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes.translate table that lower-cases A-Z only; safe on UTF-8, whose other letters have no byte below 0x80.
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -20,26 +21,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/mnemion-checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    Cuts the lineage (a lost executor costs a re-read, not the whole job) and gives the planner true sizes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mnemion/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
@@ -48,27 +29,11 @@ def salt(c: Column, n: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
 
-def all_of(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, cols)
-
-
 def bucket_of_id(c: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; a null id is in bucket 0."""
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: list[str], spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join left, whose keys may be very uneven, to right, which has one row per key.
-
-    left's rows of a key are dealt over `salts` sub-keys by a hash of `spread`; right's row goes only to the sub-keys that
-    left uses, so a rare key costs one copy and a hot one at most `salts`. The used sub-keys come from a partial aggregation.
-    """
-    left = left.withColumn("__salt", salt(F.col(spread), salts))
-    used = left.select(*key, "__salt").distinct()
-    spread_right = used.join(right, key)
-    return left.join(spread_right, [*key, "__salt"], how).drop("__salt")
-
-
 def hashed_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     """About `rows` rows of df, at most twice as many: those whose hashed id is below a threshold set by the number of rows.
 

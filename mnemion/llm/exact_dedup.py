@@ -23,7 +23,7 @@ COMPARE = 16384  # code points compared at once
 SALTS = 512
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (1103515245, 1566083941)
-SLICE = 4 << 20  # bytes handled by one numpy pass
+SLICE = 1 << 20  # bytes handled by one numpy pass
 
 
 def powers(base: int, prime: int, n: int) -> np.ndarray:
