@@ -39,7 +39,7 @@ def chunks(c: Column, size: int) -> Column:
 
 def packed(c: Column, size: int) -> Column:
     """Paragraphs (split at blank lines) packed greedily up to `size` characters, not counting the joints."""
-    parts = F.filter(F.transform(F.split(c, r"\n\s*\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"), F.lit(0).alias("n"))
 
     def step(acc: Column, p: Column) -> Column:

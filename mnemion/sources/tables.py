@@ -45,7 +45,7 @@ def knowledge_edges(spark: SparkSession, folder: str) -> DataFrame:
 def text_files(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """(path, modified, length, content, format) of local or remote files, for incremental scans by content hash."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("modificationTime").alias("modified"), "length", F.decode("content", F.lit("UTF-8")).alias("content"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("format"))
+    return files.select("path", F.col("modificationTime").alias("modified"), "length", F.decode("content", "UTF-8").alias("content"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("format"))
 
 
 def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
