@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark then removes a statement's shuffle files when it ends, and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
@@ -16,12 +21,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    Cuts the lineage (a lost executor costs a re-read, not the whole job) and gives the planner true sizes.
+    Cuts the lineage (a lost executor costs a re-read, not the whole job) and gives the planner true sizes. The shuffle
+    files of the write are of no more use once the table is there.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mnemion/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _setting(spark, CLEANUP, "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if not files:
+            continue
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
