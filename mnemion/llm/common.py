@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemion.sources.staging import shared_dir, stage
+from mnemion.sources.staging import discard, shared_dir, stage
 
-__all__ = ["LOWER_BYTES", "SALTS", "UPPER", "bucket_of_id", "hashed_sample", "lower_ascii", "read", "salt", "schema", "shared_dir", "stage"]
+__all__ = ["LOWER_BYTES", "SALTS", "UPPER", "bucket_of_id", "discard", "hashed_sample", "lower_ascii", "read", "salt", "schema", "shared_dir", "stage"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes.translate table that lower-cases A-Z only; safe on UTF-8, whose other letters have no byte below 0x80.
