@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from mnemion.sources.staging import discard, shared_dir, stage
 
-__all__ = ["LOWER_BYTES", "SALTS", "UPPER", "bucket_of_id", "discard", "hashed_sample", "lower_ascii", "read", "salt", "schema", "shared_dir", "stage"]
+__all__ = ["LOWER_BYTES", "SALTS", "UPPER", "bucket_of_id", "discard", "hashed_sample", "lower_ascii", "packed", "read", "salt", "schema", "shared_dir", "stage"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes.translate table that lower-cases A-Z only; safe on UTF-8, whose other letters have no byte below 0x80.
@@ -25,6 +25,11 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def salt(c: Column, n: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemion.llm.common import LOWER_BYTES, lower_ascii, salt, schema, stage
+from mnemion.llm.common import LOWER_BYTES, lower_ascii, packed, salt, schema, stage
 
 CHUNK = 1024  # bytes hashed at once
 COMPARE = 16384  # code points compared at once
@@ -152,8 +152,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = exact_dedup(docs, id_col, text_col).where("kept")
     keys = found.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__n"))
     keys = stage(keys, "kept")
-    mine = docs.withColumn("__own", F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
-    out = mine.join(keys, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
+    # Rows travel as one column, so that theirs can have any names.
+    mine = docs.select(packed(docs).alias("__row"), F.col(id_col).cast("long").alias("__mine"), F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256).alias("__own"))
+    out = mine.join(keys, F.col("__mine").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
     if not keys.where("__n > 1").isEmpty():  # whole rows are repeated
-        out = out.dropDuplicates([id_col, "__own"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["__mine", "__own"])
+    return out.select("__row.*")
