@@ -78,7 +78,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not DIGIT.search(text):
         return out
     if "." in text:
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(x := x.lstrip("0")) < 4 and int(x or 0) < 256 for x in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(n := x.lstrip("0")) < 4 and int(n or 0) < 256 for x in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := m[0].translate(DIGITS)) <= 19 and luhn(d):
             out.append(("card", m.start(), m.end()))
