@@ -3,7 +3,9 @@
 Coarse centroids and, on the residuals, one codebook a subspace are fitted on a bounded sample. Every vector is normalised,
 assigned to its nearest centroid and encoded. A query goes to the cells of its nearest centroids; there a table of
 distances from its residual to every codeword gives approximate distances to all codes by lookups, and the best are
-reranked on the original vectors in double precision. Cells are cut in blocks of bounded size by a hash, so a popular cell
+reranked on the original vectors in double precision, and after them every other that can still be among the nearest: an
+entry is no nearer than its approximate distance less its own quantisation error. So the result is exact for the probed
+cells, also where many close vectors share a code. Cells are cut in blocks of bounded size by a hash, so a popular cell
 is many tasks; equal vectors are one entry that keeps its smallest ids, so copies neither crowd a cell nor a result.
 """
 
@@ -26,7 +28,9 @@ SUBSPACES = 16
 CODES = 64  # codewords a subspace
 PROBES = 0.7  # share of the cells that a query goes to, and at least LEAST_PROBES
 LEAST_PROBES = 8
-RERANK = 128  # candidates of a block that are reranked
+RERANK = 128  # candidates of a block that are reranked at first, and then at a time as long as others may be nearer
+SLACK = 1e-6  # above the rounding errors of distances between unit vectors
+TIES = 1e-12  # above those of cosines
 BLOCK = 4096  # entries of a cell in one task
 QUERY_BLOCK = 1024  # queries that meet a block in one task
 
@@ -54,12 +58,43 @@ class Index:
             codes[:, j] = ((book**2).sum(1) - 2 * parts[:, j] @ book.T).argmin(1)
         return codes
 
+    def errors(self, residuals: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The distance of each residual from what its code stands for."""
+        return np.linalg.norm(self.parts(residuals) - self.books[np.arange(len(self.books)), codes], axis=(1, 2))
+
     def tables(self, residuals: np.ndarray) -> np.ndarray:
         """(n, subspaces, codes): squared distances of each part to each codeword."""
         parts = self.parts(residuals)
         return ((parts[:, :, None, :] - self.books[None]) ** 2).sum(-1)
 
 
+def nearest(x: np.ndarray, q: np.ndarray, approximate: np.ndarray, errors: np.ndarray, n: int) -> np.ndarray:
+    """Of the unit vectors x the places of the n that are nearest to q, and of all that tie with the last.
+
+    RERANK and then slices of it are compared exactly, by approximate distance less error, until no other can be as near.
+    """
+    if len(x) <= n:
+        return np.arange(len(x))
+    cosines = np.full(len(x), -np.inf)
+    first = max(RERANK, n)
+    near = np.argpartition(approximate, first - 1)[:first] if first < len(x) else np.arange(len(x))
+    cosines[near] = x[near] @ q
+    least = np.partition(cosines[near], len(near) - n)[len(near) - n]
+    bounds = approximate - errors
+    bounds[near] = np.inf
+    reach = lambda c: np.sqrt(max(0.0, 2 - 2 * c)) + SLACK
+    others = np.flatnonzero(bounds <= reach(least))
+    others = others[np.argsort(bounds[others], kind="stable")]
+    for at in range(0, len(others), first):
+        part = others[at : at + first]
+        if bounds[part[0]] > reach(least):
+            break
+        cosines[part] = x[part] @ q
+        near = np.flatnonzero(cosines >= least - TIES)
+        least = np.partition(cosines[near], len(near) - n)[len(near) - n]
+    return np.flatnonzero(cosines >= least - TIES)
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
     distinct = np.unique(x, axis=0)
@@ -164,13 +199,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         x, q = np.stack(entry["v"].to_numpy()), np.stack(query["v"].to_numpy())
         codes = np.frombuffer(b"".join(entry["code"]), np.uint8).reshape(len(x), -1)
         x_norm, q_norm = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-        tables = ix.tables(q / q_norm[:, None] - ix.centroids[entry["cell"].iloc[0]])
+        centre = ix.centroids[entry["cell"].iloc[0]]
+        units = x / x_norm[:, None]
+        errors = ix.errors(units - centre, codes)
+        tables = ix.tables(q / q_norm[:, None] - centre)
         ids = entry["ids"].to_numpy()
         found: list[tuple[int, int, float]] = []
-        top = min(RERANK, len(x))
         for i, own in enumerate(query["id"].to_numpy()):
             approximate = tables[i][np.arange(codes.shape[1]), codes].sum(1)
-            near = np.argpartition(approximate, top - 1)[:top] if top < len(x) else np.arange(len(x))
+            # One entry more than wanted, as one may hold nothing but the query's own id.
+            near = nearest(units, q[i] / q_norm[i], np.sqrt(approximate), errors, k + 1)
             # Summed in one order whatever the block, so that equal vectors get equal scores.
             scores = np.array([np.dot(x[j], q[i]) for j in near]) / (x_norm[near] * q_norm[i])
             mine = [(s, v) for s, j in zip(scores, near, strict=True) for v in ids[j] if v != own]
