@@ -218,6 +218,15 @@ def test_mixing_meets_targets_and_repeats(spark):
     assert mixing.mix_sources(d, weights={"small": 1.0}).select("source").distinct().collect()[0].source == "small"
 
 
+def test_mixing_query_replicates_whole_documents(spark):
+    got = queries()["op6_mix_sources"](spark, TESTDATA)
+    [folder] = {f.rsplit("/", 1)[0] for f in got.inputFiles()}
+    mixed = spark.read.parquet(folder)
+    d = spark.read.parquet(f"{TESTDATA}/documents.parquet")
+    assert set(d.columns) <= set(mixed.columns) and mixed.count() == got.count()
+    assert set(map(tuple, mixed.select(*d.columns).collect())) <= set(map(tuple, d.collect()))
+
+
 def test_main_text():
     page = html_extract.main_text
     body = "First paragraph, with commas, and more of them, so that it is long enough to count for something."
