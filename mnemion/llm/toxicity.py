@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,7 +40,7 @@ REPORTS = "said says say saying claimed claims wrote writes called calls quoted
 INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, STOP, OTHER = range(8)
 LEET = str.maketrans("013457@$", "oieastas")
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:\n]|[\"“”«»]")
-CLAUSE_WORDS = 24  # a clause without punctuation ends here
+CLAUSE_WORDS = 24  # in a longer clause a hit sees what is fewer words away, and matches are counted together that are
 
 
 @dataclass
@@ -88,23 +88,34 @@ class Grammar:
 
     def clauses(self, text: str) -> tuple[list[tuple[float, int, str]], int]:
         """((score, hits, patterns) of each matched clause, number of words)."""
-        # Transducers: target (seen or not), negation (words since), report (of the clause), quotation (open or not).
+        # Transducers: target and report (words since, and hits that one may still follow), negation (words since), quotation
+        # (open or not). Their states run through the whole clause; hits wait until nothing ahead is near enough.
         out, words = [], 0
-        hits: list[tuple[int, float, str, bool, bool]] = []
-        target, since_negation, reported, quoted, length = False, 99, False, False, 0
+        waiting: deque[list] = deque()  # of hits: place, kind, weight, name, target near, report near
+        group: list = []  # place of the first hit, score, names
+        far = -CLAUSE_WORDS
+        target = report = negation = far
+        quoted, length = False, 0
+
+        def emit(hit: list) -> None:
+            nonlocal group
+            place, kind, weight, name, targeted, reported = hit
+            if kind == THREAT and not targeted:
+                return
+            weight *= self.targeted if targeted else 1.0
+            weight *= self.reported if reported else 1.0
+            if group and place - group[0] >= CLAUSE_WORDS:
+                close()
+            if not group:
+                group = [place, 0.0, []]
+            group[1] += weight
+            group[2].append(name)
 
         def close() -> None:
-            total, n, names = 0.0, 0, []
-            for kind, weight, name, negated, spoken in hits:
-                if kind == THREAT and not target:
-                    continue
-                weight *= self.targeted if target else 1.0
-                weight *= self.negated if negated else 1.0
-                weight *= self.reported if spoken or reported else 1.0
-                total, n = total + weight, n + 1
-                names.append(name)
-            if n:
-                out.append((total, n, " ".join(names)))
+            nonlocal group
+            if group:
+                out.append((group[1], len(group[2]), " ".join(group[2])))
+                group = []
 
         symbol = self.symbol
         for word in TOKEN.findall(text.lower()):
@@ -112,27 +123,34 @@ class Grammar:
             if kind != STOP and kind != QUOTE:
                 words += 1
                 length += 1
-                since_negation += 1
-            if kind == OTHER and length < CLAUSE_WORDS:
+            if kind == OTHER:
                 continue
+            while waiting and length - waiting[0][0] >= CLAUSE_WORDS:
+                emit(waiting.popleft())
             if kind <= THREAT:
-                hits.append((kind, weight, name, since_negation <= 4, quoted))
+                weight *= self.negated if length - negation <= 4 else 1.0
+                waiting.append([length, kind, weight, name, length - target < CLAUSE_WORDS, quoted or length - report < CLAUSE_WORDS])
             elif kind == TARGET:
-                target = True
-            elif kind == NEGATION:
-                since_negation = 0
+                target = length
+                for hit in waiting:
+                    hit[4] = True
             elif kind == REPORT:
-                reported = True
+                report = length
+                for hit in waiting:
+                    hit[5] = True
+            elif kind == NEGATION:
+                negation = length
             elif kind == QUOTE:
                 quoted = not quoted
-            if kind == STOP or length >= CLAUSE_WORDS:
-                if hits:
-                    close()
-                    hits = []
-                target, since_negation, reported, length = False, 99, False, 0
-                quoted = quoted and kind != STOP
-        if hits:
-            close()
+            else:
+                while waiting:
+                    emit(waiting.popleft())
+                close()
+                target = report = negation = far
+                quoted, length = False, 0
+        while waiting:
+            emit(waiting.popleft())
+        close()
         return out, words
 
     def features(self, text: str) -> list[float]:

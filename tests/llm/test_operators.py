@@ -307,6 +307,18 @@ def test_toxic_clauses():
     assert strength("what an 1d1ot") > 0 and 0 <= g.score("") < 0.5
 
 
+def test_toxic_clauses_have_no_boundary_without_punctuation():
+    g = toxicity.Grammar()
+    strength = lambda x: sum(s for s, _, _ in g.clauses(x)[0])
+    for sentence in ("i will kill you", "you are an idiot", "you are not an idiot", "he said an idiot was here", "kill it and then go and find all of them"):
+        want = strength(sentence)
+        # Wherever it is in a long stretch, and whatever is far from it.
+        assert want > 0 and {round(strength("word " * n + sentence + " word" * 60), 9) for n in range(60)} == {round(want, 9)}
+        assert round(strength(sentence + " word" * 40 + " not said them " + "word " * 40 + sentence), 9) == round(2 * want, 9)
+    assert strength("kill " + "word " * 40 + "you") == 0
+    assert g.clauses("idiot " * 100)[0][0][1] == 24 and sum(n for _, n, _ in g.clauses("idiot " * 100)[0]) == 100
+
+
 def test_scores_of_the_language_model(spark):
     d = spark.read.parquet(f"{TESTDATA}/documents.parquet")
     keep = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
