@@ -7,25 +7,24 @@ from pyspark.sql import functions as F
 
 from mnemion.sources.staging import discard, stage
 
+SALTS = 16  # of a node's edges
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable, for each id that has an edge.
 
-    Only minima are aggregated by key, so a hub with very many edges costs one partial aggregate a task; the join that
-    brings a key's minimum back to its edges can be split by Spark where it is uneven. Each step's edges are written down.
+    A node's least neighbour is aggregated by node and salt, then by node, and joined back by both, so a hub with very many
+    edges is many tasks. Each step's edges are written down.
     """
     at = stage(_ordered(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
     before = None
     for _ in range(rounds):
         # Large star: each neighbour that is larger than a node goes to the least of the node and its neighbours.
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = _ordered(large)
         # Small star: a node and its smaller neighbours go to the least of them (edges point from larger to smaller).
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = _with_least(large).select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
         last, at = at, stage(_ordered(small), "edges")
         discard(last)
         now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -37,6 +36,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     return at.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(at.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): the edges with the least v of their u."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    part = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = part.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    return salted.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]).select("u", "v", "m")
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     """Distinct edges from the larger id to the smaller."""
     return edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
