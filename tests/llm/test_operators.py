@@ -408,3 +408,30 @@ def test_pipeline(spark):
             want = brute_components([(r.doc_id, r.text) for r in before.collect()], 5)
             assert {r.doc_id for r in at.collect()} == {i for i, (_, k) in want.items() if i == k}
     assert at.count() == c.run(spark, TESTDATA).count() > 0
+
+
+def test_near_dedup_of_copies_around_a_text_that_is_not_there(spark):
+    """Most copies are unlike each other; some are linked by what they have in common beside it."""
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    base = rng.choices(vocabulary, k=90)
+    families = [[(rng.randrange(90), rng.choice(vocabulary)) for _ in range(rng.randrange(3, 9))] for _ in range(12)]
+    rows = []
+    for i in range(240):
+        x = list(base)
+        changes = [(rng.randrange(90), rng.choice(vocabulary)) for _ in range(rng.randrange(1, 7))]
+        for at, w in changes + (rng.choice(families) if i % 2 else []):
+            x[at] = w
+        rows.append((1000 - i, " ".join(x)))
+    for w in (2, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(docs(spark, rows), words=w).collect()}
+        assert got == brute_components(rows, w)
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choices("abc", k=rng.choice([1, 5, 9, 70, 300]))) for _ in range(200)).encode()
+    whole = near_dedup.word_hashes(text)
+    monkeypatch.setattr(near_dedup, "SLICE", 64)
+    near_dedup.word_powers.cache_clear()
+    assert (near_dedup.word_hashes(text) == whole).all() and len(whole) == 200
