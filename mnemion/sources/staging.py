@@ -22,7 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for a while."""
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
@@ -39,7 +40,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mnemion/{name}-{uuid.uuid4().hex}"
-    with _setting(spark, CLEANUP, "true"):
+    with setting(spark, CLEANUP, "true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
