@@ -1,19 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words pass a lexical transducer that gives each a symbol (insult, threat, target, negation, report, quote, stop, other) and a
-weight. Clauses then run through the composition of five small transducers, which for an insult or a threat emit its weight
-scaled by what the others have seen in the clause: a target raises it, negation and reported speech lower it, and a threat
-counts only with a target. A text's score is a logistic function of its matched clauses, so a word on its own decides
-nothing. The lexicon's seeds are fixed; further words and stems, in any language, are learned from labelled texts by the
-ratio of their rates, and so are the weights. Learning uses at most SAMPLE_ROWS labelled rows.
+Words pass a lexical transducer that gives each a symbol (insult, threat, target, negation, report, quote, link, filler, stop,
+other) and a weight. Small transducers read the symbols, each a table of states: words since a target, since a negation,
+since a reporting verb and since another insult or threat, whether a quotation is open, and whether an insult would be a
+predicate ("you are such a ..."). Their composition, built lazily state by state, runs over a clause from the left, and that
+of those which also look ahead from the right. A hit's weight is scaled by the states that it meets: a target raises it,
+negation and reported speech lower it, and a threat counts only with a target. A clause matches if one of its hits has a
+target, is a predicate or stands beside another hit. Words without such company count only where they come back in several
+clauses, so a word on its own decides nothing. The lexicon's seeds are fixed; further words and stems, in any language, are
+learned from labelled texts by the ratio of their rates, and so are the weights of a text's features. Learning uses at most
+2 * SAMPLE_ROWS labelled rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, deque
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,12 +41,95 @@ THREATS = "kill hurt destroy beat smash shoot stab burn crush murder strangle".s
 TARGETS = "you your yours yourself u ur he she they them him her his their these those people".split()
 NEGATIONS = "not never no isn't aren't wasn't weren't don't doesn't didn't won't can't cannot neither nor without hardly".split()
 REPORTS = "said says say saying claimed claims wrote writes called calls quoted quotes told reported alleged according".split()
-INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, STOP, OTHER = range(8)
+LINKS = "am is are was were be been being i'm you're he's she's it's they're we're bist ist sind seid es est êtes eres son sois".split()
+FILLERS = "a an the such so very really just pure total complete utter absolute nothing but most more all ein eine so sehr un une des très muy tan una".split()
+INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, STOP, LINK, FILLER, OTHER = range(10)
 LEET = str.maketrans("013457@$", "oieastas")
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:\n]|[\"“”«»]")
 CLAUSE_WORDS = 24  # in a longer clause a hit sees what is fewer words away, and matches are counted together that are
 
 
+SLICE = 1 << 20  # characters whose words are listed at once
+SYMBOLS = 10
+WORD_SYMBOLS = [x for x in range(SYMBOLS) if x not in (QUOTE, STOP)]
+
+
+def since(symbols: tuple[int, ...], far: int) -> np.ndarray:
+    """A transducer whose state is the number of words since one of the symbols, at most far."""
+    table = np.empty((far + 1, SYMBOLS), int)
+    for state in range(far + 1):
+        table[state] = min(state + 1, far)
+        table[state, QUOTE] = state
+        table[state, STOP] = far
+        table[state, list(symbols)] = 0
+    return table
+
+
+def quotation() -> np.ndarray:
+    """State 1 inside quotation marks; a stop ends them."""
+    table = np.repeat([[0], [1]], SYMBOLS, axis=1)
+    table[:, QUOTE] = 1, 0
+    table[:, STOP] = 0
+    return table
+
+
+def predicate() -> np.ndarray:
+    """State 1 after a target or link, also with fillers between: what follows is said of someone or something."""
+    table = np.zeros((2, SYMBOLS), int)
+    table[:, [TARGET, LINK]] = 1
+    table[1, [FILLER, QUOTE, NEGATION]] = 1
+    return table
+
+
+BESIDE = 2  # words between two hits of one phrase, and one
+NEGATED = 4  # words that a negation reaches
+
+
+class Composition:
+    """Transducers run side by side. States of the composition are made when they are first met."""
+
+    def __init__(self, tables: list[np.ndarray], start: tuple[int, ...]):
+        self.tables = [t.tolist() for t in tables]
+        self.states = [start]
+        self.number = {start: 0}
+        self.steps: dict[int, int] = {}
+
+    def step(self, state: int, symbol: int) -> int:
+        key = state * SYMBOLS + symbol
+        if (to := self.steps.get(key)) is None:
+            target = tuple(t[s][symbol] for t, s in zip(self.tables, self.states[state], strict=True))
+            to = self.number.setdefault(target, len(self.states))
+            if to == len(self.states):
+                self.states.append(target)
+            self.steps[key] = to
+        return to
+
+    def pause(self, state: int, words: int) -> int:
+        """After so many other words."""
+        for _ in range(min(words, CLAUSE_WORDS)):
+            if (to := self.step(state, OTHER)) == state:
+                break
+            state = to
+        return state
+
+
+#: From the left: target, report, another hit, negation, quotation, predicate. From the right: the first three.
+AROUND = [since((TARGET,), CLAUSE_WORDS), since((REPORT,), CLAUSE_WORDS), since((INSULT, THREAT), BESIDE + 1)]
+LEFT = Composition([*AROUND, since((NEGATION,), NEGATED + 1), quotation(), predicate()], (CLAUSE_WORDS, CLAUSE_WORDS, BESIDE + 1, NEGATED + 1, 0, 0))
+RIGHT = Composition(AROUND, (CLAUSE_WORDS, CLAUSE_WORDS, BESIDE + 1))
+
+
+@dataclass
+class Match:
+    """Hits of a clause that are less than CLAUSE_WORDS apart from the first: matched if one has company."""
+
+    place: int
+    score: float = 0.0
+    mass: float = 0.0  # its hits, scaled alike
+    names: list[str] = field(default_factory=list)
+    matched: bool = False
+
+
 @dataclass
 class Grammar:
     """Weights of words and stems, and of the document features. learned: word, or stem followed by *."""
@@ -50,8 +137,8 @@ class Grammar:
     learned: dict[str, float] = field(default_factory=dict)
     coefficients: tuple[float, ...] = ()
     targeted: float = 1.25
-    negated: float = 0.5
-    reported: float = 0.5
+    negated: float = 0.1
+    reported: float = 0.2
     seen: dict[str, tuple[int, float, str]] = field(default_factory=dict)
 
     def symbol(self, word: str) -> tuple[int, float, str]:
@@ -84,90 +171,103 @@ class Grammar:
             return TARGET, 0.0, ""
         if word in NEGATIONS:
             return NEGATION, 0.0, ""
-        return (REPORT if word in REPORTS else OTHER), 0.0, ""
-
-    def clauses(self, text: str) -> tuple[list[tuple[float, int, str]], int]:
-        """((score, hits, patterns) of each matched clause, number of words)."""
-        # Transducers: target and report (words since, and hits that one may still follow), negation (words since), quotation
-        # (open or not). Their states run through the whole clause; hits wait until nothing ahead is near enough.
-        out, words = [], 0
-        waiting: deque[list] = deque()  # of hits: place, kind, weight, name, target near, report near
-        group: list = []  # place of the first hit, score, names
-        far = -CLAUSE_WORDS
-        target = report = negation = far
-        quoted, length = False, 0
-
-        def emit(hit: list) -> None:
-            nonlocal group
-            place, kind, weight, name, targeted, reported = hit
+        return (REPORT if word in REPORTS else LINK if word in LINKS else FILLER if word in FILLERS else OTHER), 0.0, ""
+
+    def _clause(self, events: list[tuple[int, int, float, str]], out: list[Match]) -> None:
+        """Adds the matches of a clause's symbols (words before, symbol, weight, name) to out."""
+        if not any(e[1] <= THREAT for e in events):
+            return
+        lefts, state = [], 0
+        for gap, kind, _, _ in events:
+            state = LEFT.pause(state, gap)
+            lefts.append(state)
+            state = LEFT.step(state, kind)
+        rights, state = [], 0
+        for gap, kind, _, _ in reversed(events):
+            rights.append(state)
+            state = RIGHT.pause(RIGHT.step(state, kind), gap)
+        rights.reverse()
+        place, group = 0, None
+        for (gap, kind, weight, name), left, right in zip(events, lefts, rights, strict=True):
+            place += gap + (kind != QUOTE)
+            if kind > THREAT:
+                continue
+            target, report, hit, negation, quoted, says = LEFT.states[left]
+            target_after, report_after, hit_after = RIGHT.states[right]
+            # A word at a distance of n has n - 1 others between.
+            targeted = min(target, target_after) < CLAUSE_WORDS - 1
             if kind == THREAT and not targeted:
-                return
-            weight *= self.targeted if targeted else 1.0
-            weight *= self.reported if reported else 1.0
-            if group and place - group[0] >= CLAUSE_WORDS:
-                close()
-            if not group:
-                group = [place, 0.0, []]
-            group[1] += weight
-            group[2].append(name)
-
-        def close() -> None:
-            nonlocal group
-            if group:
-                out.append((group[1], len(group[2]), " ".join(group[2])))
-                group = []
-
-        symbol = self.symbol
-        for word in TOKEN.findall(text.lower()):
-            kind, weight, name = symbol(word)
-            if kind != STOP and kind != QUOTE:
-                words += 1
-                length += 1
-            if kind == OTHER:
                 continue
-            while waiting and length - waiting[0][0] >= CLAUSE_WORDS:
-                emit(waiting.popleft())
-            if kind <= THREAT:
-                weight *= self.negated if length - negation <= 4 else 1.0
-                waiting.append([length, kind, weight, name, length - target < CLAUSE_WORDS, quoted or length - report < CLAUSE_WORDS])
-            elif kind == TARGET:
-                target = length
-                for hit in waiting:
-                    hit[4] = True
-            elif kind == REPORT:
-                report = length
-                for hit in waiting:
-                    hit[5] = True
-            elif kind == NEGATION:
-                negation = length
-            elif kind == QUOTE:
-                quoted = not quoted
-            else:
-                while waiting:
-                    emit(waiting.popleft())
-                close()
-                target = report = negation = far
-                quoted, length = False, 0
-        while waiting:
-            emit(waiting.popleft())
-        close()
+            scale = self.targeted if targeted else 1.0
+            if negation < NEGATED:
+                scale *= self.negated
+            if quoted or min(report, report_after) < CLAUSE_WORDS - 1:
+                scale *= self.reported
+            if group is None or place - group.place >= CLAUSE_WORDS:
+                group = Match(place)
+                out.append(group)
+            group.score += weight * scale
+            group.mass += scale
+            group.names.append(name)
+            group.matched |= bool(targeted or says or min(hit, hit_after) <= BESIDE)
+
+    def matches(self, text: str) -> tuple[list[Match], int]:
+        """(matches of all clauses in order, number of words)."""
+        out: list[Match] = []
+        events: list[tuple[int, int, float, str]] = []
+        words = gap = 0
+        symbol = self.symbol
+        for piece in pieces(text):
+            for word in TOKEN.findall(piece.lower()):
+                kind, weight, name = symbol(word)
+                if kind == OTHER:
+                    gap += 1
+                    words += 1
+                elif kind == STOP:
+                    if events:
+                        self._clause(events, out)
+                        events = []
+                    gap = 0
+                else:
+                    words += kind != QUOTE
+                    events.append((gap, kind, weight, name))
+                    gap = 0
+        self._clause(events, out)
         return out, words
 
+    def clauses(self, text: str) -> tuple[list[tuple[float, int, str]], int]:
+        """((score, hits, patterns) of each match, number of words)."""
+        found, words = self.matches(text)
+        return [(m.score, len(m.names), " ".join(m.names)) for m in found], words
+
     def features(self, text: str) -> list[float]:
-        """Of a text: its clauses' sum, largest, number and rate, and its length."""
-        found, words = self.clauses(text)
-        total = sum(s for s, _, _ in found)
-        n = sum(h for _, h, _ in found)
-        return [1.0, math.log1p(total), max((s for s, _, _ in found), default=0.0), math.log1p(n), min(10.0, 100.0 * n / max(words, 5)), math.log1p(words) / 8, float(n > 0), float(len({p for _, _, p in found}) > 1)]
+        """Of a text: its matches' sum, largest, number and rate, and its length. Hits without company count half, and only if they come back."""
+        found, words = self.matches(text)
+        if len(found) == 1 and not found[0].matched:
+            found = []
+        total = sum(m.score * (1.0 if m.matched else 0.5) for m in found)
+        n = sum(m.mass for m in found)
+        return [1.0, math.log1p(total), max((m.score for m in found), default=0.0), math.log1p(n), min(10.0, 100.0 * n / max(words, 5)), math.log1p(words) / 8, float(n > 0), float(len({p for m in found for p in m.names}) > 1)]
 
     def score(self, text: str) -> float:
         z = sum(a * b for a, b in zip(self.coefficients, self.features(text), strict=True))
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A long text in parts that end at white space."""
+    at = 0
+    while len(text) - at > SLICE:
+        m = re.compile(r"\s").search(text, at + SLICE)
+        end = m.end() if m else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def patterns_of(text: str) -> Counter:
     """How often each word and stem occurs."""
-    words = Counter(w for w in TOKEN.findall(text.lower()) if len(w) >= 3)
+    words = Counter(w for piece in pieces(text) for w in TOKEN.findall(piece.lower()) if len(w) >= 3)
     out: Counter = Counter()
     for w, n in words.items():
         out[w] += n
@@ -178,11 +278,15 @@ def patterns_of(text: str) -> Counter:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(__text, label) of about `rows` labelled rows, at most twice as many; the ids are chosen first, so only their texts move."""
+    """(__text, label) of about `rows` labelled ids, at most twice as many; the ids are chosen first, so only their texts move.
+
+    Of rows that share an id one text is learned from, the greatest, so the rows are bounded as well.
+    """
     ids = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and __id is not null")
     ids = hashed_sample(ids.groupBy("__id").agg(F.max("label").alias("label")), "__id", rows)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    return texts.join(F.broadcast(ids), "__id").select("__text", "label")  # at most 2 * rows pairs of numbers are broadcast
+    found = texts.join(F.broadcast(ids), "__id")  # at most 2 * rows pairs of numbers are broadcast
+    return found.groupBy("__id", "label").agg(F.max("__text").alias("__text")).select("__text", "label")
 
 
 def learn_patterns(sample: DataFrame) -> dict[str, float]:
@@ -196,40 +300,41 @@ def learn_patterns(sample: DataFrame) -> dict[str, float]:
                 found = patterns_of(x)
                 df[y].update(found.keys())
                 # A pattern repeated in one text is one observation and a little more.
-                times[y].update({k: min(n, 3) for k, n in found.items()})
+                times[y].update({k: 1.0 + math.log(n) for k, n in found.items()})
                 sizes[y] += sum(n for k, n in found.items() if k[-1] != "*")
                 texts[0].setdefault(y, 0)
                 texts[0][y] += 1
             for y in (0, 1):
                 keys = list(df[y])
-                yield pa.RecordBatch.from_arrays([pa.array([*keys, ""], pa.string()), pa.array([y] * (len(keys) + 1), pa.int32()), pa.array([*(df[y][k] for k in keys), texts[0].get(y, 0)], pa.int64()), pa.array([*(times[y][k] for k in keys), sizes[y]], pa.int64())], ["pattern", "label", "texts", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array([*keys, ""], pa.string()), pa.array([y] * (len(keys) + 1), pa.int32()), pa.array([*(df[y][k] for k in keys), texts[0].get(y, 0)], pa.int64()), pa.array([*(times[y][k] for k in keys), sizes[y]], pa.float64())], ["pattern", "label", "texts", "times"])
 
-    counts = sample.select("__text", "label").mapInArrow(count, schema("pattern string, label int, texts long, times long"))
+    counts = sample.select("__text", "label").mapInArrow(count, schema("pattern string, label int, texts long, times double"))
     pick = lambda y, c: F.sum(F.when(F.col("label") == y, F.col(c)).otherwise(0))
-    table = counts.groupBy("pattern").agg(pick(1, "texts").alias("t1"), pick(0, "texts").alias("t0"), pick(1, "times").alias("n1"), pick(0, "times").alias("n0")).where(f"t1 >= {LEAST_TEXTS} or pattern = ''")
-    table = table.orderBy(F.desc(F.col("pattern") == ""), F.desc(F.col("t1") / (F.col("t0") + 1.0) * F.sqrt("t1")), "pattern").limit(20 * PATTERNS).collect()
-    whole = next((r for r in table if r.pattern == ""), None)
-    if whole is None or not whole.t1 or not whole.t0:
-        return {}
-
-    def gain(r) -> float:
-        a, b, c, d = r.t1, r.t0, whole.t1 - r.t1, whole.t0 - r.t0
-        term = lambda o, e: o * math.log(o / e) if o > 0 and e > 0 else 0.0
+    table = counts.groupBy("pattern").agg(pick(1, "texts").alias("t1"), pick(0, "texts").alias("t0"), pick(1, "times").alias("n1"), pick(0, "times").alias("n0")).where(f"t1 >= {LEAST_TEXTS} or pattern = ''").persist()
+    try:
+        whole = table.where("pattern = ''").first()
+        if whole is None or not whole.t1 or not whole.t0:
+            return {}
         n = whole.t1 + whole.t0
-        return 2 * (term(a, (a + b) * whole.t1 / n) + term(b, (a + b) * whole.t0 / n) + term(c, (c + d) * whole.t1 / n) + term(d, (c + d) * whole.t0 / n))
-
-    ratio = lambda r: ((r.n1 + 0.5) / (whole.n1 + 1)) / ((r.n0 + 0.5) / (whole.n0 + 1))
-    able = sorted(((gain(r) * min(1.0, math.log(ratio(r)) / math.log(30.0)), r) for r in table if r.pattern and ratio(r) >= LEAST_RATIO and gain(r) >= LEAST_GAIN), key=lambda x: (-x[0], len(x[1].pattern), x[1].pattern))
+        t1, t0, term = F.col("t1").cast("double"), F.col("t0").cast("double"), lambda o, e: F.when((o > 0) & (e > 0), o * F.ln(o / e)).otherwise(0.0)
+        with_it, without = t1 + t0, n - t1 - t0
+        gain = 2 * (term(t1, with_it * whole.t1 / n) + term(t0, with_it * whole.t0 / n) + term(whole.t1 - t1, without * whole.t1 / n) + term(whole.t0 - t0, without * whole.t0 / n))
+        ratio = ((F.col("n1") + 0.5) / (whole.n1 + 1.0)) / ((F.col("n0") + 0.5) / (whole.n0 + 1.0))
+        able = table.where("pattern != ''").withColumn("gain", gain).withColumn("ratio", ratio).where((F.col("gain") >= LEAST_GAIN) & (F.col("ratio") >= LEAST_RATIO))
+        rank = F.col("gain") * F.least(F.lit(1.0), F.ln("ratio") / math.log(30.0))
+        able = able.orderBy(F.desc(rank), F.length("pattern"), "pattern").limit(20 * PATTERNS).select("pattern", "ratio").collect()
+    finally:
+        table.unpersist()
     chosen: dict[str, float] = {}
-    for _, r in able:
+    for r in able:
         stem = r.pattern.rstrip("*")
         if len(chosen) < PATTERNS and not any(stem.startswith(c.rstrip("*")) or c.startswith(stem) for c in chosen):
-            chosen[r.pattern] = math.log(ratio(r))
+            chosen[r.pattern] = math.log(r.ratio)
     return chosen
 
 
 def learn_coefficients(grammar: Grammar, sample: DataFrame, rounds: int = 30, ridge: float = 0.3) -> tuple[float, ...]:
-    """Logistic regression on the features of the sample's texts (at most SAMPLE_ROWS rows of eight numbers)."""
+    """Logistic regression on the features of the sample's texts (at most 2 * SAMPLE_ROWS rows of eight numbers)."""
     known = grammar.learned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
