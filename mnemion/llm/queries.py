@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemion.llm.ann import search
 from mnemion.llm.bpe import bpe_encode
-from mnemion.llm.common import bucket_of_id, read, stage
+from mnemion.llm.common import bucket_of_id, read
 from mnemion.llm.exact_dedup import exact_dedup
 from mnemion.llm.html_extract import extract_pages
 from mnemion.llm.lm_score import lm_scores
@@ -57,9 +57,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents are mixed into a staged table; the result lists its rows without their texts."""
-    mixed = stage(mix_sources(read(spark, sf_dir, "documents")), "mixed")
-    return mixed.select("doc_id", "source", "copy", "copies", F.round("rate", 9).alias("rate"))
+    """Whole documents, repeated and shuffled."""
+    docs = read(spark, sf_dir, "documents")
+    return mix_sources(docs).select(*docs.columns, "copy", "copies", F.round("rate", 9).alias("rate"))
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
