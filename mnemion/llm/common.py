@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemion.sources.staging import discard, shared_dir, stage
+from mnemion.sources.staging import discard, setting, shared_dir, stage
 
-__all__ = ["LOWER_BYTES", "SALTS", "UPPER", "bucket_of_id", "discard", "hashed_sample", "lower_ascii", "packed", "read", "salt", "schema", "shared_dir", "stage"]
+__all__ = ["LOWER_BYTES", "SALTS", "UPPER", "bucket_of_id", "discard", "hashed_sample", "lower_ascii", "packed", "read", "salt", "schema", "setting", "shared_dir", "stage"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes.translate table that lower-cases A-Z only; safe on UTF-8, whose other letters have no byte below 0x80.
@@ -27,7 +27,7 @@ def lower_ascii(c: Column) -> Column:
 
 def packed(df: DataFrame) -> Column:
     """All columns of df as one."""
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
 def salt(c: Column, n: int = SALTS) -> Column:

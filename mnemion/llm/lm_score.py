@@ -1,11 +1,15 @@
 """Language-model scores by context-tree weighting over bytes, beside a unigram base.
 
-Each byte is eight binary decisions, and each decision has a context tree over the bytes before it, up to DEPTH of them and
-reduced to classes. Every node keeps a Krichevsky-Trofimov estimate; a node's weighted probability mixes its own with its
-children's, half and half, so the mixture runs over all depths of all pruned trees. Training counts (context, byte) pairs
-over all training texts; nodes, weights and the resulting log-probabilities of bytes follow from the counts alone, in one
-task for each class of the nearest byte. The finished model has at most 2^16 contexts of 256 numbers (64 MB), whatever the
-corpus, and is broadcast; texts are then scored by table lookups. A text's end is a symbol of its own.
+Each byte is eight binary decisions, and each decision has a context tree over the bytes before it, up to DEPTH of them,
+whole and unreduced. Every node keeps a Krichevsky-Trofimov estimate; a node's weighted probability mixes its own with its
+children's, half and half, so the mixture runs over all depths of all pruned trees. A text's end is a symbol of its own.
+
+The tree is as large as the training texts make it, so it is never in one place. Texts are packed in slices; a slice sends
+its distinct grams (DEPTH bytes and the one that follows) with their counts to the buckets of the two nearest bytes. There
+counts are merged, nodes weighted, and each gram gets its log-probability: a table that grows with the corpus. The nodes
+above the buckets (at most 256 of depth one, and the root) are summed up from the buckets' own. Slices then fetch the
+log-probabilities of their grams, bucket by bucket, and texts are scored by looking up their positions. Buckets with very
+many requests are dealt over several tasks; within a task requests stream past the bucket's table.
 
 The unigram base needs the count of every word. Counts stay a table; the most frequent words, at most 2^18 of them by a
 threshold from a histogram, are broadcast, and each text's other words are joined to the table.
@@ -15,77 +19,69 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from math import lgamma, log, log10, pi
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemion.llm.common import LOWER_BYTES, schema, stage
+from mnemion.llm.common import LOWER_BYTES, discard, schema, setting, stage
 
-DEPTH = 3
-NEAR, FAR = 64, 32  # classes of the nearest byte, and of those before it
-END = 255  # no byte of UTF-8
+DEPTH = 6  # bytes of context; a gram of one more fits in 64 bits
+TOP = 2  # bytes that name a bucket
+END = 255  # no byte of UTF-8: ends a text, and stands before it
 TOP_WORDS = 1 << 18
 FLUSH_WORDS = 300_000  # words counted in a task before they are handed on
-SLICE = 4 << 20
-
-
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """Of each byte, its class as the nearest one and as one further off. 0 is the text's beginning."""
-    near, far = np.full(256, 31, np.uint32), np.full(256, 29, np.uint32)
-    for b in range(256):
-        c = chr(b)
-        if b < 128 and c.isalpha():
-            near[b] = far[b] = ord(c.lower()) - 96
-        elif c in "0123456789":
-            near[b] = far[b] = 27
-        elif c == " ":
-            near[b] = far[b] = 28
-        elif c in "\t\n\r":
-            near[b], far[b] = 29, 28
-        elif c in ",.;:!?":
-            near[b] = 30
-        elif b >= 192:
-            near[b], far[b] = 32, 30
-        elif b >= 128:
-            near[b], far[b] = 33 + b % 16, 31
-    return near, far
-
-
-NEAR_OF, FAR_OF = _classes()
-
-
-def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, symbol, first): of all texts' bytes and ends, and where each text begins."""
+SLICE, SLICE_TEXTS = 2 << 20, 1 << 15  # bytes and texts packed together; a longer text is a slice of its own
+PIECE = 4 << 20  # positions whose grams are sorted at once
+PENDING = 1 << 22  # grams that wait to be merged
+ASKED = 1 << 26  # grams requested of a bucket in one task
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def grams(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each byte of texts that end with END, its context (the nearest byte first) and itself as one number.
+
+    first: of each byte, where its text begins. What is before a text counts as END.
+    """
+    out = data.astype(np.int64)
+    at = np.arange(len(data))
+    for k in range(1, DEPTH + 1):
+        before = np.full(len(data), END, np.int64)
+        inside = at[k:] - k >= first[k:]
+        before[k:][inside] = data[:-k][inside]
+        out |= before << (8 * (DEPTH + 1 - k))
+    return out
+
+
+def whole(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes with ends, where each byte's text begins)."""
     size = np.array([len(x) + 1 for x in texts], np.int64)
-    first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    # END follows each text, and is the class 0 that the next one begins with.
-    data = np.frombuffer(b"".join(x + b"\xff" for x in texts), np.uint8)
-    near, far = NEAR_OF[data], FAR_OF[data]
-    near[data == END] = far[data == END] = 0
-    place = np.arange(len(data)) - np.repeat(first, size)
-    context = np.zeros(len(data), np.uint32)
-    context[1:] = near[:-1] << 10
-    context[2:] |= np.where(place[2:] >= 2, far[:-2], 0) << 5
-    context[3:] |= np.where(place[3:] >= 3, far[:-3], 0)
-    return context, data.astype(np.uint32), first
-
-
-def slices(texts: list[bytes]) -> Iterator[list[bytes]]:
-    part, held = [], 0
-    for x in texts:
-        part.append(x)
-        held += len(x)
-        if held >= SLICE:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
+    starts = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size
+    return np.frombuffer(b"".join(x + b"\xff" for x in texts), np.uint8), np.repeat(starts, size)
+
+
+def counted(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct grams, their number in texts to learn from)."""
+    data, first = whole(texts)
+    learn = np.repeat(train, [len(x) + 1 for x in texts])
+    parts = []
+    for at in range(0, len(data), PIECE):
+        lo = max(0, at - DEPTH)
+        g = grams(data[lo : at + PIECE], first[lo : at + PIECE] - lo)[at - lo :]
+        u, back = np.unique(g, return_inverse=True)
+        parts.append((u, np.bincount(back, weights=learn[at : at + PIECE], minlength=len(u)).astype(np.int64)))
+    return merged(parts)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    u, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return u, np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(u)).astype(np.int64)
 
 
 _lgamma = np.frompyfunc(lgamma, 1, 1)
@@ -100,20 +96,44 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (half[:n] + half[n:] - _lgamma(whole + 1.0).astype(np.float64)[back]).reshape(zeros.shape) - log(pi)
 
 
-def nodes(counts: np.ndarray) -> np.ndarray:
-    """From counts (..., 256) of bytes those of the nodes of their binary decomposition (..., 512); node 1 is the root."""
-    out = np.zeros((*counts.shape[:-1], 512))
-    out[..., 256:] = counts
-    for level in range(7, -1, -1):
-        a = 1 << level
-        out[..., a : 2 * a] = out[..., 2 * a : 4 * a : 2] + out[..., 2 * a + 1 : 4 * a : 2]
-    return out
+class Level:
+    """Of one binary decision (the level-th bit of a byte) the nodes at all depths from DEPTH to `top` under one bucket.
 
+    Grams are sorted. Nodes of a depth are (context, bits before); up[d] leads from those of depth d + 1 to those of depth d.
+    """
 
-def estimates(tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log KT of what was seen, KT of a next one, number seen) of the nodes 0 to 255."""
-    zeros, ones = tree[..., 0::2], tree[..., 1::2]
-    return log_kt(zeros, ones), (ones + 0.5) / (zeros + ones + 1), zeros + ones
+    def __init__(self, keys: np.ndarray, n: np.ndarray, level: int, top: int):
+        symbol = keys & 255
+        self.bit = symbol >> (7 - level) & 1
+        node = keys >> 8 << 8 | symbol >> (8 - level)
+        starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        self.of_gram = np.cumsum(np.concatenate(([0], (node[1:] != node[:-1]).astype(np.int64))))
+        ones = np.add.reduceat(n * self.bit, starts)
+        zeros = np.add.reduceat(n, starts) - ones
+        node = node[starts]
+        weight = log_kt(zeros, ones)
+        self.up: dict[int, np.ndarray] = {}
+        self.next: dict[int, np.ndarray] = {DEPTH: (ones + 0.5) / (zeros + ones + 1)}
+        self.own: dict[int, np.ndarray] = {}
+        self.reached: dict[int, np.ndarray] = {DEPTH: zeros + ones > 0}
+        for depth in range(DEPTH - 1, top - 1, -1):
+            node, back = np.unique(node >> 16 << 8 | node & 255, return_inverse=True)
+            zeros, ones, below = (np.bincount(back, weights=x, minlength=len(node)) for x in (zeros, ones, weight))
+            mine = log_kt(zeros, ones)
+            weight, self.own[depth] = weighted(mine, below)
+            self.up[depth], self.next[depth], self.reached[depth] = back, (ones + 0.5) / (zeros + ones + 1), zeros + ones > 0
+        self.bits, self.weight, self.zeros, self.ones = node & 255, weight, zeros, ones  # of depth `top`
+
+    def probability(self, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """(of each node of depth DEPTH the probability of a 1, mixed down from depth `top`; its node at that depth)."""
+        q, at = self.next[DEPTH], np.arange(len(self.next[DEPTH]))
+        for depth in range(DEPTH - 1, top - 1, -1):
+            reached = self.reached[depth + 1][at]
+            at = self.up[depth][at]
+            # A node that was never reached has no say: its parent's estimate holds.
+            own = self.own[depth][at]
+            q = np.where(reached, own * self.next[depth][at] + (1 - own) * q, self.next[depth][at])
+        return q, at
 
 
 def weighted(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,137 +142,205 @@ def weighted(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both, np.exp(own - log(2) - both)
 
 
-def bytes_log10(p: np.ndarray) -> np.ndarray:
-    """Log10 probabilities of bytes (..., 256) from those of a 1 at each node (..., 256)."""
-    total = np.zeros((*p.shape[:-1], 256))
-    symbol = np.arange(256)
+def bucket_top(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(3, 256): zeros, ones and log weighted probability of a bucket's own nodes."""
+    out = np.zeros((3, 256))
     for level in range(8):
-        node, bit = (256 | symbol) >> (8 - level), symbol >> (7 - level) & 1
-        total += np.log10(np.where(bit == 1, p[..., node], 1 - p[..., node]))
+        x = Level(keys, n, level, TOP)
+        out[:, (1 << level) | x.bits] = x.zeros, x.ones, x.weight
+    return out
+
+
+def joined_tops(tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From those (k, 3, 256) of children that (3, 256) of their parent, and (3, 256): next, own weight, reached."""
+    zeros, ones, below = tops.sum(0)
+    weight, own = weighted(log_kt(zeros, ones), below)
+    return np.stack([zeros, ones, weight]), np.stack([(ones + 0.5) / (zeros + ones + 1), own, (zeros + ones > 0).astype(float)])
+
+
+def bucket_logs(keys: np.ndarray, n: np.ndarray, above: list[np.ndarray]) -> np.ndarray:
+    """Log10 probabilities of a bucket's grams; above: (3, 256) of the nodes of depth TOP - 1, ... 0."""
+    total = np.zeros(len(keys))
+    for level in range(8):
+        x = Level(keys, n, level, TOP)
+        q, at = x.probability(TOP)
+        node, reached = (1 << level) | x.bits[at], x.reached[TOP][at]
+        for upper in above:
+            q = np.where(reached, upper[1][node] * upper[0][node] + (1 - upper[1][node]) * q, upper[0][node])
+            reached = upper[2][node] > 0
+        p = q[x.of_gram]
+        total += np.log10(np.where(x.bit == 1, p, 1 - p))
     return total
 
 
-@dataclass(frozen=True)
-class Model:
-    """row_of: of each context its row of `table` (log10 probabilities of 256 bytes)."""
-
-    row_of: np.ndarray
-    table: np.ndarray
-
-    def score(self, texts: list[bytes]) -> list[float]:
-        out: list[float] = []
-        for part in slices(texts):
-            context, symbol, first = contexts(part)
-            out += np.add.reduceat(self.table[self.row_of[context], symbol].astype(np.float64), first).tolist()
-        return out
-
-
-def _levels(pdf: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
-    """The tree's levels below one class of the nearest byte: DEPTH, DEPTH - 1, ... 1."""
-    counts = np.zeros((FAR * FAR, 256))
-    counts[(pdf["idx"].to_numpy() >> 8) & (FAR * FAR - 1), pdf["idx"].to_numpy() & 255] = pdf["n"].to_numpy()
-    deepest = estimates(nodes(counts))
-    middle = estimates(nodes(counts.reshape(FAR, FAR, 256).sum(1)))
-    nearest = estimates(nodes(counts.sum(0)))
-    return [deepest, middle, nearest]
-
-
-def _below(pdf: pd.DataFrame) -> tuple:
-    deepest, middle, nearest = _levels(pdf)
-    w2, mine2 = weighted(middle[0], deepest[0].reshape(FAR, FAR, 256).sum(1))
-    w1, mine1 = weighted(nearest[0], w2.sum(0))
-    return deepest, middle, nearest, mine2, mine1, w1
-
-
-def build(counts: DataFrame) -> Model:
-    """The model of (idx, n) rows: idx is context << 8 | byte."""
-    group = F.shiftright(F.col("idx"), 18).alias("near")
-    grouped = counts.select(group, "idx", "n")
-
-    def top(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, nearest, _, _, w1 = _below(pdf)
-        tree = nodes(np.bincount(pdf["idx"].to_numpy() & 255, weights=pdf["n"].to_numpy(), minlength=256))
-        return pd.DataFrame({"w": [w1.tobytes()], "tree": [tree.tobytes()]})
-
-    tops = grouped.groupBy("near").applyInPandas(top, "w binary, tree binary").collect()  # at most NEAR rows of 6 KB
-    tree = sum((np.frombuffer(r.tree) for r in tops), np.zeros(512))
-    root = estimates(tree)
-    _, mine0 = weighted(root[0], sum((np.frombuffer(r.w) for r in tops), np.zeros(256)))
-
-    def tables(pdf: pd.DataFrame) -> pd.DataFrame:
-        deepest, middle, nearest, mine2, mine1, _ = _below(pdf)
-        # A node that was never reached has no say: its parent's estimate holds.
-        p2 = np.where(deepest[2] > 0, deepest[1], np.repeat(middle[1], FAR, axis=0))
-        p2 = np.repeat(mine2 * middle[1], FAR, axis=0) + np.repeat(1 - mine2, FAR, axis=0) * p2
-        below1 = np.where(np.repeat(middle[2], FAR, axis=0) > 0, p2, nearest[1])
-        p1 = mine1 * nearest[1] + (1 - mine1) * below1
-        p = mine0 * root[1] + (1 - mine0) * np.where(nearest[2] > 0, p1, root[1])
-        seen = deepest[2][:, 1] > 0
-        # Rows of contexts seen, and one for each of the shorter contexts, which stands for those that weren't.
-        short2 = mine2 * middle[1] + (1 - mine2) * middle[1]
-        short1 = mine1 * nearest[1] + (1 - mine1) * np.where(middle[2] > 0, short2, nearest[1])
-        q = mine0 * root[1] + (1 - mine0) * np.where(nearest[2] > 0, short1, root[1])
-        near = int(pdf["near"].iloc[0])
-        at = np.flatnonzero(seen)
-        rows = [(near << 10 | int(c), x.tobytes()) for c, x in zip(at, bytes_log10(p[at]).astype(np.float32), strict=True)]
-        rows += [(-1 - (near << 5 | c), x.tobytes()) for c, x in enumerate(bytes_log10(q).astype(np.float32)) if middle[2][c, 1] > 0]
-        only1 = mine0 * root[1] + (1 - mine0) * np.where(nearest[2] > 0, nearest[1], root[1])
-        rows.append((-100_000 - near, bytes_log10(only1).astype(np.float32).tobytes()))
-        return pd.DataFrame(rows, columns=["context", "logs"])
-
-    rows = grouped.groupBy("near").applyInPandas(tables, "context int, logs binary").collect()  # at most 2^16 and 2^11 rows of 1 KB
-    table = np.frombuffer(b"".join([bytes_log10(root[1]).astype(np.float32).tobytes(), *(r.logs for r in rows)]), np.float32).reshape(-1, 256)
-    row_of = np.zeros(1 << 16, np.int32)
-    for i, r in enumerate(rows):
-        if r.context <= -100_000:
-            row_of.reshape(NEAR, -1)[-100_000 - r.context] = i + 1
-    for i, r in enumerate(rows):
-        if -100_000 < r.context < 0:
-            row_of.reshape(NEAR * FAR, FAR)[-1 - r.context] = i + 1
-    for i, r in enumerate(rows):
-        if r.context >= 0:
-            row_of[r.context] = i + 1
-    return Model(row_of, table)
-
-
-def count_corpus(texts: DataFrame) -> DataFrame:
-    """(word, idx, n) of all `__text`: words and their number, and for the rows without a word (context, byte) pairs. The word '' counts texts."""
+def pack(rows: DataFrame) -> DataFrame:
+    """(slice, ids, train, sizes, text, parts): rows in slices, with the grams of each by bucket."""
+    fields = "slice long, ids array<long>, train array<boolean>, sizes array<int>, text binary, parts array<struct<bucket:int,grams:array<long>,n:array<long>>>"
+    kind = pa.list_(pa.struct([("bucket", pa.int32()), ("grams", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal words, pairs
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.nulls(len(words), pa.int32()), pa.array(words.values(), pa.int64())], ["word", "idx", "n"])
-                words = Counter()
-            if pairs and last:
-                idx, n = merged(pairs)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(idx), pa.string()), pa.array(idx.astype(np.int32)), pa.array(n)], ["word", "idx", "n"])
-                pairs = []
+        number = TaskContext.get().partitionId() << 24
+        ids, texts, train, held = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal ids, texts, train, held, number
+            u, n = counted(texts, np.array(train, bool))
+            bucket = (u >> (8 * (DEPTH + 1 - TOP))).astype(np.int32)
+            starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            offsets = pa.array(np.concatenate((starts, [len(u)])), pa.int32())
+            parts = pa.StructArray.from_arrays([pa.array(bucket[starts]), pa.ListArray.from_arrays(offsets, pa.array(u)), pa.ListArray.from_arrays(offsets, pa.array(n))], ["bucket", "grams", "n"])
+            parts = pa.ListArray.from_arrays(pa.array([0, len(starts)], pa.int32()), parts).cast(kind)
+            text = zstandard.ZstdCompressor(3).compress(b"".join(texts))
+            row = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), pa.array([[len(x) for x in texts]], pa.list_(pa.int32())), pa.array([text], pa.binary()), parts], ["slice", "ids", "train", "sizes", "text", "parts"])
+            number += 1
+            ids, texts, train, held = [], [], [], 0
+            return row
+
+        for b in batches:
+            for i, x, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = (x or "").encode()
+                if texts and (held + len(x) > SLICE or len(texts) >= SLICE_TEXTS):
+                    yield out()
+                ids.append(i)
+                texts.append(x)
+                train.append(t)
+                held += len(x)
+        if texts:
+            yield out()
+
+    return rows.mapInArrow(run, schema(fields))
+
+
+def _flushed(batches: Iterator[pa.RecordBatch], group: tuple[str, ...]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """(group, grams, counts) of sorted rows, merged as they come."""
+    at, parts, held = None, [], 0
+    for b in batches:
+        for i in range(b.num_rows):
+            key = tuple(b.column(b.schema.get_field_index(c))[i].as_py() for c in group)
+            if key != at:
+                if at is not None:
+                    yield at, *merged(parts)
+                at, parts, held = key, [], 0
+            u, n = (b.column(b.schema.get_field_index(c))[i].values.to_numpy(zero_copy_only=False) for c in ("grams", "n"))
+            parts.append((u, n))
+            held += len(u)
+            if held > PENDING and len(parts) > 1:
+                parts, held = [merged(parts)], 0
+    if at is not None:
+        yield at, *merged(parts)
+
+
+#: Columns of the streams between tasks.
+TYPES = {"bucket": pa.int32(), "salt": pa.int32(), "slice": pa.int64(), "grams": pa.list_(pa.int64()), "n": pa.list_(pa.int64()), "logs": pa.list_(pa.float32()), "near": pa.int32(), "top": pa.binary()}
+
+
+def _rows(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), TYPES[k]) for c, k in zip(zip(*rows, strict=True), names, strict=True)], list(names))
+
+
+def merge(parts: DataFrame, *group: str) -> DataFrame:
+    """(group, grams, n): grams of each group merged, in a stream of sorted rows that holds the distinct ones only."""
+    fields = ", ".join([*(f"{c} int" for c in group), "grams array<long>, n array<long>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, u, n in _flushed(batches, group):
+            yield _rows([(*key, u, n)], *group, "grams", "n")
+
+    return parts.select(*group, "grams", "n").repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema(fields))
+
+
+def build(parts: DataFrame) -> DataFrame:
+    """(bucket, grams, logs) of (bucket, salt, grams, n) rows: the log10 probability of each gram."""
+    once = stage(merge(parts, "bucket", "salt"), "gram-counts")
+    counts = stage(merge(once, "bucket"), "gram-counts")
+    discard(once)
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of each nearest byte the buckets of this task.
+        found: dict[int, list[np.ndarray]] = {}
+        for (bucket,), u, n in _flushed(batches, ("bucket",)):
+            found.setdefault(bucket >> 8, []).append(bucket_top(u, n))
+        if found:
+            yield _rows([(k, np.sum(v, axis=0).tobytes()) for k, v in found.items()], "near", "top")
+
+    summed: dict[int, np.ndarray] = {}
+    for r in counts.mapInArrow(tops, schema("near int, top binary")).toLocalIterator():  # at most 256 rows of 6 KB a task
+        summed[r.near] = summed.get(r.near, 0) + np.frombuffer(r.top).reshape(3, 256)
+    first = {near: joined_tops(x[None]) for near, x in summed.items()}
+    root = joined_tops(np.stack([x for x, _ in first.values()]))[1] if first else None
+    above = {near: [x, root] for near, (_, x) in first.items()}
+    shared = counts.sparkSession.sparkContext.broadcast(above)  # at most 256 nodes and the root, 6 KB each
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket,), u, n in _flushed(batches, ("bucket",)):
+            yield _rows([(bucket, u, bucket_logs(u, n, shared.value[bucket >> 8]).astype(np.float32))], "bucket", "grams", "logs")
+
+    model = stage(counts.mapInArrow(logs, schema("bucket int, grams array<long>, logs array<float>")), "gram-logs")
+    discard(counts)
+    return model
+
 
+def answers(parts: DataFrame, model: DataFrame, salts: DataFrame) -> DataFrame:
+    """(slice, bucket, logs): the log-probabilities of each slice's grams, in their order."""
+    tables = model.join(F.broadcast(salts), "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(-1).cast("long").alias("slice"), "grams", "logs")
+    asked = parts.select("bucket", "salt", "slice", "grams", F.lit(None).cast("array<float>").alias("logs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = values = None
         for b in batches:
-            raw = [(x or "").encode() for x in b.column(0).to_pylist()]
-            for x in raw:
-                words.update(x.translate(LOWER_BYTES).split())
-            words[b""] += len(raw)
-            for part in slices(raw):
-                context, symbol, _ = contexts(part)
-                idx, n = np.unique(context << np.uint32(8) | symbol, return_counts=True)
-                pairs.append((idx, n))
-            if len(pairs) > 8:
-                pairs = [merged(pairs)]
-            if len(words) > FLUSH_WORDS:
-                yield from out(False)
-        yield from out(True)
+            out = []
+            for i in range(b.num_rows):
+                g = b.column(3)[i].values.to_numpy(zero_copy_only=False)
+                if b.column(2)[i].as_py() < 0:
+                    keys, values = g, b.column(4)[i].values.to_numpy(zero_copy_only=False)
+                else:
+                    out.append((b.column(2)[i].as_py(), b.column(0)[i].as_py(), values[np.searchsorted(keys, g)]))
+            if out:
+                yield _rows(out, "slice", "bucket", "logs")
+
+    return tables.unionByName(asked).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "slice").mapInArrow(run, schema("slice long, bucket int, logs array<float>"))
+
+
+def scores(texts: list[bytes], logs: np.ndarray) -> np.ndarray:
+    """Log10 probabilities of texts; logs are those of their distinct grams."""
+    data, first = whole(texts)
+    starts = np.unique(first)
+    out = np.zeros(len(texts))
+    known = None
+    for at in range(0, len(data), PIECE):
+        lo = max(0, at - DEPTH)
+        g = grams(data[lo : at + PIECE], first[lo : at + PIECE] - lo)[at - lo :]
+        if len(data) <= PIECE:
+            values = logs[np.unique(g, return_inverse=True)[1]]
+        else:
+            known = counted(texts, np.zeros(len(texts), bool))[0] if known is None else known
+            values = logs[np.searchsorted(known, g)]
+        out += np.bincount(np.searchsorted(starts, first[at : at + PIECE]), weights=values, minlength=len(texts))
+    return out
 
-    return texts.select("__text").mapInArrow(run, schema("word string, idx int, n long")).groupBy("word", "idx").agg(F.sum("n").alias("n"))
 
+def count_words(texts: DataFrame) -> DataFrame:
+    """(word, n) of all `__text`: words and their number; the word '' counts texts."""
 
-def merged(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    idx, back = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
-    return idx, np.bincount(back, weights=np.concatenate([p[1] for p in pairs])).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            nonlocal words
+            batch = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
+            words = Counter()
+            return batch
+
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                words.update((x or "").encode().translate(LOWER_BYTES).split())
+                words[b""] += 1
+                if len(words) > FLUSH_WORDS:
+                    yield out()
+        if words:
+            yield out()
+
+    return texts.select("__text").mapInArrow(run, schema("word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(words: DataFrame, most: int = TOP_WORDS) -> dict[bytes, int]:
@@ -270,6 +358,21 @@ def frequent(words: DataFrame, most: int = TOP_WORDS) -> dict[bytes, int]:
     return {r.word.encode(): r.n for r in words.where(level >= least).select("word", "n").collect()}
 
 
+def byte_logs(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slices, answers) of (__id, __text, __train) rows, both staged."""
+    with setting(spark, BATCH, "2000"):
+        slices = stage(pack(rows), "slices")
+    parts = slices.select("slice", F.explode("parts").alias("x")).select("slice", "x.bucket", "x.grams", "x.n")
+    # At most 65,536 rows.
+    salts = stage(parts.groupBy("bucket").agg(F.ceil(F.sum(F.size("grams")) / ASKED).cast("int").alias("salts")), "salts")
+    parts = parts.join(F.broadcast(salts), "bucket").withColumn("salt", F.pmod(F.xxhash64("slice"), "salts").cast("int")).drop("salts")
+    with setting(spark, BATCH, "64"):
+        model = build(parts)
+        found = stage(answers(parts, model, salts), "answers")
+    discard(model, salts)
+    return slices, found
+
+
 def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -277,50 +380,62 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
     token; score is the log10 probability that the context-tree model gives to the text's bytes and its end, bits_per_byte
     the same as a code length. Null counts as empty: one token, the end. Without training rows all probabilities are those
     of the empty model. Rows that repeat are each learned from and scored; null ids are passed through; other columns are
-    left aside; an empty table gives an empty result.
+    left aside; whole texts are read, in pieces where they are long; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), F.coalesce(training, F.lit(False)).alias("__train"))
-    counts = stage(count_corpus(rows.where("__train")), "corpus-counts")
-    words = counts.where("word is not null")
-    ends, n, v = words.agg(F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    words = words.where("word != ''")
+    counts = stage(count_words(rows.where("__train")), "word-counts")
+    ends, n, v = counts.agg(F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    words = counts.where("word != ''")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((frequent(words), build(counts.where("word is null").select("idx", "n"))))  # at most TOP_WORDS words and 2^16 contexts
+    slices, found = byte_logs(spark, rows)
+    shared = spark.sparkContext.broadcast(frequent(words))  # at most TOP_WORDS words
     fields = "key long, __id long, held_out boolean, n_tokens long, known long, logs double, score double, size long, rare array<struct<word:string,n:int>>"
     names = schema(fields).names
+    answered = found.select("slice", F.col("bucket").alias("place"), "logs", *[F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("train", "array<boolean>"), ("sizes", "array<int>"), ("text", "binary"))])
+    asking = slices.select("slice", F.lit(1 << 30).alias("place"), F.lit(None).cast("array<float>").alias("logs"), "ids", "train", "sizes", "text")
+    both = answered.unionByName(asking).repartition("slice").sortWithinPartitions("slice", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, model = shared.value
-        key = TaskContext.get().partitionId() << 40
+        common = shared.value
         rare_kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
+        got: list[np.ndarray] = []
         for b in batches:
-            raw = [(x or "").encode() for x in b.column(1).to_pylist()]
-            tokens, known, logs, rare = [], [], [], []
-            for x in raw:
-                found = Counter(x.translate(LOWER_BYTES).split())
-                n_known, total, others = 0, 0.0, []
-                for w, k in found.items():
-                    c = common.get(w)
-                    if c is None:
-                        others.append({"word": w.decode(), "n": k})
-                    else:
-                        n_known += k
-                        total += k * log10(c + 1)
-                tokens.append(sum(found.values()) + 1)
-                known.append(n_known)
-                logs.append(total)
-                rare.append(others)
-            keys = np.arange(key, key + len(raw))
-            key += len(raw)
-            held = pa.array([not t for t in b.column(2).to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0), held, pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(model.score(raw), pa.float64()), pa.array([len(x) for x in raw], pa.int64()), pa.array(rare, rare_kind)], names)
-
-    scored = stage(rows.mapInArrow(run, schema(fields)), "scored")
+            for row in range(b.num_rows):
+                if b.column(2)[row].is_valid:
+                    got.append(b.column(2)[row].values.to_numpy(zero_copy_only=False))
+                    continue
+                ids, train, sizes, text = (b.column(c)[row].as_py() for c in range(3, 7))
+                ends_at = np.cumsum(sizes)
+                text = zstandard.ZstdDecompressor().decompress(text, max_output_size=int(ends_at[-1]) + 1)
+                raw = [text[z - s : z] for s, z in zip(sizes, ends_at.tolist(), strict=True)]
+                tokens, known, logs, rare = [], [], [], []
+                for x in raw:
+                    counted_words = Counter(x.translate(LOWER_BYTES).split())
+                    n_known, total, others = 0, 0.0, []
+                    for w, k in counted_words.items():
+                        c = common.get(w)
+                        if c is None:
+                            others.append({"word": w.decode(), "n": k})
+                        else:
+                            n_known += k
+                            total += k * log10(c + 1)
+                    tokens.append(sum(counted_words.values()) + 1)
+                    known.append(n_known)
+                    logs.append(total)
+                    rare.append(others)
+                key = (b.column(0)[row].as_py() << 16) + np.arange(len(raw))
+                score = scores(raw, np.concatenate(got).astype(np.float64))
+                got = []
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids, pa.int64()), pa.array([not t for t in train], pa.bool_()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64()), pa.array(rare, rare_kind)], names)
+
+    with setting(spark, BATCH, "64"):
+        scored = stage(both.mapInArrow(run, schema(fields)), "scored")
+    discard(slices, found)
     others = scored.select("key", F.explode("rare").alias("r")).select("key", "r.word", F.col("r.n").alias("times")).join(words, "word")
     others = others.groupBy("key").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1))).alias("more_logs"))
-    whole = scored.drop("rare").join(others, "key", "left").fillna(0, ["more"]).fillna(0.0, ["more_logs"])
+    whole_rows = scored.drop("rare").join(others, "key", "left").fillna(0, ["more"]).fillna(0.0, ["more_logs"])
     base = F.col("logs") + F.col("more_logs") + F.lit(log10(ends + 1)) - F.col("n_tokens") * F.lit(log10(n + v + 1))
-    return whole.select(
+    return whole_rows.select(
         F.col("__id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.col("more") + F.lit(1 if ends else 0)).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         base.alias("base_score"), "score", (-F.col("score") / (F.col("size") + 1) / F.lit(log10(2))).alias("bits_per_byte"),
     )
