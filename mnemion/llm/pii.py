@@ -9,6 +9,7 @@ THRESHOLD on.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -29,7 +30,10 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: What may be an account number and further words in capitals; `account` finds where it ends.
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+")
+#: Characters of an account number by country; others may have any length from 15 to 34.
+IBAN_LENGTHS = dict(AT=20, BE=16, BG=22, CH=21, CY=28, CZ=24, DE=22, DK=18, EE=20, ES=24, FI=18, FR=27, GB=22, GR=27, HR=21, HU=28, IE=22, IS=26, IT=27, LI=21, LT=20, LU=20, LV=21, MT=31, NL=18, NO=15, PL=28, PT=25, RO=24, SE=24, SI=19, SK=24, TR=26)
 NATIONAL = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 PASSPORT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])")
@@ -54,6 +58,23 @@ def mod97(iban: str) -> bool:
     return 15 <= len(iban) <= 34 and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def account(text: str, start: int, end: int) -> int | None:
+    """Where the account number that begins at start ends: the longest one up to end whose length and check digits are right."""
+    wanted = IBAN_LENGTHS.get(text[start : start + 2])
+    while end < len(text) and text[end].isascii() and text[end].isalnum():  # not within a word
+        end = text.rfind(" ", start, end)
+        if end < 0:
+            return None
+    while end > start:
+        n = end - start - text.count(" ", start, end)
+        if n < 15:
+            return None
+        if n == (wanted or n) and mod97(text[start:end]):
+            return end
+        end = text.rfind(" ", start, end)
+    return None
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """As a leftmost, non-overlapping search would find them, but starting from each @, so that long words cost once."""
     free, at = 0, text.find("@")
@@ -90,31 +111,44 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 DIGIT = re.compile("[0-9]")
 
 
-def score(kind: str, prior: float, found: str, near: str, plus: tuple[str, ...], minus: tuple[str, ...]) -> float:
-    """The pattern's score, with checksum and context."""
-    s = prior
-    if kind == "iban":
-        if not mod97(found):
-            return 0.0
-        s += CHECKSUM
+def score(kind: str, prior: float, near: str, plus: tuple[str, ...], minus: tuple[str, ...]) -> float:
+    """The pattern's score, with checksum and context. Context words count whole."""
+    s = prior + CHECKSUM * (kind == "iban")  # whose check digits were tested
     words = set(re.findall(r"[a-z]+", near.lower()))
     return max(0.0, min(1.0, s + BONUS * any(w in words for w in plus) - MALUS * any(w in words for w in minus)))
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the further kinds that reach THRESHOLD and touch no base span."""
-    taken, out = sorted((a, z) for _, a, z in base), []
+    out: list[tuple[str, int, int]] = []
     if not DIGIT.search(text):
         return out
+    taken = merged([(a, z) for _, a, z in base])
     for kind, pattern, prior, plus, minus in PROPOSE:
+        starts, new = [a for a, _ in taken], []
         for m in pattern.finditer(text):
             a, z = m.span()
-            if any(a < y and x < z for x, y in taken):
+            if kind == "iban" and (z := account(text, a, z)) is None:
+                continue
+            at = bisect_left(starts, z)  # the last one that begins before z
+            if at and taken[at - 1][1] > a:
                 continue
             near = text[max(0, a - NEAR) : a] + " " + text[z : z + NEAR]
-            if score(kind, prior, m[0], near, plus, minus) >= THRESHOLD:
+            if score(kind, prior, near, plus, minus) >= THRESHOLD:
                 out.append((kind, a, z))
-                taken.append((a, z))
+                new.append((a, z))
+        taken = merged(taken + new)
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
     return out
 
 

@@ -181,6 +181,8 @@ def test_pii_base_is_the_literal_search(spark):
 
 
 def test_pii_checksums_and_context(spark):
+    more = {r.doc_id: r.spans for r in pii.find_pii(docs(spark, [(1, "iban DE89 3704 0044 0532 0130 00 AND MORE"), (2, "my account GB82WEST12345698765432 X"), (3, "bank FR14 2004 1010 0505 0001 3M02 606x")])).collect()}
+    assert more == {1: "iban:5:32", 2: "iban:11:33", 3: ""}
     texts = [(1, "iban DE89 3704 0044 0532 0130 00 ok"), (2, "iban DE88 3704 0044 0532 0130 00 ok"), (3, "my social security 123-45-6789"), (4, "part order 123-45-6789")]
     got = {r.doc_id: r.spans for r in pii.find_pii(docs(spark, texts)).collect()}
     assert got[1] == "iban:5:32" and got[2] == "" and got[3].startswith("national:") and got[4] == ""
@@ -220,11 +222,21 @@ def test_mixing_meets_targets_and_repeats(spark):
 
 def test_mixing_query_replicates_whole_documents(spark):
     got = queries()["op6_mix_sources"](spark, TESTDATA)
-    [folder] = {f.rsplit("/", 1)[0] for f in got.inputFiles()}
-    mixed = spark.read.parquet(folder)
     d = spark.read.parquet(f"{TESTDATA}/documents.parquet")
-    assert set(d.columns) <= set(mixed.columns) and mixed.count() == got.count()
-    assert set(map(tuple, mixed.select(*d.columns).collect())) <= set(map(tuple, d.collect()))
+    assert set(d.columns) <= set(got.columns)
+    assert set(map(tuple, got.select(*d.columns).collect())) <= set(map(tuple, d.collect()))
+
+
+def test_mixing_tells_rows_without_ids_apart_and_keeps_any_column(spark):
+    rows = [(None, "same", "s", 1, 2, 3)] * 2000 + [(None, f"text {i}", "s", 1, 2, 3) for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int, __source int, copy int")
+    got = mixing.mix_sources(d, weights={"s": 1.0}).cache()
+    assert got.columns == [*d.columns, "copy_", "copies", "rate", "shuffle_key"]
+    n = got.groupBy("text").count().collect()
+    same = next(r["count"] for r in n if r.text == "same")
+    assert abs(same - 2000) < 250 and abs(sum(r["count"] for r in n) - 4000) < 350 and 1000 < len(n) < 1500
+    assert got.where("`a.b` = 1 and __source = 2 and copy = 3").count() == got.count()
+    assert got.select("shuffle_key").distinct().count() == got.count()
 
 
 def test_main_text():
@@ -289,13 +301,13 @@ def test_ann_in_a_large_cluster_of_near_copies(spark):
 
 
 def test_toxicity_holds_on_unseen_rows(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     from mnemion.llm.queries import op5_toxicity
 
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     rows = [(r.score, labels[r.doc_id]) for r in op5_toxicity(spark, folder).where("held_out").collect() if r.doc_id in labels]
     bad, good = [s for s, y in rows if y], [s for s, y in rows if not y]
-    assert sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / (len(bad) * len(good)) > 0.7
+    assert sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / (len(bad) * len(good)) > 0.95
 
 
 def test_toxic_clauses():
@@ -319,6 +331,61 @@ def test_toxic_clauses_have_no_boundary_without_punctuation():
     assert g.clauses("idiot " * 100)[0][0][1] == 24 and sum(n for _, n, _ in g.clauses("idiot " * 100)[0]) == 100
 
 
+def test_composed_transducers_are_a_literal_scan():
+    rng = random.Random(8)
+    g = toxicity.Grammar({"quzz": 2.0})
+    pool = ["idiot", "quzz", "kill", "you", "not", "said", '"', "is", "a", ".", *["word"] * 30]
+    for _ in range(600):
+        tokens = rng.choices(pool, k=rng.randrange(1, 70))
+        kinds = [g.symbol(t)[0] for t in tokens]
+        cuts = [-1, *[i for i, k in enumerate(kinds) if k == toxicity.STOP], len(kinds)]
+        want = []
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            clause = [(k, t) for k, t in zip(kinds[a + 1 : z], tokens[a + 1 : z], strict=True)]
+            places, n = [], 0
+            for k, _ in clause:
+                n += k != toxicity.QUOTE
+                places.append(n)
+            group = None
+            for i, (k, t) in enumerate(clause):
+                if k > toxicity.THREAT:
+                    continue
+                near = lambda kind, least, most: any(x == kind and least <= places[i] - p <= most and j != i for j, ((x, _), p) in enumerate(zip(clause, places, strict=True)))
+                targeted = near(toxicity.TARGET, -23, 23)
+                if k == toxicity.THREAT and not targeted:
+                    continue
+                quoted = sum(x == toxicity.QUOTE for x, _ in clause[:i]) % 2
+                j = i - 1
+                while j >= 0 and clause[j][0] in (toxicity.FILLER, toxicity.QUOTE, toxicity.NEGATION):
+                    j -= 1
+                says = j >= 0 and clause[j][0] in (toxicity.TARGET, toxicity.LINK)
+                beside = any(near(h, -3, 3) for h in (toxicity.INSULT, toxicity.THREAT))
+                scale = (1.25 if targeted else 1) * (0.1 if near(toxicity.NEGATION, 1, 4) else 1) * (0.2 if quoted or near(toxicity.REPORT, -23, 23) else 1)
+                if group is None or places[i] - group[0] >= 24:
+                    group = [places[i], 0.0, 0, False]
+                    want.append(group)
+                group[1] += g.symbol(t)[1] * scale
+                group[2] += 1
+                group[3] |= bool(targeted or says or beside)
+        found, words = g.matches(" ".join(tokens))
+        assert words == sum(k not in (toxicity.QUOTE, toxicity.STOP) for k in kinds)
+        assert [(m.place, round(m.score, 9), len(m.names), m.matched) for m in found] == [(p, round(s, 9), n, m) for p, s, n, m in want], tokens
+
+
+def test_words_without_company_decide_nothing():
+    g = toxicity.Grammar({"quzz": 8.6}, (-2.0, 1.4, 1.3, -1.0, 1.3, -7.3, -4.1, 0.0))
+    for text in ("trash", "the quzz.", "the garbage bin is full of trash", "you are not an idiot", ""):
+        assert g.score(text) < 0.5, text
+    for text in ("you are trash", "you are such a quzz.", "I will kill you", "a stupid idiot", "Stupid. It is cold. An idiot."):
+        assert g.score(text) >= 0.5, text
+
+
+def test_toxicity_learns_from_a_bounded_sample(spark):
+    d = docs(spark, [(1, f"text {i}") for i in range(5000)] + [(2, "other")])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(d, labels, "doc_id", "text", "toxic").count() == 2
+
+
 def test_scores_of_the_language_model(spark):
     d = spark.read.parquet(f"{TESTDATA}/documents.parquet")
     keep = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
@@ -333,61 +400,72 @@ def test_scores_of_the_language_model(spark):
         assert got[i].score < 0 and got[i].bits_per_byte < 8
 
 
-def test_context_trees_sum_to_one_and_match_a_literal_mixture(spark):
-    texts = ["abab abba", "ab", "", "bab ab", "abc"]
-    counts = lm_score.count_corpus(spark.createDataFrame([(x,) for x in texts], "__text string")).where("word is null").select("idx", "n")
-    model = lm_score.build(counts)
-    assert np.allclose((10.0 ** model.table.astype(float)).sum(1), 1, atol=1e-4)
-    # The same by recursion over the tree of contexts, from the definition.
+def test_context_trees_match_a_literal_mixture(spark):
+    """By recursion over the tree of contexts, from the definition; the fifth text and those after are held out."""
+    texts = ["abab abba abcabcabc", "ab", "", "bab ab abcab", "abc\u00e9", "abba", "ab", "xyz", "abcabcab", ""]
+    depth = lm_score.DEPTH
     seen = defaultdict(lambda: [0, 0])
-    near, far = lm_score.NEAR_OF, lm_score.FAR_OF
 
-    def context(x, i):
-        c = [near[x[i - 1]] if i else 0, far[x[i - 2]] if i > 1 else 0, far[x[i - 3]] if i > 2 else 0]
-        return tuple(int(k) for k in c)
-
-    for x in texts:
+    def steps(x):
         x = x.encode() + b"\xff"
         for i, b in enumerate(x):
+            context = tuple(x[i - k] if i >= k else 255 for k in range(1, depth + 1))
             for k in range(8):
-                node = (256 | b) >> (8 - k)
-                for depth in range(4):
-                    seen[node, context(x, i)[:depth]][b >> (7 - k) & 1] += 1
-
-    def kt(a, b):
-        p = 1.0
-        for i in range(a):
-            p *= (i + 0.5) / (i + 1)
-        for j in range(b):
-            p *= (j + 0.5) / (a + j + 1)
-        return p
+                yield (256 | b) >> (8 - k), context, b >> (7 - k) & 1
+
+    for x in texts[:5]:
+        for node, context, bit in steps(x):
+            for d in range(depth + 1):
+                seen[node, context[:d]][bit] += 1
+    below = defaultdict(list)
+    for node, c in list(seen):
+        if c:
+            below[node, c[:-1]].append((node, c))
+
+    def log_kt(a, b):
+        return sum(log10(i + 0.5) for i in range(a)) + sum(log10(j + 0.5) for j in range(b)) - sum(log10(k + 1) for k in range(a + b))
+
+    memo = {}
 
     def weighted(node, c):
-        own = kt(*seen.get((node, c), [0, 0]))
-        if len(c) == 3:
-            return own, 1.0
-        below = 1.0
-        for n, s in list(seen):
-            if n == node and len(s) == len(c) + 1 and s[: len(c)] == c:
-                below *= weighted(n, s)[0]
-        both = 0.5 * own + 0.5 * below
-        return both, 0.5 * own / both
-
-    def probability(node, c, depth=0):
-        a, b = seen.get((node, c[:depth]), [0, 0])
+        if (node, c) not in memo:
+            own = log_kt(*seen[node, c])
+            if len(c) == depth:
+                memo[node, c] = own, 1.0
+            else:
+                children = sum(weighted(*k)[0] for k in below[node, c])
+                both = log10(0.5 * 10**own + 0.5 * 10**children)
+                memo[node, c] = both, 0.5 * 10 ** (own - both)
+        return memo[node, c]
+
+    def probability(node, c, d=0):
+        a, b = seen.get((node, c[:d]), [0, 0])
         own = (b + 0.5) / (a + b + 1)
-        if depth == 3 or (node, c[: depth + 1]) not in seen:
+        if d == depth or (node, c[: d + 1]) not in seen:
             return own
-        w = weighted(node, c[:depth])[1]
-        return w * own + (1 - w) * probability(node, c, depth + 1)
+        w = weighted(node, c[:d])[1]
+        return w * own + (1 - w) * probability(node, c, d + 1)
 
-    for text, got in zip(["abba", "ab"], model.score([b"abba", b"ab"]), strict=True):
-        x, want = text.encode() + b"\xff", 0.0
-        for i, b in enumerate(x):
-            for k in range(8):
-                p = probability((256 | b) >> (8 - k), context(x, i))
-                want += log10(p if b >> (7 - k) & 1 else 1 - p)
-        assert abs(want - got) < 1e-4
+    rows = list(enumerate(texts))
+    for partitions in (1, 3):
+        got = {r.doc_id: r for r in lm_score.lm_scores(docs(spark, rows).repartition(partitions), F.col("doc_id") < 5).collect()}
+        for i, x in rows:
+            want = sum(log10(p if bit else 1 - p) for p, bit in ((probability(node, c), bit) for node, c, bit in steps(x)))
+            assert abs(want - got[i].score) < 1e-4, x
+            assert abs(got[i].bits_per_byte + want / log10(2) / (len(x.encode()) + 1)) < 1e-3
+
+
+def test_language_model_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab c", k=rng.choice([0, 1, 5, 300]))).encode() for _ in range(20)]
+    train = np.array([i % 3 > 0 for i in range(20)])
+    u, n = lm_score.counted(texts, train)
+    logs = -np.linspace(1, 2, len(u))
+    want = lm_score.scores(texts, logs)
+    monkeypatch.setattr(lm_score, "PIECE", 37)
+    again = lm_score.counted(texts, train)
+    assert (u == again[0]).all() and (n == again[1]).all() and np.allclose(lm_score.scores(texts, logs), want)
+    assert n.sum() == sum(len(x) + 1 for x, t in zip(texts, train, strict=True) if t)
 
 
 def test_pipeline(spark):
@@ -435,3 +513,26 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
     monkeypatch.setattr(near_dedup, "SLICE", 64)
     near_dedup.word_powers.cache_clear()
     assert (near_dedup.word_hashes(text) == whole).all() and len(whole) == 200
+
+
+def test_scores_decide_which_container_is_the_article():
+    page = html_extract.main_text
+    a, b, c = (f"The {x} paragraph, with commas, and more of them, so that it is long enough to count for something, as it should." for x in ("first", "second", "third"))
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Item {i} of the menu</a></li>" for i in range(9)) + "</ul>"
+    # No semantic tags: two content blocks, a list after them, a menu before.
+    assert page(f"<body>{menu}<div><h1>Title</h1><p>{a}</p><p>{b}</p></div><div><p>{c}</p></div><ul><li>one thing</li><li>another thing</li></ul></body>") == f"Title {a} {b} {c} one thing another thing"
+    # An article tag around a teaser doesn't win over the text.
+    assert page(f"<body><article><p>Short teaser.</p></article><div id=x><p>{a}</p><p>{b}</p><p>{c}</p></div></body>") == f"{a} {b} {c}"
+    for name in ("comment-body", "comment-content", "comments-area", "sidebar-content", "newsletter-signup main", "related-posts", "advert"):
+        assert page(f"<article><h1>T</h1><p>{a}</p><p>{b}</p><div class='{name}'><p>{c}</p></div></article>") == f"T {a} {b}"
+        assert page(f"<article><p>{a}</p><p class='{name}'>{c}</p><p>{b}</p></article><article class='comment-body'><p>{c}</p></article>") == f"{a} {b}"
+    assert page(f"<div class='content has-sidebar'><p>{a}</p><figure><img src=x><figcaption>A caption.</figcaption></figure><p>{b}</p></div>") == f"{a} A caption. {b}"
+
+
+def test_deep_pages_are_linear():
+    import time
+
+    for text in ("<div>a" * 50_000, "<b>" * 50_000 + "<p>x, y" * 2000 + "</i>" * 20_000, "<nav>" + "<b>" * 50_000 + "</x>" * 50_000):
+        began = time.perf_counter()
+        html_extract.main_text(text)
+        assert time.perf_counter() - began < 20
