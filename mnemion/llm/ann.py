@@ -1,12 +1,14 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals, and exact reranking.
 
-Coarse centroids and, on the residuals, one codebook a subspace are fitted on a bounded sample. Every vector is normalised,
-assigned to its nearest centroid and encoded. A query goes to the cells of its nearest centroids; there a table of
-distances from its residual to every codeword gives approximate distances to all codes by lookups, and the best are
-reranked on the original vectors in double precision, and after them every other that can still be among the nearest: an
-entry is no nearer than its approximate distance less its own quantisation error. So the result is exact for the probed
-cells, also where many close vectors share a code. Cells are cut in blocks of bounded size by a hash, so a popular cell
-is many tasks; equal vectors are one entry that keeps its smallest ids, so copies neither crowd a cell nor a result.
+Coarse centroids (as many as the root of the rows) and, on the residuals, one codebook a subspace are fitted on a bounded
+sample, on which the number of cells is chosen as well that queries must go to for the recall wanted: few where vectors
+cluster, many where they don't. Every vector is normalised, assigned to its nearest centroid and encoded. A query first goes
+to its nearest cell, which tells how near its k-th neighbour is at most, and then to its other cells. There a table of
+distances from its residual to every codeword gives approximate distances to all codes by lookups, and only entries that can
+still be among the nearest, being no nearer than their approximate distance less their own quantisation error, are
+reranked on the original vectors in double precision. So the result is exact for the probed cells, also where many close
+vectors share a code. Cells are cut in blocks of bounded size by a hash, so a popular cell is many tasks; equal vectors are
+one entry that keeps its smallest ids, so copies neither crowd a cell nor a result.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from pyspark.sql import functions as F
 
 from mnemion.llm.common import hashed_sample, salt, schema, stage
 
-SAMPLE_ROWS = 20_000  # vectors that the index is fitted on, chosen by a hash of their id
-CELLS = 128  # coarse centroids at most
-SUBSPACES = 16
+SAMPLE_ROWS = 20_000  # vectors that the index is fitted on, chosen by a hash of their id; fewer if they are wide:
+SAMPLE_NUMBERS = 1 << 21  # components in the sample
+CELLS = 4096  # coarse centroids at most
+SUBSPACES = 32
 CODES = 64  # codewords a subspace
-PROBES = 0.7  # share of the cells that a query goes to, and at least LEAST_PROBES
-LEAST_PROBES = 8
-RERANK = 128  # candidates of a block that are reranked at first, and then at a time as long as others may be nearer
+RECALL = 0.95  # wanted on the sample
+ASKED = 256  # sample vectors that are searched for, to choose the number of cells
+RERANK = 32  # candidates of a block that are reranked at a time
 SLACK = 1e-6  # above the rounding errors of distances between unit vectors
 TIES = 1e-12  # above those of cosines
 BLOCK = 4096  # entries of a cell in one task
@@ -41,6 +44,7 @@ class Index:
 
     centroids: np.ndarray
     books: np.ndarray
+    probes: int  # cells that a query goes to
 
     def parts(self, x: np.ndarray) -> np.ndarray:
         """(n, subspaces, width), padded with zeros."""
@@ -68,31 +72,35 @@ class Index:
         return ((parts[:, :, None, :] - self.books[None]) ** 2).sum(-1)
 
 
-def nearest(x: np.ndarray, q: np.ndarray, approximate: np.ndarray, errors: np.ndarray, n: int) -> np.ndarray:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their largest components are near 1: cosines are the same, and nothing overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def nearest(x: np.ndarray, q: np.ndarray, approximate: np.ndarray, errors: np.ndarray, n: int, least: float = -np.inf) -> np.ndarray:
     """Of the unit vectors x the places of the n that are nearest to q, and of all that tie with the last.
 
-    RERANK and then slices of it are compared exactly, by approximate distance less error, until no other can be as near.
+    Those with a cosine below `least` needn't be found. RERANK at a time are compared exactly, by approximate distance less
+    error, until no other can be as near.
     """
-    if len(x) <= n:
-        return np.arange(len(x))
-    cosines = np.full(len(x), -np.inf)
-    first = max(RERANK, n)
-    near = np.argpartition(approximate, first - 1)[:first] if first < len(x) else np.arange(len(x))
-    cosines[near] = x[near] @ q
-    least = np.partition(cosines[near], len(near) - n)[len(near) - n]
-    bounds = approximate - errors
-    bounds[near] = np.inf
     reach = lambda c: np.sqrt(max(0.0, 2 - 2 * c)) + SLACK
-    others = np.flatnonzero(bounds <= reach(least))
-    others = others[np.argsort(bounds[others], kind="stable")]
-    for at in range(0, len(others), first):
-        part = others[at : at + first]
+    bounds = approximate - errors
+    able = np.flatnonzero(bounds <= reach(least)) if least > -np.inf else np.arange(len(x))
+    able = able[np.argsort(bounds[able], kind="stable")]
+    cosines = np.full(len(able), -np.inf)
+    for at in range(0, len(able), RERANK):
+        part = able[at : at + RERANK]
         if bounds[part[0]] > reach(least):
             break
-        cosines[part] = x[part] @ q
-        near = np.flatnonzero(cosines >= least - TIES)
-        least = np.partition(cosines[near], len(near) - n)[len(near) - n]
-    return np.flatnonzero(cosines >= least - TIES)
+        cosines[at : at + RERANK] = x[part] @ q
+        if at + len(part) >= n:
+            least = max(least, np.partition(cosines[: at + RERANK], -n)[-n])
+    return np.sort(able[cosines >= least - TIES])
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -113,21 +121,31 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
     return centers
 
 
-def fit(vectors: DataFrame, rows: int = SAMPLE_ROWS) -> Index | None:
+def fit(vectors: DataFrame, rows: int = SAMPLE_ROWS, k: int = 5) -> Index | None:
     """An index fitted on about `rows` of the (id, v) rows, at most twice as many; None without rows."""
-    sample = [r.v for r in hashed_sample(vectors, "id", rows).select("v").collect()]
-    if not sample:
+    head = vectors.select(F.size("v").alias("d")).first()
+    if head is None:
         return None
-    x = np.array(sample, np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    centroids = kmeans(x, max(1, min(CELLS, int(2 * len(x) ** 0.5))))
+    total = vectors.count()
+    sample = [r.v for r in hashed_sample(vectors, "id", max(1, min(rows, SAMPLE_NUMBERS // head.d))).select("v").collect()]
+    x = units(np.array(sample, np.float64)) if sample else units(np.array([vectors.first().v], np.float64))
+    centroids = kmeans(x, max(1, min(CELLS, int(np.ceil(total**0.5)), int(2 * len(x) ** 0.5))))
     m = min(SUBSPACES, x.shape[1])
     width = -(-x.shape[1] // m)
-    residuals = x - centroids[((centroids**2).sum(1) - 2 * x @ centroids.T).argmin(1)]
-    parts = np.pad(residuals, ((0, 0), (0, m * width - x.shape[1]))).reshape(len(x), m, width)
+    cell = ((centroids**2).sum(1) - 2 * x @ centroids.T).argmin(1)
+    parts = np.pad(x - centroids[cell], ((0, 0), (0, m * width - x.shape[1]))).reshape(len(x), m, width)
     books = [kmeans(parts[:, j], CODES, seed=6 + j) for j in range(m)]
     books = [np.concatenate([b, np.full((CODES - len(b), width), 1e6)]) for b in books]  # unused codewords are far away
-    return Index(centroids, np.stack(books))
+    # Of some vectors the nearest others, and how far down their cells are in the order of centroids.
+    asked = np.random.default_rng(3).permutation(len(x))[:ASKED]
+    cosines = x[asked] @ x.T
+    cosines[np.arange(len(asked)), asked] = -np.inf
+    near = np.argsort(-cosines, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    index = Index(centroids, np.stack(books), len(centroids))
+    order = index.nearest_cells(x[asked], len(centroids))
+    place = np.argsort(order, axis=1)[np.arange(len(asked))[:, None], cell[near]]
+    probes = int(np.quantile(place, RECALL, method="higher")) + 1 if place.size else 1
+    return Index(centroids, index.books, probes)
 
 
 def _entries(vectors: DataFrame, keep: int) -> DataFrame:
@@ -158,9 +176,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     if common is None:
         return spark.createDataFrame([], out)
     rows, wanted = rows.where(F.size("v") == common.d), wanted.where(F.size("v") == common.d)
-    index = fit(rows) if index is None else index
+    index = fit(rows, k=k) if index is None else index
     shared = spark.sparkContext.broadcast(index)  # at most CELLS centroids and SUBSPACES codebooks, whatever the input
-    probes = min(len(index.centroids), max(LEAST_PROBES, int(np.ceil(PROBES * len(index.centroids)))))
+    probes = min(len(index.centroids), index.probes)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
@@ -168,7 +186,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
             if not b.num_rows:
                 continue
             x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = units(x)
             cell = ix.nearest_cells(x, 1)[:, 0]
             codes = ix.encode(x - ix.centroids[cell])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "ids", "cell", "code"])
@@ -179,36 +197,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
             if not b.num_rows:
                 continue
             x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-            cells = ix.nearest_cells(x / np.linalg.norm(x, axis=1, keepdims=True), probes).astype(np.int32)
+            cells = ix.nearest_cells(units(x), probes).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(cells), pa.list_(pa.int32()))], ["id", "v", "cells"])
 
     entries = stage(_entries(rows, k + 1).mapInArrow(assign, schema("v array<double>, ids array<long>, cell int, code binary")), "entries")
     probing = stage(wanted.mapInArrow(probe, schema("id long, v array<double>, cells array<int>")), "probes")
     per_cell = entries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    asked = probing.select("id", "v", F.explode("cells").alias("cell"))
-    per_asked = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("askers"))
-    cells = F.broadcast(per_cell.join(per_asked, "cell"))  # at most CELLS rows
-    left = entries.join(cells, "cell").select("cell", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"), "ids", "v", "code")
-    right = asked.join(cells, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("askers")).cast("int").alias("asker"), "id", "v")
 
     def compare(entry: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(entry) or not len(query):
             return none
         ix = shared.value
-        x, q = np.stack(entry["v"].to_numpy()), np.stack(query["v"].to_numpy())
+        x, q = scaled(np.stack(entry["v"].to_numpy())), scaled(np.stack(query["v"].to_numpy()))
         codes = np.frombuffer(b"".join(entry["code"]), np.uint8).reshape(len(x), -1)
         x_norm, q_norm = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
         centre = ix.centroids[entry["cell"].iloc[0]]
-        units = x / x_norm[:, None]
-        errors = ix.errors(units - centre, codes)
-        tables = ix.tables(q / q_norm[:, None] - centre)
+        unit = x / x_norm[:, None]
+        errors = ix.errors(unit - centre, codes)
+        flat = codes.astype(np.int64) + np.arange(codes.shape[1]) * ix.books.shape[1]
         ids = entry["ids"].to_numpy()
         found: list[tuple[int, int, float]] = []
-        for i, own in enumerate(query["id"].to_numpy()):
-            approximate = tables[i][np.arange(codes.shape[1]), codes].sum(1)
+        for i, (own, least) in enumerate(zip(query["id"].to_numpy(), query["least"].to_numpy(), strict=True)):
+            approximate = np.sqrt(ix.tables(q[i : i + 1] / q_norm[i] - centre).ravel()[flat].sum(1))
             # One entry more than wanted, as one may hold nothing but the query's own id.
-            near = nearest(units, q[i] / q_norm[i], np.sqrt(approximate), errors, k + 1)
+            near = nearest(unit, q[i] / q_norm[i], approximate, errors, k + 1, least)
             # Summed in one order whatever the block, so that equal vectors get equal scores.
             scores = np.array([np.dot(x[j], q[i]) for j in near]) / (x_norm[near] * q_norm[i])
             mine = [(s, v) for s, j in zip(scores, near, strict=True) for v in ids[j] if v != own]
@@ -216,14 +229,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
             found += [(own, v, s) for s, v in mine[:k]]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]) if found else none
 
-    key = ["cell", "block", "asker"]
-    best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    # Each query has at most k rows from each block that it met; the best k by partial aggregation first.
-    ranked = best.groupBy("query_id", F.spark_partition_id().alias("p")).agg(_best(k).alias("b")).select("query_id", F.explode("b").alias("b"))
-    ranked = ranked.groupBy("query_id").agg(_best(k, "b.").alias("b")).select("query_id", F.posexplode("b").alias("rank", "b"))
+    def met(asked: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score) of (id, v, cell, least) rows: at most k of each block that a query meets."""
+        per_asked = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("askers"))
+        cells = F.broadcast(per_cell.join(per_asked, "cell"))  # at most CELLS rows
+        left = entries.join(cells, "cell").select("cell", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"), "ids", "v", "code")
+        right = asked.join(cells, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("askers")).cast("int").alias("asker"), "id", "v", "least")
+        key = ["cell", "block", "asker"]
+        best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "query_id long, vec_id long, score double")
+        return best.groupBy("query_id", F.spark_partition_id().alias("p")).agg(_best(k).alias("b")).select("query_id", F.explode("b").alias("b")).select("query_id", "b.vec_id", (-F.col("b.less")).alias("score"))
+
+    first = stage(met(probing.select("id", "v", F.col("cells")[0].alias("cell"), F.lit(float("-inf")).alias("least"))), "nearest-cell")
+    # The k-th best so far is as bad as a neighbour can be.
+    least = first.groupBy("query_id").agg(_best(k).alias("b")).where(F.size("b") == k).select(F.col("query_id").alias("id"), (-F.col("b")[k - 1]["less"] - TIES).alias("least"))
+    others = probing.select("id", "v", F.explode(F.slice("cells", F.lit(2), F.size("cells"))).alias("cell"))
+    others = others.join(least, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    ranked = first.unionByName(met(others)).groupBy("query_id").agg(_best(k).alias("b")).select("query_id", F.posexplode("b").alias("rank", "b"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias(id_col), (-F.col("b.less")).alias("score"))
 
 
-def _best(k: int, prefix: str = "") -> Column:
-    less = F.col("b.less") if prefix else -F.col("score")
-    return F.slice(F.sort_array(F.collect_set(F.struct(less.alias("less"), F.col(f"{prefix}vec_id").alias("vec_id")))), 1, k)
+def _best(k: int) -> Column:
+    return F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("less"), F.col("vec_id").alias("vec_id")))), 1, k)

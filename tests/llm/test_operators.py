@@ -300,6 +300,42 @@ def test_ann_in_a_large_cluster_of_near_copies(spark):
     assert np.mean([recall[i] for i in asked if i < 1000]) > 0.8
 
 
+def test_ann_probes_few_cells_of_clustered_vectors_and_reranks_few(spark, monkeypatch):
+    """20,000 vectors around 400 centres."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(400, 32))[rng.integers(0, 400, 20_000)] + 0.2 * rng.normal(size=(20_000, 32))
+    d = spark.createDataFrame(zip(range(20_000), x.tolist()), "vec_id long, embedding array<double>").repartition(4).cache()
+    index = ann.fit(d.selectExpr("vec_id as id", "embedding as v"), 4000)
+    assert len(index.centroids) > 100 and index.probes <= 0.1 * len(index.centroids)
+    unit = ann.units(x)
+    got = defaultdict(set)
+    for r in ann.search(d, d.where("vec_id % 50 = 0"), index=index).collect():
+        got[r.query_id].add(r.vec_id)
+    asked = np.arange(0, 20_000, 50)
+    scores = unit[asked] @ unit.T
+    scores[np.arange(len(asked)), asked] = -2
+    assert np.mean([len(got[i] & set(np.argsort(-s)[:5].tolist())) / 5 for i, s in zip(asked.tolist(), scores, strict=True)]) >= 0.9
+    # Of a large cell the codes leave few to be reranked, with the bound that a first cell gives.
+    cell = index.nearest_cells(unit, 1)[:, 0]
+    mine = unit[cell == np.bincount(cell).argmax()]
+    centre = index.centroids[np.bincount(cell).argmax()]
+    codes = index.encode(mine - centre)
+    approximate = np.sqrt(index.tables(mine[:1] - centre)[0][np.arange(codes.shape[1]), codes].sum(1))
+    exact = mine @ mine[0]
+    kth = np.sort(exact)[-6]
+    assert ((approximate - index.errors(mine - centre, codes)) <= np.sqrt(2 - 2 * kth) + ann.SLACK).mean() < 0.5
+    assert set(np.argsort(-exact)[:6]) <= set(ann.nearest(mine, mine[0], approximate, index.errors(mine - centre, codes), 6, kth))
+
+
+def test_ann_scores_of_huge_and_tiny_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1e300, -1e300]), (3, [5e-324, 0.0]), (4, [3.0, 4.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.search(d, d).collect()}
+    assert len(got) == 20 and all(np.isfinite(s) for s in got.values())
+    for (a, b), want in {(0, 1): 1.0, (0, 2): 0.0, (0, 3): 0.5**0.5, (1, 4): 7 / 50**0.5, (3, 4): 0.6}.items():
+        assert abs(got[a, b] - want) < 1e-12 and got[a, b] == got[b, a]
+
+
 def test_toxicity_holds_on_unseen_rows(spark):
     folder = "/root/testdata/sf0.1"
     from mnemion.llm.queries import op5_toxicity
