@@ -35,10 +35,15 @@ def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
+SPANS = "array<struct<start:int,end:int,kind:int,value:string>>"
+RUN = 64  # matches whose offsets are summed up in one fold; runs of them are then shifted, so that many matches stay cheap
+
+
 def _spans(text: Column, pattern: str, kind: str) -> Column:
     """array<(start, end, kind, value)> of all matches; offsets are the running sum of the lengths of gaps and matches."""
     found, gaps = _pieces(text, pattern)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>").alias("all"))
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
+    none = F.array().cast(SPANS)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -46,15 +51,24 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["match"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["all"], F.array(span)).alias("all"))
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["all"])).otherwise(none)
+    def runs(all_pairs: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), none.alias("all"))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_pairs), F.lit(1)), F.lit(RUN))
+        return F.transform(starts, lambda i: F.aggregate(F.slice(all_pairs, i, F.lit(RUN)), zero, step))
+
+    def shift(acc: Column, run: Column) -> Column:
+        moved = F.transform(run["all"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["all"], F.array(moved)).alias("all"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("all"))
+    return F.when(text.rlike(pattern), F.aggregate(runs(pairs), zero, shift, lambda acc: F.flatten(acc["all"]))).otherwise(none)
 
 
 def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", random_strings: int = RANDOM_STRINGS, word_rows: int = WORD_ROWS) -> DataFrame:
     """(token, label): labelled samples. 1: strings drawn by digests in four alphabets; 0: words of a bounded, hashed sample of rows.
 
-    Words inside a base match are left out of label 0.
+    Words inside a base match are left out of label 0. A secret of no base kind in the sample would count as ordinary, one
+    token among thousands; `train` takes any other labelled table where that is not wanted.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 512)
@@ -86,7 +100,7 @@ def train(labelled: DataFrame, token_col: str = "token", label_col: str = "label
 
 def _ratio(token: Column, model: Column) -> Column:
     """The sum of the log-likelihood ratios of a token's transitions."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))))
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     zero = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("sum"))
     return F.aggregate(codes, zero, lambda acc, c: F.struct(c.alias("before"), (acc["sum"] + F.when(acc["before"] > 0, F.get(model, (acc["before"] - 1) * N + c - 1)).otherwise(0.0)).alias("sum")), lambda acc: acc["sum"])
 

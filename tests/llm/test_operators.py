@@ -201,6 +201,13 @@ def test_secrets_base_is_the_literal_search(spark):
         assert set(filter(None, r.spans.split(","))) >= set(named)
 
 
+def test_secrets_with_many_matches_and_very_long_tokens(spark):
+    x = " ".join(f"token=abcdef{i} é" for i in range(3000)) + " " + "aB3" * 20_000
+    [r] = secrets.find_secrets(docs(spark, [(1, x)]), [0.0] * secrets.N**2).collect()
+    want = [(m.start(), 0, m.end()) for m in re.finditer("token=[a-z0-9]+", x)]
+    assert r.n_assign == 3000 and r.spans == ",".join(f"assign:{a}:{z}" for a, _, z in want)
+
+
 def test_secret_models_tell_random_from_ordinary(spark):
     d = spark.read.parquet(f"{TESTDATA}/documents.parquet")
     texts = [(1, "key xK9dQ2mZp7Lw4Rt8Vb3Nc6Hy1Jf5 end"), (2, "thingthationtheerentedingation and_ordinary_words_joined"), (3, "Zm9vYmFyQ2h4T3lQ1Rk7sWm5Uv8Yz2Bd")]
