@@ -15,18 +15,23 @@ def decay(days: Column, half_life: float = 30.0, base: float = 1.0) -> Column:
     return F.when(days < 0, F.lit(base)).otherwise(base * F.exp(-(F.ln(F.lit(2.0)) / half_life) * days))
 
 
-def normal_cdf(z: Column) -> Column:
+def normal_tail(z: Column) -> Column:
+    """The probability that a standard normal number is further from 0 than z, without subtraction from 1."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))
     t = 1.0 / (1.0 + ERF_P * x)
     poly = F.lit(0.0)
     for a in reversed(ERF_A):
         poly = (poly + a) * t
-    erf = 1.0 - poly * F.exp(-x * x)
-    return 0.5 * (1.0 + F.when(z < 0, -erf).otherwise(erf))
+    return poly * F.exp(-x * x)
+
+
+def normal_cdf(z: Column) -> Column:
+    half = 0.5 * normal_tail(z)
+    return F.when(z < 0, half).otherwise(1.0 - half)
 
 
 def chi_p_value(chi: Column) -> Column:
-    return 2.0 * (1.0 - normal_cdf(F.sqrt(chi)))
+    return normal_tail(F.sqrt(chi))
 
 
 def expected_cooccurrence(n_a: Column, n_b: Column, gap_days: Column | float, range_days: Column | float) -> Column:

@@ -12,7 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemion.operators.components import connected_components
-from mnemion.sources.staging import stage
+from mnemion.sources.staging import discard, stage
+
+HUB = 10_000  # neighbours of a node beyond which pairs of them are made in several tasks
 
 
 def one_hop(edges: DataFrame, nodes: DataFrame, direction: str = "out", rel: str | None = None) -> DataFrame:
@@ -114,10 +116,13 @@ def shared_neighbours(edges: DataFrame) -> DataFrame:
     """
     e = edges.select("src", "dst").distinct()
     degree = e.groupBy("src").agg(F.count("*").alias("d"))
-    weight = e.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst", (1.0 / F.ln("n")).alias("w"))
-    x = e.select(F.col("src").alias("a"), "dst")
-    y = e.join(weight, "dst").select(F.col("src").alias("b"), "dst", "w")
-    both = x.join(y, "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("w").alias("adamic"))
+    weight = e.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst", "n", (1.0 / F.ln("n")).alias("w"))
+    # A node's neighbours in blocks, every two of which meet in a task of their own, so that a hub is many tasks.
+    rows = e.join(weight.withColumn("blocks", F.ceil(F.sqrt(F.col("n") / HUB)).cast("int")), "dst").withColumn("block", F.pmod(F.xxhash64("src"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = rows.select(F.col("src").alias("a"), "dst", "block", every.alias("other"))
+    y = rows.select(F.col("src").alias("b"), "dst", F.col("block").alias("other"), every.alias("block"), "w")
+    both = x.join(y, ["dst", "block", "other"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("w").alias("adamic"))
     both = both.join(degree.select(F.col("src").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("src").alias("b"), F.col("d").alias("db")), "b")
     return both.select("a", "b", "shared", (F.col("shared") / (F.col("da") + F.col("db") - F.col("shared"))).alias("jaccard"), "adamic")
 
@@ -186,11 +191,14 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct()
     both = stage(both, "neighbours")
     at = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
-    for _ in range(rounds):
+    for turn in range(rounds):
         seen = both.join(at.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.count("*").alias("n"))
         best = seen.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("less"), F.col("community").alias("c"))).alias("b"))
         now = best.select(F.col("src").alias("id"), F.col("b.c").alias("community"))
-        at = stage(now, "labels")
+        last, at = at, stage(now, "labels")
+        if turn:
+            discard(last)
+    discard(both)
     return at
 
 
@@ -200,26 +208,42 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 5, damping: float =
     out_degree = e.groupBy("src").agg(F.count("*").alias("d"))
     e = stage(e.join(out_degree, "src"), "weighted")
     at = seeds.select("id", F.col("score").cast("double").alias("score"))
-    for _ in range(rounds):
+    for turn in range(rounds):
         sent = e.join(at.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (damping * F.col("score") / F.col("d")).alias("score"))
         restart = seeds.select("id", ((1 - damping) * F.col("score")).alias("score"))
-        at = stage(sent.unionByName(restart).groupBy("id").agg(F.sum("score").alias("score")), "spread")
+        last, at = at, stage(sent.unionByName(restart).groupBy("id").agg(F.sum("score").alias("score")), "spread")
+        if turn:
+            discard(last)
+    discard(e)
     return at
 
 
 def bradford_hill(pairs: DataFrame) -> DataFrame:
-    """pairs with the criteria's scores, their weighted mean and the verdict.
+    """pairs with the criteria's scores, their weighted mean and the verdict. Without experiments that criterion doesn't apply.
 
-    pairs has strength, effect, p_value, n, avg_gap, min_gap, causes (of the effect) and effects (of the cause).
+    pairs has strength, effect, p_value, n, avg_gap, min_gap, causes (of the effect), effects (of the cause), monotonic and
+    mechanism (boolean), contradicted (boolean) and data_support; optionally consistency (of gaps), linear, replicated,
+    known_mechanism, supported, patterns (number of like pairs), known_pair, positive and negative (numbers of experiments).
     """
     clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     strength = 0.4 * F.least(F.col("strength"), F.lit(1.0)) + F.when(F.col("effect") > 2, 0.3).when(F.col("effect") > 1.5, 0.2).when(F.col("effect") > 1, 0.1).otherwise(0.0) + F.when(F.col("p_value") < 0.001, 0.3).when(F.col("p_value") < 0.01, 0.2).when(F.col("p_value") < 0.05, 0.15).otherwise(0.0)
-    even = 0.5 + F.when(F.col("n") >= 20, 0.3).when(F.col("n") >= 10, 0.2).when(F.col("n") >= 5, 0.1).otherwise(-0.2)
+    has = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in pairs.columns else F.lit(False)
+    gaps = F.when(F.col("consistency") > 0.7, 0.2).when(F.col("consistency") < 0.3, -0.1).otherwise(0.0) if "consistency" in pairs.columns else F.lit(0.0)
+    plus = lambda c, x: F.when(c, x).otherwise(0.0)
+    even = 0.5 + F.when(F.col("n") >= 20, 0.3).when(F.col("n") >= 10, 0.2).when(F.col("n") >= 5, 0.1).otherwise(-0.2) + gaps + plus(has("replicated"), 0.2)
     specific = 0.5 + F.when(F.col("causes") > 5, -0.2).when(F.col("causes") > 2, -0.1).otherwise(0.1) + F.when(F.col("effects") > 5, -0.1).otherwise(0.0)
     temporal = F.when((F.col("avg_gap") > 0) & (F.col("min_gap") >= 0), 1.0).when(F.col("avg_gap") > 0, 0.8).otherwise(0.3)
-    out = pairs.withColumn("bh_strength", clamp(strength)).withColumn("bh_consistency", clamp(even)).withColumn("bh_specificity", clamp(specific)).withColumn("bh_temporality", temporal)
-    weights = {"bh_strength": 1.0, "bh_consistency": 1.0, "bh_specificity": 1.0, "bh_temporality": 1.5}
-    total = sum(w * F.col(c) for c, w in weights.items()) / sum(weights.values())
+    gradient = F.least(F.lit(1.0), 0.5 + plus(has("monotonic"), 0.3) + plus(has("linear"), 0.2)) + plus(F.col("effect") > 1.5, 0.1)
+    plausible = 0.5 + plus(has("mechanism"), 0.2 + plus(F.col("strength") > 0.6, 0.1)) + plus(has("known_mechanism"), 0.2)
+    coherent = 0.5 + F.when(has("contradicted"), -0.3).otherwise(0.1) + 0.2 * F.col("data_support") + plus(has("supported"), 0.2)
+    analogous = 0.5 + (0.1 * F.col("patterns") if "patterns" in pairs.columns else F.lit(0.0)) + plus(has("known_pair"), 0.2)
+    criteria = {"strength": clamp(strength), "consistency": clamp(even), "specificity": clamp(specific), "temporality": temporal, "gradient": clamp(gradient), "plausibility": clamp(plausible), "coherence": clamp(coherent), "analogy": clamp(analogous)}
+    weights = dict.fromkeys(criteria, 1.0) | {"temporality": 1.5}
+    if "positive" in pairs.columns:
+        criteria["experiment"] = F.when(F.col("positive") > F.col("negative"), 0.8).when(F.col("positive") == F.col("negative"), 0.5).otherwise(0.3)
+        weights["experiment"] = 0.5
+    out = pairs.withColumns({f"bh_{k}": v for k, v in criteria.items()})
+    total = sum(w * F.col(f"bh_{k}") for k, w in weights.items()) / sum(weights.values())
     out = out.withColumn("score", total)
     verdict = F.when(F.col("bh_temporality") < 0.5, "not_causal").when(total >= 0.75, "strong").when(total >= 0.55, "moderate").when(total >= 0.4, "weak").when(total >= 0.25, "very_weak").otherwise("not_causal")
     return out.withColumn("verdict", verdict)

@@ -4,22 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemion.functions import vectors as v
+from mnemion.sources.staging import stage
+
+
+VECTORS, QUERIES = 4096, 256  # in a block
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(query_id, id, score, rank): each query's k nearest of (id, v), exactly. queries (query_id, qv) are few, or one block of many.
+    """(query_id, id, score, rank): each query's k nearest other rows of (id, v), exactly. queries is (query_id, qv).
 
-    Spark broadcasts the queries only while they are small; each task keeps its own best before rows are shuffled by query.
+    Blocks of vectors meet blocks of queries, each pair in a task of its own that keeps k rows a query. Scores are compared to
+    12 places, ties go to the smaller id. Vectors are of one length and without nulls; a score that isn't defined is left out.
     """
-    score = v.cosine(F.col("v"), F.col("qv")) if metric == "cosine" else v.similarity(F.col("v"), F.col("qv"))
-    scored = vectors.join(queries).where(F.col("id") != F.col("query_id")).select("query_id", "id", score.alias("score"))
-    local = W.partitionBy("query_id", F.pmod(F.xxhash64("id"), F.lit(32))).orderBy(F.desc("score"), "id")
-    best = scored.withColumn("r", F.row_number().over(local)).where(F.col("r") <= k).drop("r")
+    n_v = max(1, -(-vectors.count() // VECTORS))
+    n_q = max(1, -(-queries.count() // QUERIES))
+    left = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n_v)).alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("qb"))
+    right = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("qv").cast("array<double>").alias("qv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))).alias("vb"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"))
+
+    def run(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(asked):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        x, q = np.stack(mine["v"].to_numpy()), np.stack(asked["qv"].to_numpy())
+        ids, names = mine["id"].to_numpy(), asked["query_id"].to_numpy()
+        with np.errstate(all="ignore"):
+            if metric == "cosine":
+                score = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1))
+            else:
+                score = 1 / (1 + np.stack([np.linalg.norm(x - y, axis=1) for y in q]))
+        score = np.round(score, 12)
+        score[(ids == names[:, None]) | ~np.isfinite(score)] = -np.inf
+        out = []
+        for i, name in enumerate(names):
+            order = np.lexsort((ids, -score[i]))[:k]
+            order = order[score[i][order] > -np.inf]
+            out.append(pd.DataFrame({"query_id": name, "id": ids[order], "score": score[i][order]}))
+        return pd.concat(out)
+
+    best = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(run, "query_id long, id long, score double")
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
@@ -67,6 +95,53 @@ def keyword_scores(docs: DataFrame, terms: Sequence[str], text: str = "text") ->
     return docs.withColumn("hits", hits).where("hits > 0").withColumn("score", 0.5 + 0.5 * F.col("hits") / len(terms))
 
 
+#: Hops, direction and edges that a question's intent expands seeds by; None follows all edges.
+EXPANSION = {"causal": (3, "out", ("CAUSES", "ENABLES", "TRIGGERS")), "temporal": (1, "both", None), "lookup": (1, "both", None), "exploratory": (2, "both", None)}
+
+
+def hybrid_search(vectors: DataFrame, edges: DataFrame, questions: DataFrame, k: int = 10, seeds: int = 10, fade: float = 0.5) -> DataFrame:
+    """(query_id, id, rank, score, source, via): each question's k best entities by vectors and graph together.
+
+    questions is (query_id, qv, intent); vectors (id, v); edges (src, dst, rel, confidence). The 2k nearest vectors are the
+    one side; their `seeds` best are expanded along edges as the intent says, a path's score being its seed's times its edges'
+    confidences times `fade` a hop. Weights follow the intent and the sizes of both sides; `via` is the seed of the best path.
+    """
+    found = stage(nearest(vectors, questions.select("query_id", "qv"), 2 * k).select("query_id", "id", F.col("score").alias("vs"), "rank"), "nearest")
+    asked = questions.select("query_id", "intent")
+    at = found.where(F.col("rank") <= seeds).join(asked, "query_id").select("query_id", "intent", F.col("id").alias("seed"), F.col("id").alias("node"), F.col("vs").alias("gs"))
+    edges = edges.select("src", "dst", "rel", F.coalesce("confidence", F.lit(1.0)).alias("c")).where("src != dst")
+    both = edges.select("src", "dst", "rel", "c", F.lit("out").alias("way")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "c", F.lit("in").alias("way")))
+    reached = None
+    for hop in range(1, max(h for h, _, _ in EXPANSION.values()) + 1):
+        may = F.lit(False)
+        for name, (hops, way, rels) in EXPANSION.items():
+            if hop <= hops:
+                allowed = F.lit(True) if rels is None else F.col("rel").isin(list(rels))
+                may = may | ((F.col("intent") == name) & allowed & (F.lit(True) if way == "both" else F.col("way") == way))
+        step = at.join(both, at["node"] == both["src"]).where(may).select("query_id", "intent", "seed", F.col("dst").alias("node"), (F.col("gs") * F.col("c") * fade).alias("gs"))
+        # The best path to each node is enough to go on from.
+        best = F.max(F.struct("gs", (-F.col("seed")).alias("less"))).alias("b")
+        at = stage(step.groupBy("query_id", "intent", "node").agg(best).select("query_id", "intent", (-F.col("b.less")).alias("seed"), "node", F.col("b.gs").alias("gs")), "reached")
+        reached = at if reached is None else reached.unionByName(at)
+    graph = reached.groupBy("query_id", F.col("node").alias("id")).agg(F.max(F.struct("gs", (-F.col("seed")).alias("less"))).alias("b")).select("query_id", "id", F.col("b.gs").alias("gs"), (-F.col("b.less")).alias("via"))
+    sizes = found.groupBy("query_id").agg(F.count("*").alias("nv")).join(graph.groupBy("query_id").agg(F.count("*").alias("ng")), "query_id", "full_outer").fillna(0, ["nv", "ng"])
+    weights = asked.join(sizes, "query_id").select("query_id", *fusion_weights(F.col("intent"), F.col("nv"), F.col("ng")))
+    fused = found.drop("rank").join(graph, ["query_id", "id"], "full_outer").join(weights, "query_id")
+    score = F.coalesce("vs", F.lit(0.0)) * F.col("wv") + F.coalesce("gs", F.lit(0.0)) * F.col("wg")
+    source = F.when(F.col("gs").isNull(), "vector").when(F.col("vs").isNull(), "graph").otherwise("hybrid")
+    out = fused.select("query_id", "id", F.round(score, 9).alias("score"), source.alias("source"), "via")
+    return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def fusion_weights(intent: Column, n_vector: Column, n_graph: Column, vector: float = 0.5, graph: float = 0.5) -> tuple[Column, Column]:
+    """adjusted_weights for each question: (wv, wg)."""
+    turn = F.when(intent == "temporal", -0.1).when(intent == "causal", -0.15).when(intent == "lookup", 0.1).otherwise(0.0)
+    a = vector + turn + F.when((n_graph < 5) & (n_vector > 10), 0.1).otherwise(0.0)
+    b = graph - turn + F.when((n_vector < 5) & (n_graph > 10), 0.1).otherwise(0.0)
+    a, b = (F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)) for x in (a, b))
+    return F.when(a + b > 0, a / (a + b)).otherwise(0.5).alias("wv"), F.when(a + b > 0, b / (a + b)).otherwise(0.5).alias("wg")
+
+
 def compatible(rows: DataFrame, current: int, version: str = "schema_version", score: str = "score") -> DataFrame:
     """rows with a score lowered by their schema's age; more than three versions behind is left out."""
     diff = F.lit(current) - F.col(version)
@@ -129,9 +204,6 @@ def quality(c: Column) -> Column:
 
 def diverse(rows: DataFrame, k: int, trade: float = 0.2, by: str = "query_id") -> DataFrame:
     """(by, id, place): maximal marginal relevance within each group's candidates (id, score, v), which are few (a top-k)."""
-    import numpy as np
-    import pandas as pd
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
         x = np.stack(pdf["v"].to_numpy()).astype(float)

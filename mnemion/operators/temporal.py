@@ -5,10 +5,11 @@ What needs the order of events works within an entity, so it partitions by that;
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections import deque
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,13 +80,14 @@ def ngrams(events: DataFrame, length: int, least: int = 3) -> DataFrame:
 
 def sequences(events: DataFrame, types: Sequence[str], max_gap_s: int) -> DataFrame:
     """From each event of the first type the earliest event of the next type after it within the gap, and so on; candidates
-    may be shared. One window a step: the next event of a type is the first non-null one among those that follow."""
+    may be shared. The next event of a type is the least among those that follow: a frame that only grows when an entity's
+    events are read backwards, so the work is linear."""
     # An event at the same time isn't after it: range frames leave it out.
-    later = W.partitionBy("entity").orderBy("t").rangeBetween(1, max_gap_s * SECOND)
+    later = W.partitionBy("entity").orderBy(F.desc("t")).rangeBetween(W.unboundedPreceding, -1)
     at = events.select("entity", "id", "t", "type")
     for a, b in zip(types[:-1], types[1:], strict=True):
         nxt = F.min(F.when(F.col("type") == b, F.struct("t", "id"))).over(later)
-        at = at.withColumn(f"next_{a}_{b}", nxt)
+        at = at.withColumn(f"next_{a}_{b}", F.when(nxt["t"] - F.col("t") <= max_gap_s * SECOND, nxt))
     heads = at.where(F.col("type") == types[0]).select("entity", F.col("id").alias("id_0"), F.col("t").alias("t_0"), F.col(f"next_{types[0]}_{types[1]}").alias("n"))
     heads = heads.where("n is not null").select("entity", "id_0", "t_0", F.col("n.id").alias("id_1"), F.col("n.t").alias("t_1"))
     for i in range(2, len(types)):
@@ -94,58 +96,110 @@ def sequences(events: DataFrame, types: Sequence[str], max_gap_s: int) -> DataFr
     return heads
 
 
-def match_one_to_one(a: np.ndarray, b: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:
-    """(i, j): in the order of a, each a takes the earliest b not yet taken with least <= b - a <= most. Both are sorted.
+class Matcher:
+    """One-to-one matches of a and b events that come in the order of time: an a takes the earliest b not yet taken with
+    least <= b - a <= most. A b is offered to the first a that still waits; one too early for it is too early for all others."""
 
-    Whatever b is too early for one a is too early for all that follow, so one pointer runs over b.
-    """
-    out, j = [], 0
-    for i, x in enumerate(a):
-        while j < len(b) and b[j] - x < least:
-            j += 1
-        if j < len(b) and b[j] - x <= most:
-            out.append((i, j))
-            j += 1
-    return out
+    def __init__(self, least: int, most: int):
+        self.least, self.most = least, most
+        self.waiting: deque = deque()
+
+    def add_a(self, t: int, name) -> None:
+        self.waiting.append((t, name))
+
+    def add_b(self, t: int):
+        """(time, name) of the a that takes this b, if any."""
+        while self.waiting and t - self.waiting[0][0] > self.most:
+            self.waiting.popleft()
+        return self.waiting.popleft() if self.waiting and t - self.waiting[0][0] >= self.least else None
+
+
+def match_one_to_one(a: np.ndarray, b: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:
+    """(i, j) of sorted times a and b, in the order of a."""
+    m, out = Matcher(least, most), []
+    for t, role, i in sorted([(t, 0, i) for i, t in enumerate(a)] + [(t, 1, i) for i, t in enumerate(b)]):
+        if role == 0:
+            m.add_a(t, i)
+        elif found := m.add_b(t):
+            out.append((found[1], i))
+    return sorted(out)
 
 
 def greedy_pairs(events: DataFrame, pairs: Iterable[tuple[str, str]], max_gap_s: int, min_lag_s: float = 1e-6) -> DataFrame:
-    """(entity, type_a, type_b, id_a, id_b, gap_s): one-to-one matches of each pair of types, within an entity.
+    """(entity, type_a, type_b, id_a, id_b, gap_s): one-to-one matches of each pair of different types, within an entity.
 
-    Each group is one entity's events of two types, in time order.
+    An entity's events are cut where nothing happens for longer than the gap; each run streams past one matcher a pair, which
+    holds only the events that still wait.
     """
-    wanted = events.sparkSession.createDataFrame([(a, b) for a, b in pairs], "type_a string, type_b string")
-    roles = wanted.select("*", F.explode(F.array(F.struct(F.col("type_a").alias("type"), F.lit(0).alias("role")), F.struct(F.col("type_b").alias("type"), F.lit(1).alias("role")))).alias("r")).select("type_a", "type_b", "r.*")
-    rows = events.join(F.broadcast(roles), "type").select("entity", "type_a", "type_b", "role", "id", "t")  # as many rows as pairs named
+    pairs = [(a, b) for a, b in pairs if a != b]
     least, most = max(1, int(min_lag_s * SECOND)), max_gap_s * SECOND
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"])
-        a, b = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        ta, tb = a["t"].to_numpy(), b["t"].to_numpy()
-        found = match_one_to_one(ta, tb, least, most)
-        i, j = [x for x, _ in found], [y for _, y in found]
-        head = pdf.iloc[0]
-        return pd.DataFrame({"entity": head["entity"], "type_a": head["type_a"], "type_b": head["type_b"], "id_a": a["id"].to_numpy()[i], "id_b": b["id"].to_numpy()[j], "gap_s": (tb[j] - ta[i]) / SECOND})
+    as_a: dict[str, list[int]] = {}
+    as_b: dict[str, list[int]] = {}
+    for i, (a, b) in enumerate(pairs):
+        as_a.setdefault(a, []).append(i)
+        as_b.setdefault(b, []).append(i)
+    w = W.partitionBy("entity").orderBy("t", "id")
+    rows = events.where(F.col("type").isin(sorted({*as_a, *as_b}))).select("entity", "type", "id", "t")
+    pause = F.coalesce((F.col("t") - F.lag("t").over(w) > most).cast("int"), F.lit(0))
+    rows = rows.withColumn("pause", pause).withColumn("run", F.sum("pause").over(w))
+    names = ["entity", "type_a", "type_b", "id_a", "id_b", "gap_s"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, open_a = None, []
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for entity, part, kind, i, t in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if (entity, part) != at:
+                    at, open_a = (entity, part), [Matcher(least, most) for _ in pairs]
+                for p in as_b.get(kind, ()):
+                    if found := open_a[p].add_b(t):
+                        for c, v in zip(out, (entity, *pairs[p], found[1], i, (t - found[0]) / SECOND), strict=True):
+                            c.append(v)
+                for p in as_a.get(kind, ()):
+                    open_a[p].add_a(t, i)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.float64())], names)
 
     kind = events.schema["entity"].dataType.simpleString()
-    return rows.groupBy("entity", "type_a", "type_b").applyInPandas(run, f"entity {kind}, type_a string, type_b string, id_a long, id_b long, gap_s double")
+    dealt = rows.repartition("entity", "run").sortWithinPartitions("entity", "run", "t", "id").select("entity", "run", "type", F.col("id").cast("long").alias("id"), "t")
+    return dealt.mapInArrow(run, f"entity {kind}, type_a string, type_b string, id_a long, id_b long, gap_s double")
+
+
+def types_of(events: DataFrame) -> list[str]:
+    """The types of events, which are few."""
+    return sorted(r.type for r in events.select("type").where("type is not null").distinct().collect())
 
 
-def within_gap(events: DataFrame, max_gap_s: int) -> DataFrame:
-    """(entity, id_a, type_a, id_b, type_b, gap): pairs of an entity's events with 0 < gap <= max_gap_s.
+def following(events: DataFrame, gap_s: int) -> DataFrame:
+    """(id, type_a, type_b, after, ties): of each event and each other type, how many events of it follow within the gap, and how many are at the same time.
 
-    An interval join as an equi-join: b is put into its bucket of max_gap_s and the one before, where its partners are.
+    Running counts of each type in an entity's order of time, read off just before and after an event's time and at the end
+    of its gap: linear, however many pairs there are.
     """
-    width = max_gap_s * SECOND
-    a = events.select("entity", F.col("id").alias("id_a"), F.col("type").alias("type_a"), F.col("t").alias("t_a"), F.floor(F.col("t") / width).alias("k"))
-    b = events.select("entity", F.col("id").alias("id_b"), F.col("type").alias("type_b"), F.col("t").alias("t_b"), F.explode(F.array(F.floor(F.col("t") / width), F.floor(F.col("t") / width) - 1)).alias("k"))
-    return a.join(b, ["entity", "k"]).where("t_b > t_a and t_b - t_a <= " + str(width)).select("entity", "id_a", "type_a", "id_b", "type_b", (F.col("t_b") - F.col("t_a")).alias("gap"))
+    types = types_of(events)
+    marks = F.array(*[F.struct((F.col("t") + d).alias("at"), F.lit(role).alias("role"), F.lit(i).alias("mark")) for d, role, i in ((0, -1, 0), (0, 0, 1), (0, 1, 2), (gap_s * SECOND, 1, 3))])
+    rows = events.where("type is not null").select("entity", "id", "type", F.explode(marks).alias("m")).select("entity", "id", "type", "m.*")
+    w = W.partitionBy("entity").orderBy("at", "role", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = F.array(*[F.sum(((F.col("mark") == 1) & (F.col("type") == k)).cast("long")).over(w) for k in types])
+    seen = rows.select("entity", "id", "type", "mark", counts.alias("c")).where("mark != 1")
+    read = [F.max(F.when(F.col("mark") == i, F.col("c"))).alias(f"c{i}") for i in (0, 2, 3)]
+    one = seen.groupBy("entity", "id", "type").agg(*read)
+    pairs = F.array(*[F.struct(F.lit(k).alias("type_b"), (F.col("c3")[i] - F.col("c2")[i]).alias("after"), (F.col("c2")[i] - F.col("c0")[i]).alias("ties")) for i, k in enumerate(types)])
+    out = one.select("id", F.col("type").alias("type_a"), F.explode(pairs).alias("p")).select("id", "type_a", "p.*")
+    return out.where("type_a != type_b")
+
+
+def nearest_following(events: DataFrame, gap_s: int) -> DataFrame:
+    """(type_a, type_b, avg_gap, min_gap): seconds from events of type a to the next of type b, where one follows within the gap."""
+    types = types_of(events)
+    later = W.partitionBy("entity").orderBy(F.desc("t")).rangeBetween(W.unboundedPreceding, -1)
+    nexts = F.array(*[F.struct(F.lit(k).alias("type_b"), (F.min(F.when(F.col("type") == k, F.col("t"))).over(later) - F.col("t")).alias("gap")) for k in types])
+    pairs = events.select(F.col("type").alias("type_a"), nexts.alias("n")).select("type_a", F.explode("n").alias("n")).select("type_a", "n.*").where(F.col("gap").isNotNull() & (F.col("gap") <= gap_s * SECOND) & (F.col("type_a") != F.col("type_b")))
+    return pairs.groupBy("type_a", "type_b").agg((F.avg("gap") / SECOND).alias("avg_gap"), (F.min("gap") / SECOND).alias("min_gap"))
 
 
 def cooccurrence(events: DataFrame, max_gap_s: int) -> DataFrame:
     """(type_a, type_b, n_a, n_b, observed): of the events of type a, those that an event of type b follows within the gap."""
-    observed = within_gap(events, max_gap_s).where("type_a != type_b").groupBy("type_a", "type_b").agg(F.count_distinct("id_a").alias("observed"))
+    observed = following(events, max_gap_s).where("after > 0").groupBy("type_a", "type_b").agg(F.count("*").alias("observed"))
     sizes = events.groupBy("type").agg(F.count("*").alias("n"))
     a, b = sizes.select(F.col("type").alias("type_a"), F.col("n").alias("n_a")), sizes.select(F.col("type").alias("type_b"), F.col("n").alias("n_b"))
     return observed.join(a, "type_a").join(b, "type_b").select("type_a", "type_b", "n_a", "n_b", "observed")
@@ -164,11 +218,11 @@ def significance(pairs: DataFrame, gap_days: float, range_days: float, alpha: fl
 
 
 def corrected(tests: DataFrame, order: Sequence[str], alpha: float = 0.05, method: str = "running_max") -> DataFrame:
-    """tests (one row per pair of types) with rank, bonferroni and fdr: Bonferroni- and false-discovery-corrected p-values.
+    """tests (one row per pair of types) with rank, bonferroni and fdr: Bonferroni- and false-discovery-corrected p-values. p-values that agree to nine places are ties.
 
     running_max takes the running maximum from the smallest p upward; standard is Benjamini and Hochberg's step-up minimum.
     """
-    w = W.orderBy("p_value", *order)  # as many rows as pairs of types
+    w = W.orderBy(F.round("p_value", 9), *order)  # as many rows as pairs of types
     n = F.count("*").over(W.partitionBy())
     ranked = tests.withColumn("rank", F.row_number().over(w)).withColumn("tests", n)
     ranked = ranked.withColumn("bonferroni", F.least(F.lit(1.0), F.col("p_value") * F.col("tests"))).withColumn("raw", F.least(F.lit(1.0), F.col("p_value") * F.col("tests") / F.col("rank")))
@@ -183,10 +237,10 @@ def precedence(events: DataFrame, lag_s: int, least: int = 3, threshold: float =
 
     Equal times count as b before a.
     """
-    near = within_gap(events, lag_s).where("type_a != type_b").select(F.least("type_a", "type_b").alias("a"), F.greatest("type_a", "type_b").alias("b"), (F.col("type_a") < F.col("type_b")).cast("int").alias("first"))
-    x, y = events.alias("x"), events.alias("y")
-    ties = x.join(y, (F.col("x.entity") == F.col("y.entity")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.type") < F.col("y.type"))).select(F.col("x.type").alias("a"), F.col("y.type").alias("b"), F.lit(0).alias("first"))
-    out = near.unionByName(ties).groupBy("a", "b").agg(F.count("*").alias("pairs"), F.sum("first").alias("n_ab")).where(F.col("pairs") >= least)
+    counts = following(events, lag_s).groupBy("type_a", "type_b").agg(F.sum("after").alias("after"), F.sum("ties").alias("ties"))
+    first = F.col("type_a") < F.col("type_b")
+    sides = counts.select(F.least("type_a", "type_b").alias("a"), F.greatest("type_a", "type_b").alias("b"), F.when(first, F.col("after")).otherwise(0).alias("ab"), F.when(first, F.col("ties")).otherwise(F.col("after")).alias("ba"))
+    out = sides.groupBy("a", "b").agg(F.sum(F.col("ab") + F.col("ba")).alias("pairs"), F.sum("ab").alias("n_ab")).where(F.col("pairs") >= least)
     p = F.col("n_ab") / F.col("pairs")
     return out.select(F.col("a").alias("type_a"), F.col("b").alias("type_b"), "pairs", p.alias("p_ab"), (1 - p).alias("p_ba"), F.when(p >= threshold, "a->b").when(1 - p >= threshold, "b->a").otherwise("none").alias("edge"))
 
@@ -223,12 +277,69 @@ def lag_buckets(matches: DataFrame, lo_s: float, width_s: float, least: int = 3,
 
 def correlations(events: DataFrame, max_gap_s: int, least: int = 2, causal_consistency: float = 0.5) -> DataFrame:
     """Gap statistics of the one-to-one matches of all ordered pairs of types, and whether each is a causal candidate."""
-    types = [r.type for r in events.select("type").where("type is not null").distinct().collect()]  # kinds of events
+    types = types_of(events)
     matched = greedy_pairs(events, [(a, b) for a in types for b in types if a != b], max_gap_s)
     out = gap_statistics(matched, ["type_a", "type_b"]).where(F.col("n") >= least)
     return out.withColumn("causal", (F.col("n") >= 2 * least) & (F.col("consistency") >= causal_consistency))
 
 
+def scanned(events: DataFrame, max_gap_s: int, least: int = 3, drop: bool = True) -> DataFrame:
+    """The correlations of all ordered pairs of types that agree with the causal order of types, tested and corrected.
+
+    The matches of a pair are its observations, the table's span of time the range that is expected of chance. Those that
+    aren't significant after correction are dropped, or else flagged.
+    """
+    found = correlations(events, max_gap_s, least).withColumnRenamed("n", "observed")
+    order, _ = causal_order(precedence(events, 72 * 3600))  # a list of types
+    place = lambda c: F.array_position(F.array(*[F.lit(t) for t in order]).cast("array<string>"), F.col(c))
+    found = found.where((place("type_a") == 0) | (place("type_b") == 0) | (place("type_a") < place("type_b")))
+    sizes = events.groupBy("type").agg(F.count("*").alias("n"))
+    found = found.join(sizes.select(F.col("type").alias("type_a"), F.col("n").alias("n_a")), "type_a").join(sizes.select(F.col("type").alias("type_b"), F.col("n").alias("n_b")), "type_b")
+    span = events.agg(((F.max("t") - F.min("t")) / DAY).alias("days")).first().days or 0.0
+    tested = corrected(significance(found, max_gap_s * SECOND / DAY, span), ["type_a", "type_b"]).withColumn("remains", F.col("significant") & F.col("fdr_significant"))
+    return tested.where("remains") if drop else tested
+
+
+def summary(correlations: DataFrame) -> DataFrame:
+    """(total, causal, avg_strength, strongest) of correlations, one row; strongest is null where there are none."""
+    best = F.max(F.struct("strength", F.concat_ws(" > ", "type_a", "type_b").alias("pair")))
+    return correlations.agg(F.count("*").alias("total"), F.count_if("causal").alias("causal"), F.coalesce(F.avg("strength"), F.lit(0.0)).alias("avg_strength"), best.alias("b")).select("total", "causal", "avg_strength", F.col("b.pair").alias("strongest"))
+
+
+def neighbourhood(edges: DataFrame, centres: DataFrame, times: DataFrame, window_s: int) -> DataFrame:
+    """(centre, neighbour, rel, way, decay): nodes one edge away from centres (id, t), either way, near in time.
+
+    An edge counts if its valid_from is within the window around the centre's time or null, or if the neighbour is an event
+    (times: id, t) within it. decay is that of the time between the centre and the neighbour, 1 where it has none.
+    """
+    ways = edges.select(F.col("src").alias("centre"), F.col("dst").alias("neighbour"), "rel", "valid_from", F.lit("outgoing").alias("way")).unionByName(edges.select(F.col("dst").alias("centre"), F.col("src").alias("neighbour"), "rel", "valid_from", F.lit("incoming").alias("way")))
+    near = ways.join(centres.select(F.col("id").alias("centre"), F.col("t").alias("t_centre")), "centre").join(times.select(F.col("id").alias("neighbour"), F.col("t").alias("t_neighbour")), "neighbour", "left")
+    inside = lambda c: F.abs(c - F.col("t_centre")) <= window_s * SECOND
+    valid = F.unix_micros(F.col("valid_from").cast("timestamp"))
+    found = near.where(valid.isNull() | inside(valid) | F.coalesce(inside(F.col("t_neighbour")), F.lit(False)))
+    days = F.abs(F.col("t_neighbour") - F.col("t_centre")) / DAY
+    return found.select("centre", "neighbour", "rel", "way", F.coalesce(stats.decay(days), F.lit(1.0)).alias("decay")).distinct()
+
+
+def hybrid_neighbourhood(graph: DataFrame, similar: DataFrame, vector_weight: float = 0.3) -> DataFrame:
+    """(centre, neighbour, score): the best decay of each neighbour and its similarity (centre, neighbour, similarity), weighted; 0 where one is missing."""
+    near = graph.groupBy("centre", "neighbour").agg(F.max("decay").alias("decay"))
+    both = near.join(similar, ["centre", "neighbour"], "full_outer")
+    return both.select("centre", "neighbour", ((1 - vector_weight) * F.coalesce("decay", F.lit(0.0)) + vector_weight * F.coalesce("similarity", F.lit(0.0))).alias("score"))
+
+
+def overlapping(intervals: DataFrame, others: DataFrame, width_s: int) -> DataFrame:
+    """(id_a, id_b) of rows (id, lo, hi) of two tables whose intervals, both ends included, overlap: a range join.
+
+    Each interval goes to every bucket of `width_s` that it touches, and a pair is reported by the first bucket of both, so
+    only rows of a bucket meet, in an equi-join that Spark can split.
+    """
+    width = width_s * SECOND
+    dealt = lambda df, s: df.select(F.col("id").alias(f"id_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"), F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("bucket"))
+    met = dealt(intervals, "a").join(dealt(others, "b"), "bucket").where("lo_a <= hi_b and lo_b <= hi_a")
+    return met.where(F.col("bucket") == F.floor(F.greatest("lo_a", "lo_b") / width)).select("id_a", "id_b")
+
+
 def rhythm(events: DataFrame) -> DataFrame:
     """(entity, n, period_s, cv, cyclic, trend, ratio) of each entity: regular gaps, and the later half's gaps against the earlier's."""
     w = W.partitionBy("entity").orderBy("t", "id")

@@ -24,12 +24,12 @@ def one_hop_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 def one_hop_in(spark: SparkSession, d: str) -> DataFrame:
-    suppliers = table(spark, d, "supplier").where("s_suppkey <= 5").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"))
+    suppliers = table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"))
     return op.one_hop(knowledge_edges(spark, d), suppliers, "in")
 
 
 def one_hop_both(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").where("p_partkey <= 20").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
+    parts = table(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
     return op.one_hop(knowledge_edges(spark, d), parts, "both")
 
 
@@ -68,8 +68,9 @@ SELECT start, "end", hops::INTEGER AS hops, round({aggregate}, 6) AS confidence
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     """From the first event that starts a chain of two edges to its end."""
     e = causal_edges(spark, d)
-    chain = op.paths(e, _events(spark, d), 2, 2).orderBy("start", "end").first()
-    return op.shortest(e, chain.start, chain.end).select(F.col("nodes")[0].alias("start"), F.element_at("nodes", -1).alias("end"), "hops", F.round("confidence", 6).alias("confidence"))
+    found = op.paths(e, _events(spark, d), 2, 2).agg(F.min(F.struct("start", "end")).alias("m")).first().m
+    start, end = (found.start, found.end) if found else (-1, -1)  # without a chain there is no path
+    return op.shortest(e, start, end).select(F.col("nodes")[0].alias("start"), F.element_at("nodes", -1).alias("end"), "hops", F.round("confidence", 6).alias("confidence"))
 
 
 def path_validity(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +95,7 @@ def confounders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _supplied(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
 
 
 def shared_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +103,7 @@ def shared_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return s.select("a", "b", "shared", F.round("jaccard", 9).alias("jaccard"), F.round("adamic", 6).alias("adamic"))
 
 
-SHARED = """s AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_quantity >= 45), deg AS (SELECT src, count(*) AS d FROM s GROUP BY 1), w AS (SELECT dst, 1 / ln(count(*)) AS w FROM s GROUP BY 1 HAVING count(*) > 1),
+SHARED = """s AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), deg AS (SELECT src, count(*) AS d FROM s GROUP BY 1), w AS (SELECT dst, 1 / ln(count(*)) AS w FROM s GROUP BY 1 HAVING count(*) > 1),
 t AS (SELECT x.src AS a, y.src AS b, count(*) AS shared, sum(w.w) AS adamic FROM s x JOIN s y ON x.dst = y.dst AND x.src < y.src JOIN w ON w.dst = x.dst GROUP BY 1, 2),
 j AS (SELECT a, b, shared, shared / (p.d + q.d - shared) AS jaccard, adamic FROM t JOIN deg p ON p.src = a JOIN deg q ON q.src = b)"""
 
@@ -118,8 +119,9 @@ def pattern_support(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missing_relation(spark: SparkSession, d: str) -> DataFrame:
+    """Customers who placed no order in the last year of the table."""
     customers = table(spark, d, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
-    return op.missing_relation(customers, knowledge_edges(spark, d), "PLACED")
+    return op.missing_relation(customers, knowledge_edges(spark, d).where("valid_from >= '2001-01-01'"), "PLACED")
 
 
 def schema_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -136,9 +138,9 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _communities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Customers and suppliers by nation; edges by lines of large quantity."""
+    """Customers and suppliers by nation; edges by lines."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"))
-    edges = table(spark, d, "lineitem").where("l_quantity >= 48").join(o, "l_orderkey").select("src", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    edges = table(spark, d, "lineitem").join(o, "l_orderkey").select("src", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
     c = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_nationkey").alias("community"))
     s = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_nationkey").alias("community"))
     return edges, c.unionByName(s)
@@ -162,24 +164,29 @@ def spread_relevance(spark: SparkSession, d: str) -> DataFrame:
 def bradford_hill(spark: SparkSession, d: str) -> DataFrame:
     events = event_nodes(spark, d)
     tested = temporal.significance(temporal.cooccurrence(events, 3600), 3600 / 86400, 30.0)
-    near = temporal.within_gap(events, 3600).where("type_a != type_b").groupBy("type_a", "type_b").agg((F.avg("gap") / 1e6).alias("avg_gap"), (F.min("gap") / 1e6).alias("min_gap"))
-    pairs = tested.join(near, ["type_a", "type_b"]).withColumn("strength", F.col("observed") / F.col("n_a")).withColumnRenamed("observed", "n").withColumns({"causes": F.lit(4), "effects": F.lit(4)})
+    near = temporal.nearest_following(events, 3600)
+    causes = tested.groupBy("type_b").agg(F.count("*").alias("causes"))
+    effects = tested.groupBy("type_a").agg(F.count("*").alias("effects"))
+    pairs = tested.join(near, ["type_a", "type_b"]).join(causes, "type_b").join(effects, "type_a").withColumn("strength", F.col("observed") / F.col("n_a")).withColumnRenamed("observed", "n")
+    # What more is known of a pair: how well it is supported, whether the opposite direction is as frequent, a dose and response.
+    back = tested.select(F.col("type_a").alias("type_b"), F.col("type_b").alias("type_a"), F.col("observed").alias("n_back"))
+    pairs = pairs.join(back, ["type_a", "type_b"], "left").withColumns({"data_support": F.least(F.lit(1.0), F.col("n") / 100), "contradicted": F.coalesce(F.col("n_back") > F.col("n"), F.lit(False)), "monotonic": F.col("n") > F.col("expected"), "mechanism": F.col("effect_label") != "negligible"})
     out = op.bradford_hill(pairs)
-    return out.select("type_a", "type_b", *[F.round(c, 5).alias(c) for c in ("bh_strength", "bh_consistency", "bh_specificity", "bh_temporality", "score")], "verdict")
+    return out.select("type_a", "type_b", *[F.round(c, 5).alias(c) for c in ("bh_strength", "bh_consistency", "bh_specificity", "bh_temporality", "bh_gradient", "bh_plausibility", "bh_coherence", "bh_analogy", "score")], "verdict")
 
 
 QUERIES = {f.__name__: f for f in (one_hop_out, one_hop_in, one_hop_both, optional_match, causal_chain, find_effects, find_causes, shortest_path, path_validity, chain_scores, mediators, confounders, shared_neighbours, predicted_links, pattern_support, missing_relation, schema_stats, memory_decay, components, community_links, label_communities, spread_relevance, bradford_hill)}
 
 COMMUNITIES = """m AS (SELECT 'c' || c_custkey AS id, c_nationkey AS community FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey FROM supplier),
-x AS (SELECT a.community AS ca, b.community AS cb FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN m a ON a.id = 'c' || o_custkey JOIN m b ON b.id = 's' || l_suppkey WHERE l_quantity >= 48),
+x AS (SELECT a.community AS ca, b.community AS cb FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN m a ON a.id = 'c' || o_custkey JOIN m b ON b.id = 's' || l_suppkey),
 i AS (SELECT ca AS community, count(*) AS internal FROM x WHERE ca = cb GROUP BY 1), o AS (SELECT community, count(*) AS external FROM (SELECT ca AS community FROM x WHERE ca != cb UNION ALL SELECT cb FROM x WHERE ca != cb) GROUP BY 1),
 z AS (SELECT m.community, count(*) AS size, coalesce(any_value(internal), 0) AS internal, coalesce(any_value(external), 0) AS external FROM m LEFT JOIN i ON i.community = m.community LEFT JOIN o ON o.community = m.community GROUP BY 1),
 r AS (SELECT *, CASE WHEN internal + external > 0 THEN external / (internal + external) ELSE 0 END AS ratio0, CASE WHEN size > 1 THEN internal / (size * (size - 1) / 2) ELSE 0 END AS density0 FROM z)"""
 
 SQL = {
     "one_hop_out": f"WITH {K} SELECT DISTINCT src AS id, dst AS neighbour, rel FROM k JOIN customer ON src = 'customer:' || c_custkey WHERE c_nationkey = 3",
-    "one_hop_in": f"WITH {K} SELECT DISTINCT dst AS id, src AS neighbour, rel FROM k JOIN supplier ON dst = 'supplier:' || s_suppkey WHERE s_suppkey <= 5",
-    "one_hop_both": f"WITH {K} SELECT src AS id, dst AS neighbour, rel FROM k JOIN part ON src = 'part:' || p_partkey WHERE p_partkey <= 20 UNION SELECT dst, src, rel FROM k JOIN part ON dst = 'part:' || p_partkey WHERE p_partkey <= 20",
+    "one_hop_in": f"WITH {K} SELECT DISTINCT dst AS id, src AS neighbour, rel FROM k JOIN supplier ON dst = 'supplier:' || s_suppkey",
+    "one_hop_both": f"WITH {K} SELECT src AS id, dst AS neighbour, rel FROM k JOIN part ON src = 'part:' || p_partkey UNION SELECT dst, src, rel FROM k JOIN part ON dst = 'part:' || p_partkey",
     "optional_match": "SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "causal_chain": _path_sql("signup", 4, 0.0, False, "list_product(cs)"),
     "find_effects": _path_sql("purchase", 3, 0.6, False, "list_min(cs)"),
@@ -196,7 +203,7 @@ SQL = {
     "predicted_links": f"""WITH {SHARED}, n AS (SELECT * FROM j WHERE NOT EXISTS (SELECT 1 FROM supplier x JOIN supplier y USING (s_nationkey) WHERE x.s_suppkey = a AND y.s_suppkey = b)),
         m AS (SELECT greatest(1.0, max(adamic)) AS top FROM n) SELECT a, b, round((least(1.0, shared / 10) + jaccard + adamic / top) / 3, 6) AS score FROM n, m""",
     "pattern_support": f"WITH {K} SELECT split_part(src, ':', 1) AS src_label, rel, split_part(dst, ':', 1) AS dst_label, count(*) AS support FROM k GROUP BY 1, 2, 3",
-    "missing_relation": "SELECT 'customer:' || c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "missing_relation": "SELECT 'customer:' || c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= '2001-01-01')",
     "schema_stats": f"WITH {K} SELECT rel, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM k GROUP BY 1",
     "memory_decay": f"""WITH {K}, n AS (SELECT id, count(*) AS degree, max(valid_from) AS last FROM (SELECT src AS id, valid_from FROM k WHERE rel = 'SUPPLIED_BY' UNION ALL SELECT dst, valid_from FROM k WHERE rel = 'SUPPLIED_BY') GROUP BY 1),
         d AS (SELECT id, date_diff('day', last::DATE, DATE '1998-12-31')::DOUBLE AS days, degree / max(degree) OVER () AS importance FROM n), r AS (SELECT *, exp(-0.693 * greatest(days, 0) / 30) AS decay FROM d)
@@ -209,8 +216,13 @@ SQL = {
         b AS (SELECT id, sum(score) AS score FROM (SELECT dst AS id, w * score AS score FROM d JOIN a ON a.id = d.src UNION ALL SELECT id, (1 - 0.85) * score FROM s) GROUP BY 1) SELECT id, round(score, 9) AS score FROM b""",
     "bradford_hill": f"""WITH {TESTED}, near AS (SELECT a.type AS type_a, b.type AS type_b, avg(b.t - a.t) / 1e6 AS avg_gap, min(b.t - a.t) / 1e6 AS min_gap FROM e a JOIN e b ON a.entity = b.entity AND b.t > a.t AND b.t - a.t <= 3600000000 AND a.type != b.type GROUP BY 1, 2),
         h AS (SELECT s.type_a, s.type_b, least(1.0, greatest(0.0, 0.4 * least(observed / n_a, 1.0) + CASE WHEN effect > 2 THEN .3 WHEN effect > 1.5 THEN .2 WHEN effect > 1 THEN .1 ELSE 0 END + CASE WHEN p_value < .001 THEN .3 WHEN p_value < .01 THEN .2 WHEN p_value < .05 THEN .15 ELSE 0 END))::DOUBLE AS st,
-          (0.5 + CASE WHEN observed >= 20 THEN .3 WHEN observed >= 10 THEN .2 WHEN observed >= 5 THEN .1 ELSE -.2 END)::DOUBLE AS co, 0.4::DOUBLE AS sp, CASE WHEN avg_gap > 0 AND min_gap >= 0 THEN 1.0 WHEN avg_gap > 0 THEN .8 ELSE .3 END::DOUBLE AS te FROM s JOIN near n ON n.type_a = s.type_a AND n.type_b = s.type_b),
-        r AS (SELECT *, (st + co + sp + 1.5 * te) / 4.5 AS score0 FROM h)
-        SELECT type_a, type_b, round(st, 5) AS bh_strength, round(co, 5) AS bh_consistency, round(sp, 5) AS bh_specificity, round(te, 5) AS bh_temporality, round(score0, 5) AS score,
+          (0.5 + CASE WHEN observed >= 20 THEN .3 WHEN observed >= 10 THEN .2 WHEN observed >= 5 THEN .1 ELSE -.2 END)::DOUBLE AS co,
+          (0.5 + CASE WHEN nc > 5 THEN -.2 WHEN nc > 2 THEN -.1 ELSE .1 END + CASE WHEN ne > 5 THEN -.1 ELSE 0 END)::DOUBLE AS sp, CASE WHEN avg_gap > 0 AND min_gap >= 0 THEN 1.0 WHEN avg_gap > 0 THEN .8 ELSE .3 END::DOUBLE AS te,
+          least(1.0, least(1.0, 0.5 + CASE WHEN observed > expected THEN .3 ELSE 0 END) + CASE WHEN effect > 1.5 THEN .1 ELSE 0 END)::DOUBLE AS gr,
+          (0.5 + CASE WHEN effect_label != 'negligible' THEN .2 + CASE WHEN observed / n_a > .6 THEN .1 ELSE 0 END ELSE 0 END)::DOUBLE AS pl,
+          least(1.0, greatest(0.0, 0.5 + CASE WHEN coalesce(n_back > observed, false) THEN -.3 ELSE .1 END + 0.2 * least(1.0, observed / 100)))::DOUBLE AS ch, 0.5::DOUBLE AS an
+          FROM (SELECT s.*, count(*) OVER (PARTITION BY s.type_b) AS nc, count(*) OVER (PARTITION BY s.type_a) AS ne, k.observed AS n_back FROM s LEFT JOIN s k ON k.type_a = s.type_b AND k.type_b = s.type_a) s JOIN near n ON n.type_a = s.type_a AND n.type_b = s.type_b),
+        r AS (SELECT *, (st + co + sp + 1.5 * te + gr + pl + ch + an) / 8.5 AS score0 FROM h)
+        SELECT type_a, type_b, round(st, 5) AS bh_strength, round(co, 5) AS bh_consistency, round(sp, 5) AS bh_specificity, round(te, 5) AS bh_temporality, round(gr, 5) AS bh_gradient, round(pl, 5) AS bh_plausibility, round(ch, 5) AS bh_coherence, round(an, 5) AS bh_analogy, round(score0, 5) AS score,
           CASE WHEN te < .5 THEN 'not_causal' WHEN score0 >= .75 THEN 'strong' WHEN score0 >= .55 THEN 'moderate' WHEN score0 >= .4 THEN 'weak' WHEN score0 >= .25 THEN 'very_weak' ELSE 'not_causal' END AS verdict FROM r""",
 }

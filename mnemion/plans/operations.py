@@ -14,13 +14,9 @@ T = "epoch_us(ts)"
 
 
 def audit_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Orders of a customer as a log of two entries a chain: built whole, with every 97th payload changed and every 89th link cut."""
+    """Each customer's orders as a hash-chained log, of which every 97th payload was changed and every 89th link cut, verified whole."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("stream"), F.col("o_orderkey").alias("seq"), F.concat_ws(":", "o_orderkey", "o_orderstatus").alias("payload"))
-    w = W.partitionBy("stream").orderBy("seq")
-    first = o.withColumn("k", F.row_number().over(w)).where("k <= 2")
-    h1 = F.sha2(F.concat_ws("|", F.lit(""), F.when(F.col("k") == 1, F.col("payload")).otherwise(F.lag("payload").over(w))).cast("binary"), 256)
-    prev = F.when(F.col("k") == 1, F.lit("")).when(F.col("seq") % 89 == 0, F.lit("cut")).otherwise(h1)
-    log = first.withColumn("prev_hash", prev).withColumn("chain_hash", F.sha2(F.concat_ws("|", "prev_hash", "payload").cast("binary"), 256))
+    log = op.chained(o.withColumn("cut", F.col("seq") % 89 == 0))
     log = log.withColumn("payload", F.when(F.col("seq") % 97 == 0, F.lit("changed")).otherwise(F.col("payload")))
     return op.audit_breaks(log).select("stream", "seq", "tampered", "unlinked")
 
@@ -95,7 +91,7 @@ def entity_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_contains(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where(F.lower("p_name").contains("1")).select("p_partkey", "p_name")
+    return table(spark, d, "part").where(F.lower("p_name").contains("ring")).select("p_partkey", "p_name")
 
 
 def count_by_label(spark: SparkSession, d: str) -> DataFrame:
@@ -114,8 +110,9 @@ def page_with_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_upsert(spark: SparkSession, d: str) -> DataFrame:
-    old = table(spark, d, "customer").where("c_custkey % 3 != 0").select("c_custkey", "c_name", "c_acctbal")
-    new = table(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", F.lit(None).cast("string").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    """An older version of the whole table, without a segment, and changes to customers of another."""
+    old = table(spark, d, "customer").where("c_mktsegment != 'BUILDING'").select("c_custkey", "c_name", "c_acctbal")
+    new = table(spark, d, "customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')").select("c_custkey", F.lit(None).cast("string").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
     return src.upsert(old, new, "c_custkey").select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
@@ -126,8 +123,10 @@ def cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def append_new(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    return src.append_new(c.where("c_custkey <= 100"), c.where("c_custkey > 50 and c_custkey <= 200"), "c_custkey")
+    """An older version of the whole table, without a segment, and a newer one without customers in debt."""
+    c = table(spark, d, "customer")
+    old, new = c.where("c_mktsegment != 'BUILDING'"), c.where("c_acctbal >= 0")
+    return src.append_new(old.select("c_custkey", "c_nationkey"), new.select("c_custkey", "c_nationkey"), "c_custkey")
 
 
 def grouping_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -150,8 +149,8 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (audit_verify, sliding_violations, volume_spikes, queue_order, status_counts, illegal_transitions, latency_percentiles, jain_fairness, retry_delays, search_rates, bandit_scores, prior_confidence, missing_synthesis, type_preferences, insight_scores, entity_filter, name_contains, count_by_label, page_with_total, merged_upsert, cascade, append_new, grouping_summary, distinct_partners, revenue_by_nation)}
 
 SQL = {
-    "audit_verify": """WITH f AS (SELECT o_custkey AS stream, o_orderkey AS seq, o_orderkey || ':' || o_orderstatus AS payload, row_number() OVER w AS k, lag(o_orderkey || ':' || o_orderstatus) OVER w AS before, lag(o_orderkey) OVER w AS before_seq FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
-        l AS (SELECT * FROM f WHERE k <= 2) SELECT stream, seq, seq % 97 = 0 AS tampered, k = 2 AND seq % 89 = 0 AS unlinked FROM l WHERE seq % 97 = 0 OR (k = 2 AND seq % 89 = 0)""",
+    "audit_verify": """WITH f AS (SELECT o_custkey AS stream, o_orderkey AS seq, o_orderkey % 97 = 0 AS tampered, o_orderkey % 89 = 0 AND o_orderkey > min(o_orderkey) OVER (PARTITION BY o_custkey) AS unlinked FROM orders)
+        SELECT * FROM f WHERE tampered OR unlinked""",
     "sliding_violations": f"""WITH e AS (SELECT event_id AS id, user_id AS entity, {T} AS t FROM events WHERE event_type = 'error'), c AS (SELECT *, count(*) OVER (PARTITION BY entity ORDER BY t RANGE BETWEEN 36000000000 PRECEDING AND CURRENT ROW) AS in_window FROM e)
         SELECT entity, t // 3600000000 AS hour, id, in_window FROM c WHERE in_window >= 2 QUALIFY row_number() OVER (PARTITION BY entity, t // 3600000000 ORDER BY t, id) = 1""",
     "volume_spikes": """WITH d AS (SELECT user_id AS entity, ts::DATE AS day, sum(value) AS volume FROM events GROUP BY 1, 2), b AS (SELECT *, avg(volume) OVER w AS baseline, count(volume) OVER w AS n FROM d WINDOW w AS (PARTITION BY entity ORDER BY day ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING))
@@ -171,12 +170,12 @@ SQL = {
         SELECT entity, round(least(1.0, 0.5 + CASE WHEN n >= 10 THEN .2 WHEN n >= 5 THEN .1 ELSE 0 END + CASE WHEN p <= .01 THEN .3 WHEN p <= .05 THEN .2 WHEN p <= .1 THEN .1 ELSE 0 END + 0.2 * s), 6) AS confidence,
           round(least(1.0, 0.3 + 0.3 * s + CASE WHEN p < .01 THEN .2 WHEN p < .05 THEN .15 WHEN p < .1 THEN .1 ELSE 0 END + CASE WHEN n >= 20 THEN .1 WHEN n >= 10 THEN .05 ELSE 0 END + 0.05), 6) AS support FROM r""",
     "entity_filter": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey = 5 AND c_acctbal > 0",
-    "name_contains": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1')",
+    "name_contains": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')",
     "count_by_label": " UNION ALL ".join(f"SELECT '{n}' AS label, count(*) AS n FROM {n}" for n in ("customer", "supplier", "part", "orders", "events", "documents")),
     "page_with_total": "SELECT c_custkey, 150 < (SELECT count(*) FROM customer) AS has_more FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 100",
-    "merged_upsert": "SELECT c_custkey, CASE WHEN c_custkey % 3 != 0 THEN c_name END AS c_name, round(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END, 2) AS c_acctbal FROM customer WHERE c_custkey % 3 != 0 OR c_custkey % 2 = 0",
+    "merged_upsert": "SELECT c_custkey, CASE WHEN c_mktsegment != 'BUILDING' THEN c_name END AS c_name, round(CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_acctbal + 1 ELSE c_acctbal END, 2) AS c_acctbal FROM customer",
     "cascade": "SELECT (SELECT count(*) FROM customer WHERE c_custkey % 4 != 0) AS nodes, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)) AS edges",
-    "append_new": "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey <= 200",
+    "append_new": "SELECT c_custkey, c_nationkey FROM customer WHERE c_mktsegment != 'BUILDING' OR c_acctbal >= 0",
     "grouping_summary": "SELECT event_type AS type, (isodow(ts) - 1)::INTEGER AS weekday, count(*) AS n, (grouping(event_type) * 2 + grouping((isodow(ts) - 1)::INTEGER))::BIGINT AS level FROM events GROUP BY CUBE (event_type, (isodow(ts) - 1)::INTEGER)",
     "distinct_partners": "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, strftime(max(l_shipdate), '%Y-%m-%d') AS latest FROM lineitem GROUP BY 1",
     "revenue_by_nation": "SELECT n_name, round(sum((l_extendedprice * (1 - l_discount))::DECIMAL(28, 6))::DOUBLE, 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from mnemion.functions import vectors as v
 from mnemion.operators import retrieval as op
-from mnemion.sources.tables import table
+from mnemion.operators.ranking import global_rank
+from mnemion.plans.temporal import EDGES
+from mnemion.sources.tables import causal_edges, table
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -15,7 +17,8 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, d).where("id < 10").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    """The stated query set of the searches, against all rows."""
+    return _vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
 
 
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -30,12 +33,12 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     return op.nearest(_vectors(spark, d).where("label in (1, 2, 3)").select("id", "v"), _queries(spark, d), 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-KNN = """x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT id AS query_id, v AS qv FROM x WHERE id < 10),
+KNN = """x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT id AS query_id, v AS qv FROM x WHERE id % 20 = 0),
 s AS (SELECT query_id, id, label, list_dot_product(v, qv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv))) AS cos, 1 / (1 + list_distance(v, qv)) AS l2 FROM x, q WHERE id != query_id)"""
 
 
 def _ranked(by: str, k: int, where: str = "true") -> str:
-    return f"WITH {KNN}, r AS (SELECT query_id, id, {by} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {by} DESC, id)::INTEGER AS rank FROM s WHERE {where}) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= {k}"
+    return f"WITH {KNN}, r AS (SELECT query_id, id, {by} AS score, row_number() OVER (PARTITION BY query_id ORDER BY round({by}, 12) DESC, id)::INTEGER AS rank FROM s WHERE {where}) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= {k}"
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -50,12 +53,10 @@ def weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     lists = []
     for side in _sides(spark, d):
         best = side.groupBy("id").agg(F.max("score").alias("score"))
-        lists.append(best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id"))))  # one row a user
+        lists.append(global_rank(best, F.desc("score"), "id"))
     return op.rank_fusion(lists).select("id", F.round("score", 12).alias("score"))
 
 
@@ -133,6 +134,27 @@ def embedding_consistency(spark: SparkSession, d: str) -> DataFrame:
     return missing.join(orphans).join(total).select("missing", "orphans", F.round(F.greatest(F.lit(0.0), (F.col("total") - F.col("missing")) / F.col("total")), 9).alias("ratio"))  # three single rows
 
 
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Questions are the stated set of vectors with intents in turn; entities are joined by consecutive events of one user."""
+    intents = F.array(*[F.lit(x) for x in ("causal", "temporal", "lookup", "exploratory")])
+    asked = _queries(spark, d).withColumn("intent", F.element_at(intents, ((F.col("query_id") / 20).cast("int") % 4) + 1))
+    out = op.hybrid_search(_vectors(spark, d).select("id", "v"), causal_edges(spark, d), asked)
+    return out.select("query_id", "id", "rank", F.round("score", 6).alias("score"), "source", "via")
+
+
+HYBRID = """n AS (SELECT query_id, id, round(cos, 12) AS vs, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 12) DESC, id) AS r FROM s),
+v AS (SELECT * FROM n WHERE r <= 20), i AS (SELECT query_id, CASE query_id // 20 % 4 WHEN 0 THEN 'causal' WHEN 1 THEN 'temporal' WHEN 2 THEN 'lookup' ELSE 'exploratory' END AS intent FROM q),
+b AS (SELECT src, dst, confidence AS c, true AS forth FROM g UNION ALL SELECT dst, src, confidence, false FROM g),
+h1 AS (SELECT query_id, intent, node, max(gs) AS gs, arg_max(seed, (gs, -seed)) AS seed FROM (SELECT v.query_id, intent, dst AS node, vs * c * 0.5 AS gs, v.id AS seed FROM v JOIN i USING (query_id) JOIN b ON b.src = v.id WHERE r <= 10 AND (intent != 'causal' OR forth)) GROUP BY 1, 2, 3),
+h2 AS (SELECT query_id, intent, node, max(gs) AS gs, arg_max(seed, (gs, -seed)) AS seed FROM (SELECT query_id, intent, dst AS node, gs * c * 0.5 AS gs, seed FROM h1 JOIN b ON b.src = h1.node WHERE intent = 'exploratory' OR intent = 'causal' AND forth) GROUP BY 1, 2, 3),
+h3 AS (SELECT query_id, intent, node, max(gs) AS gs, arg_max(seed, (gs, -seed)) AS seed FROM (SELECT query_id, intent, dst AS node, gs * c * 0.5 AS gs, seed FROM h2 JOIN b ON b.src = h2.node WHERE intent = 'causal' AND forth) GROUP BY 1, 2, 3),
+w AS (SELECT query_id, node AS id, max(gs) AS gs, arg_max(seed, (gs, -seed)) AS via FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY 1, 2),
+z AS (SELECT i.query_id, intent, (SELECT count(*) FROM v WHERE v.query_id = i.query_id) AS nv, (SELECT count(*) FROM w WHERE w.query_id = i.query_id) AS ng, CASE intent WHEN 'temporal' THEN -0.1 WHEN 'causal' THEN -0.15 WHEN 'lookup' THEN 0.1 ELSE 0 END AS t FROM i),
+y AS (SELECT query_id, 0.5 + t + CASE WHEN ng < 5 AND nv > 10 THEN 0.1 ELSE 0 END AS a, 0.5 - t + CASE WHEN nv < 5 AND ng > 10 THEN 0.1 ELSE 0 END AS b FROM z),
+f AS (SELECT coalesce(v.query_id, w.query_id) AS query_id, coalesce(v.id, w.id) AS id, vs, gs, via FROM v FULL JOIN w ON v.query_id = w.query_id AND v.id = w.id),
+k AS (SELECT f.query_id, id, round(coalesce(vs, 0) * a / (a + b) + coalesce(gs, 0) * b / (a + b), 9)::DOUBLE AS score, CASE WHEN gs IS NULL THEN 'vector' WHEN vs IS NULL THEN 'graph' ELSE 'hybrid' END AS source, via FROM f JOIN y ON y.query_id = f.query_id)"""
+
+
 def diverse_topk(spark: SparkSession, d: str) -> DataFrame:
     near = op.nearest(_vectors(spark, d).select("id", "v"), _queries(spark, d), 30)
     return op.diverse(near.join(_vectors(spark, d).select("id", "v"), "id"), 8)
@@ -144,10 +166,11 @@ def chosen_strategy(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(name, round(weights[0], 9), round(weights[1], 9))], "strategy string, vector double, graph double")
 
 
-QUERIES = {f.__name__: f for f in (knn_cosine, knn_l2, knn_filtered, weighted_fusion, rank_fusion, intent_rules, keyword_search, schema_compatible, minmax_by_source, distinct_signature, balanced_topk, boosts, centroids, sequence_embedding, unit_vectors, fused_embedding, embedding_quality, embedding_consistency, diverse_topk, chosen_strategy)}
+QUERIES = {f.__name__: f for f in (knn_cosine, knn_l2, knn_filtered, weighted_fusion, rank_fusion, intent_rules, keyword_search, schema_compatible, minmax_by_source, distinct_signature, balanced_topk, boosts, centroids, sequence_embedding, unit_vectors, fused_embedding, embedding_quality, embedding_consistency, hybrid_search, diverse_topk, chosen_strategy)}
 
 X = "x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), p AS (SELECT id, label, unnest(v) AS c, unnest(range(1, len(v) + 1)) AS i FROM x)"
 SQL = {
+    "hybrid_search": f"WITH {KNN}, {EDGES}, {HYBRID} SELECT query_id, id, rank, round(score, 6) AS score, source, via FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM k) WHERE rank <= 10",
     "knn_cosine": _ranked("cos", 10),
     "knn_l2": _ranked("l2", 10),
     "knn_filtered": _ranked("cos", 5, "label IN (1, 2, 3)"),

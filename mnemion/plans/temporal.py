@@ -64,6 +64,16 @@ def correlation_scan(spark: SparkSession, d: str) -> DataFrame:
     return op.correlations(event_nodes(spark, d), 86400)
 
 
+def correlation_report(spark: SparkSession, d: str) -> DataFrame:
+    """The whole scan: matches, causal order, significance, correction; what doesn't remain is flagged."""
+    out = op.scanned(event_nodes(spark, d), 86400, drop=False)
+    return out.select("type_a", "type_b", "observed", *[F.round(c, 5).alias(c) for c in ("avg_gap", "consistency", "strength", "expected", "p_value", "fdr", "effect")], "causal", "remains").orderBy(F.desc("strength"), "type_a", "type_b")
+
+
+def correlation_summary(spark: SparkSession, d: str) -> DataFrame:
+    return op.summary(op.correlations(event_nodes(spark, d), 86400)).select("total", "causal", F.round("avg_strength", 6).alias("avg_strength"), "strongest")
+
+
 def lag_histogram(spark: SparkSession, d: str) -> DataFrame:
     return op.lag_buckets(op.greedy_pairs(event_nodes(spark, d), [("view", "purchase")], 7 * 86400, 3600), 3600, 86400)
 
@@ -95,7 +105,7 @@ y AS (SELECT *, greatest(1, n_a + n_b - observed - fb - fc) AS fd FROM x),
 z AS (SELECT *, CASE WHEN few THEN pow(observed - (observed + fb) * (observed + fc) / (observed + fb + fc + fd), 2) / ((observed + fb) * (observed + fc) / (observed + fb + fc + fd))
   ELSE pow(observed - expected, 2) / expected + CASE WHEN n_a > expected THEN pow((n_a - observed) - (n_a - expected), 2) / greatest(0.1, n_a - expected) ELSE 0 END END AS chi FROM y),
 p AS (SELECT *, 1.0 / (1.0 + 0.3275911 * sqrt(chi) / sqrt(2.0)) AS u, sqrt(chi) / sqrt(2.0) AS v FROM z),
-q AS (SELECT *, greatest(0.0, 2 * (1 - 0.5 * (1 + 1 - (((((1.061405429 * u - 1.453152027) * u) + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-v * v)))) AS p_value,
+q AS (SELECT *, (((((1.061405429 * u - 1.453152027) * u) + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-v * v) AS p_value,
   CASE WHEN few THEN CASE WHEN fb * fc > 0 THEN least(100.0, observed * fd / (fb * fc)) WHEN observed > 0 THEN 100.0 ELSE 1.0 END ELSE sqrt(chi / (n_a + n_b)) END AS effect FROM p),
 s AS (SELECT *, CASE WHEN few THEN CASE WHEN effect < 1.5 THEN 'negligible' WHEN effect < 2.5 THEN 'small' WHEN effect < 4 THEN 'medium' ELSE 'large' END
   ELSE CASE WHEN effect < .1 THEN 'negligible' WHEN effect < .3 THEN 'small' WHEN effect < .5 THEN 'medium' ELSE 'large' END END AS effect_label, p_value < 0.05 AND observed > expected AND effect >= 0.1 AS significant FROM q)"""
@@ -111,7 +121,7 @@ def fdr_standard(spark: SparkSession, d: str) -> DataFrame:
     return c.select("type_a", "type_b", "rank", F.round("fdr", 5).alias("fdr"))
 
 
-CORRECTED = f"WITH {TESTED}, r AS (SELECT *, row_number() OVER (ORDER BY p_value, type_a, type_b)::INTEGER AS rank, count(*) OVER () AS tests FROM s), w AS (SELECT *, least(1.0, p_value * tests / rank) AS raw FROM r)"
+CORRECTED = f"WITH {TESTED}, r AS (SELECT *, row_number() OVER (ORDER BY round(p_value, 9), type_a, type_b)::INTEGER AS rank, count(*) OVER () AS tests FROM s), w AS (SELECT *, least(1.0, p_value * tests / rank) AS raw FROM r)"
 
 
 def precedence_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +134,33 @@ def causal_order(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, t, float(confidence)) for i, t in enumerate(order)], "place int, type string, confidence double")
 
 
+def _timed_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Consecutive events of a user; every third edge has no time, the others that of their source."""
+    e = causal_edges(spark, d)
+    return e.select("src", "dst", "rel", F.when(F.col("rel") != "CAUSES", F.timestamp_micros("t_src")).alias("valid_from"))
+
+
+def temporal_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
+    """Of all events, those next to them in the graph within ten minutes."""
+    at = event_nodes(spark, d).select("id", "t")
+    return op.neighbourhood(_timed_edges(spark, d), at, at, 600).select("centre", "neighbour", "rel", "way", F.round("decay", 9).alias("decay"))
+
+
+def hybrid_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
+    at = event_nodes(spark, d).select("id", "t", "type", "value")
+    near = op.neighbourhood(_timed_edges(spark, d), at, at, 600)
+    values = lambda k: at.select(F.col("id").alias(k), F.col("value").alias(f"v_{k}"))
+    pairs = near.select("centre", "neighbour").distinct().join(values("centre"), "centre").join(values("neighbour"), "neighbour")
+    similar = pairs.where("v_centre is not null and v_neighbour is not null").select("centre", "neighbour", (1 / (1 + F.abs(F.col("v_centre") - F.col("v_neighbour")))).alias("similarity"))
+    return op.hybrid_neighbourhood(near, similar).select("centre", "neighbour", F.round("score", 9).alias("score"))
+
+
+def overlapping_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of users' days of purchases and errors that overlap in time, by the hours from a day's first to its last."""
+    days = lambda kind: event_nodes(spark, d).where(F.col("type") == kind).groupBy("entity", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("n > 1").select(F.concat_ws(":", "entity", F.date_format("day", "yyyyMMdd")).alias("id"), "lo", "hi")
+    return op.overlapping(days("purchase"), days("error"), 6 * 3600)
+
+
 def rhythm(spark: SparkSession, d: str) -> DataFrame:
     r = op.rhythm(event_nodes(spark, d))
     return r.select("entity", "n", F.round("period_s", 3).alias("period_s"), F.round("cv", 6).alias("cv"), "cyclic", "trend", F.round("ratio", 6).alias("ratio"))
@@ -147,6 +184,10 @@ EDGES = f"""e AS ({E}), l AS (SELECT entity, id AS src, t AS t_src, type AS src_
 g AS (SELECT src, dst, CASE (t_dst - t_src) % 3 WHEN 0 THEN 'CAUSES' WHEN 1 THEN 'ENABLES' ELSE 'TRIGGERS' END AS rel, round(1.0 - (t_dst - t_src) / 7200000000.0, 6) AS confidence, t_src, t_dst, src_type, dst_type, entity FROM l WHERE t_dst - t_src > 0 AND t_dst - t_src <= 3600000000)"""
 
 
+NEAR = f"""{EDGES}, w AS (SELECT src AS centre, dst AS neighbour, rel, CASE WHEN rel != 'CAUSES' THEN t_src END AS valid, t_src AS tc, t_dst AS tn, 'outgoing' AS way FROM g UNION ALL SELECT dst, src, rel, CASE WHEN rel != 'CAUSES' THEN t_src END, t_dst, t_src, 'incoming' FROM g),
+h AS (SELECT centre, neighbour, rel, way, exp(-(ln(2) / 30) * (abs(tn - tc) / 86400000000.0)) AS decay FROM w WHERE valid IS NULL OR abs(valid - tc) <= 600000000 OR abs(tn - tc) <= 600000000)"""
+
+
 def temporal_markers(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("placed "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" or "), F.date_format("o_orderdate", "M/d/yyyy"), F.lit(", billed "), F.date_format("o_orderdate", "d.M.yyyy")).alias("text"))
     return op.markers(rows).select("doc_id", "kind", "marker")
@@ -158,7 +199,7 @@ def ngram_sql(n: int) -> str:
     return f"WITH e AS ({E}), l AS (SELECT {parts} FROM e WINDOW w AS (PARTITION BY entity ORDER BY t, id)) SELECT {pattern} AS pattern, count(*) AS n FROM l WHERE {pattern} IS NOT NULL GROUP BY 1 HAVING count(*) >= 3"
 
 
-QUERIES = {f.__name__: f for f in (time_range_decay_topk, events_before, events_after, events_simultaneous, weekday_pattern, event_gaps, recurring_bigrams, recurring_trigrams, sequence_match, pair_matches, correlation_scan, lag_histogram, bootstrap_gap, cooccurrence, significance, corrections, fdr_standard, precedence_matrix, causal_order, rhythm, unified_items, consistency_causal, temporal_markers)}
+QUERIES = {f.__name__: f for f in (time_range_decay_topk, events_before, events_after, events_simultaneous, weekday_pattern, event_gaps, recurring_bigrams, recurring_trigrams, sequence_match, pair_matches, correlation_scan, correlation_report, correlation_summary, lag_histogram, bootstrap_gap, cooccurrence, significance, corrections, fdr_standard, precedence_matrix, causal_order, temporal_neighbourhood, hybrid_neighbourhood, overlapping_sessions, rhythm, unified_items, consistency_causal, temporal_markers)}
 
 SQL = {
     "time_range_decay_topk": f"WITH e AS ({E}) SELECT id, type, round(exp(-(ln(2) / 30) * ((epoch_us(TIMESTAMP '2024-01-31') - t) / 86400000000.0)), 9) AS score FROM e WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' AND type IN ('click', 'purchase') ORDER BY t DESC, id LIMIT 100",
@@ -179,6 +220,9 @@ SQL = {
     "fdr_standard": f"{CORRECTED} SELECT type_a, type_b, rank, round(min(raw) OVER (ORDER BY rank DESC), 5) AS fdr FROM w",
     "precedence_matrix": f"""WITH e AS ({E}), p AS (SELECT a.type AS type_a, b.type AS type_b, count(*) AS pairs, count(*) FILTER (a.t < b.t) AS n FROM e a JOIN e b ON a.entity = b.entity AND a.type < b.type AND abs(a.t - b.t) <= 259200000000 GROUP BY 1, 2 HAVING count(*) >= 3)
         SELECT type_a, type_b, pairs, round(n / pairs, 9) AS p_ab, round(1 - n / pairs, 9) AS p_ba, CASE WHEN n / pairs >= 0.6 THEN 'a->b' WHEN 1 - n / pairs >= 0.6 THEN 'b->a' ELSE 'none' END AS edge FROM p""",
+    "temporal_neighbourhood": f"WITH {NEAR} SELECT DISTINCT centre, neighbour, rel, way, round(decay, 9) AS decay FROM h",
+    "hybrid_neighbourhood": f"WITH {NEAR}, m AS (SELECT centre, neighbour, max(decay) AS decay FROM h GROUP BY 1, 2) SELECT centre, neighbour, round(0.7 * decay + 0.3 * coalesce(1 / (1 + abs(x.value - y.value)), 0), 9) AS score FROM m JOIN e x ON x.id = centre JOIN e y ON y.id = neighbour",
+    "overlapping_sessions": f"""WITH e AS ({E}), s AS (SELECT type, entity || ':' || strftime(ts, '%Y%m%d') AS id, min(t) AS lo, max(t) AS hi FROM e GROUP BY 1, 2 HAVING count(*) > 1) SELECT a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.type = 'purchase' AND b.type = 'error' AND a.lo <= b.hi AND b.lo <= a.hi""",
     "rhythm": f"""WITH e AS ({E}), g AS (SELECT entity, (t - lag(t) OVER w) / 1e6 AS g, row_number() OVER w AS k, count(*) OVER (PARTITION BY entity) AS m FROM e WINDOW w AS (PARTITION BY entity ORDER BY t, id)),
         s AS (SELECT entity, count(*) + 1 AS n, avg(g) AS period, stddev_pop(g) AS sd, avg(g) FILTER (k - 1 <= (m - 1) // 2) AS early, avg(g) FILTER (k - 1 > (m - 1) // 2) AS late FROM g WHERE g IS NOT NULL GROUP BY 1),
         r AS (SELECT *, CASE WHEN period > 0 THEN sd / period ELSE 0 END AS cv, CASE WHEN late > 0 THEN early / late END AS ratio FROM s)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 TESTDATA = "/root/testdata/sf0.001"
 
 
 def cell(v) -> str:
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v:
+        return "null"
     if hasattr(v, "__len__") and not isinstance(v, str):
         return str([cell(x) for x in v])
     try:
