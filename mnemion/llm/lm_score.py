@@ -5,11 +5,11 @@ whole and unreduced. Every node keeps a Krichevsky-Trofimov estimate; a node's w
 children's, half and half, so the mixture runs over all depths of all pruned trees. A text's end is a symbol of its own.
 
 The tree is as large as the training texts make it, so it is never in one place. Texts are packed in slices; a slice sends
-its distinct grams (DEPTH bytes and the one that follows) with their counts to the buckets of the two nearest bytes. There
-counts are merged, nodes weighted, and each gram gets its log-probability: a table that grows with the corpus. The nodes
-above the buckets (at most 256 of depth one, and the root) are summed up from the buckets' own. Slices then fetch the
-log-probabilities of their grams, bucket by bucket, and texts are scored by looking up their positions. Buckets with very
-many requests are dealt over several tasks; within a task requests stream past the bucket's table.
+its distinct grams (DEPTH bytes and the one that follows) with their counts to groups of buckets, a bucket being the two
+nearest bytes. There counts are merged, nodes weighted, and each gram gets its log-probability: a table that grows with the
+corpus. The nodes above the buckets (at most 256 of depth one, and the root) are summed up from the buckets' own. Slices then
+fetch the log-probabilities of their grams, group by group, and texts are scored by looking up their positions. Groups with
+very many requests are dealt over several tasks; within a task requests stream past the group's table.
 
 The unigram base needs the count of every word. Counts stay a table; the most frequent words, at most 2^18 of them by a
 threshold from a histogram, are broadcast, and each text's other words are joined to the table.
@@ -35,9 +35,10 @@ TOP = 2  # bytes that name a bucket
 END = 255  # no byte of UTF-8: ends a text, and stands before it
 TOP_WORDS = 1 << 18
 FLUSH_WORDS = 300_000  # words counted in a task before they are handed on
-SLICE, SLICE_TEXTS = 2 << 20, 1 << 15  # bytes and texts packed together; a longer text is a slice of its own
+GROUPS = 256  # that buckets are dealt to
+SLICE, SLICE_TEXTS = 8 << 20, 1 << 15  # bytes and texts packed together; a longer text is a slice of its own
 PIECE = 4 << 20  # positions whose grams are sorted at once
-PENDING = 1 << 22  # grams that wait to be merged
+PENDING = 1 << 20  # grams that wait to be merged
 ASKED = 1 << 26  # grams requested of a bucket in one task
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -173,93 +174,125 @@ def bucket_logs(keys: np.ndarray, n: np.ndarray, above: list[np.ndarray]) -> np.
     return total
 
 
+def group_of(keys: np.ndarray) -> np.ndarray:
+    """The group of each gram, by a hash of its bucket."""
+    bucket = (keys >> (8 * (DEPTH + 1 - TOP))).astype(np.uint64)
+    return (bucket * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64) % GROUPS
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers of one width, compressed with their bytes apart."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def numbers(blob: bytes, kind: type) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+SLICED = "slice long, place int, ids array<long>, train array<boolean>, sizes array<int>, text binary, grams binary, n binary, held long"
+
+
 def pack(rows: DataFrame) -> DataFrame:
-    """(slice, ids, train, sizes, text, parts): rows in slices, with the grams of each by bucket."""
-    fields = "slice long, ids array<long>, train array<boolean>, sizes array<int>, text binary, parts array<struct<bucket:int,grams:array<long>,n:array<long>>>"
-    kind = pa.list_(pa.struct([("bucket", pa.int32()), ("grams", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
+    """Rows in slices: of each a row with ids and texts (place -1), and one a group with its distinct grams and their counts."""
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    names = [f.name for f in schema(SLICED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         ids, texts, train, held = [], [], [], 0
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             nonlocal ids, texts, train, held, number
             u, n = counted(texts, np.array(train, bool))
-            bucket = (u >> (8 * (DEPTH + 1 - TOP))).astype(np.int32)
-            starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            offsets = pa.array(np.concatenate((starts, [len(u)])), pa.int32())
-            parts = pa.StructArray.from_arrays([pa.array(bucket[starts]), pa.ListArray.from_arrays(offsets, pa.array(u)), pa.ListArray.from_arrays(offsets, pa.array(n))], ["bucket", "grams", "n"])
-            parts = pa.ListArray.from_arrays(pa.array([0, len(starts)], pa.int32()), parts).cast(kind)
-            text = zstandard.ZstdCompressor(3).compress(b"".join(texts))
-            row = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), pa.array([[len(x) for x in texts]], pa.list_(pa.int32())), pa.array([text], pa.binary()), parts], ["slice", "ids", "train", "sizes", "text", "parts"])
-            number += 1
+            text = zstandard.ZstdCompressor(1).compress(b"".join(texts))
+            found = [(number, -1, ids, train, [len(x) for x in texts], text, None, None, 0)]
             ids, texts, train, held = [], [], [], 0
-            return row
+            group = group_of(u)
+            order = np.argsort(group, kind="stable")
+            bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
+            for g in range(GROUPS):
+                if (at := order[bounds[g] : bounds[g + 1]]).size:
+                    found.append((number, g, None, None, None, None, planes(np.diff(u[at], prepend=0)), planes(n[at].astype(np.uint32)), len(at)))
+            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
         for b in batches:
             for i, x, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x = (x or "").encode()
                 if texts and (held + len(x) > SLICE or len(texts) >= SLICE_TEXTS):
-                    yield out()
+                    yield from out()
                 ids.append(i)
                 texts.append(x)
                 train.append(t)
                 held += len(x)
         if texts:
-            yield out()
+            yield from out()
+
+    return rows.mapInArrow(run, schema(SLICED))
+
+
+#: Columns of the streams between tasks.
+TYPES = {"place": pa.int32(), "salt": pa.int32(), "slice": pa.int64(), "grams": pa.binary(), "n": pa.binary(), "logs": pa.binary(), "near": pa.int32(), "top": pa.binary()}
+
+
+def _rows(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), TYPES[k]) for c, k in zip(zip(*rows, strict=True), names, strict=True)], list(names))
 
-    return rows.mapInArrow(run, schema(fields))
 
+def grams_of(blob: bytes) -> np.ndarray:
+    return np.cumsum(numbers(blob, np.int64))
 
-def _flushed(batches: Iterator[pa.RecordBatch], group: tuple[str, ...]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
-    """(group, grams, counts) of sorted rows, merged as they come."""
+
+def _flushed(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """((place, salt), grams, counts) of sorted rows, merged as they come. wide: counts have 64 bits."""
     at, parts, held = None, [], 0
     for b in batches:
-        for i in range(b.num_rows):
-            key = tuple(b.column(b.schema.get_field_index(c))[i].as_py() for c in group)
+        for *key, u, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if key != at:
                 if at is not None:
-                    yield at, *merged(parts)
+                    yield tuple(at), *merged(parts)
                 at, parts, held = key, [], 0
-            u, n = (b.column(b.schema.get_field_index(c))[i].values.to_numpy(zero_copy_only=False) for c in ("grams", "n"))
-            parts.append((u, n))
+            u = grams_of(u)
+            parts.append((u, numbers(n, np.int64 if wide else np.uint32).astype(np.int64)))
             held += len(u)
             if held > PENDING and len(parts) > 1:
                 parts, held = [merged(parts)], 0
     if at is not None:
-        yield at, *merged(parts)
+        yield tuple(at), *merged(parts)
 
 
-#: Columns of the streams between tasks.
-TYPES = {"bucket": pa.int32(), "salt": pa.int32(), "slice": pa.int64(), "grams": pa.list_(pa.int64()), "n": pa.list_(pa.int64()), "logs": pa.list_(pa.float32()), "near": pa.int32(), "top": pa.binary()}
-
-
-def _rows(rows: list[tuple], *names: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), TYPES[k]) for c, k in zip(zip(*rows, strict=True), names, strict=True)], list(names))
+def merge(parts: DataFrame, *by: str, wide: bool) -> DataFrame:
+    """(place, salt, grams, n): the grams of each group merged, in a stream of sorted rows that holds the distinct ones only."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (place, salt), u, n in _flushed(batches, wide):
+            yield _rows([(place, salt, planes(np.diff(u, prepend=0)), planes(n))], "place", "salt", "grams", "n")
 
-def merge(parts: DataFrame, *group: str) -> DataFrame:
-    """(group, grams, n): grams of each group merged, in a stream of sorted rows that holds the distinct ones only."""
-    fields = ", ".join([*(f"{c} int" for c in group), "grams array<long>, n array<long>"])
+    return parts.select("place", "salt", "grams", "n").repartition(*by).sortWithinPartitions("place", "salt").mapInArrow(run, schema("place int, salt int, grams binary, n binary"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, u, n in _flushed(batches, group):
-            yield _rows([(*key, u, n)], *group, "grams", "n")
 
-    return parts.select(*group, "grams", "n").repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema(fields))
+def by_bucket(u: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, grams, counts) of a group's sorted grams."""
+    bucket = u >> (8 * (DEPTH + 1 - TOP))
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    for a, z in zip(starts, np.append(starts[1:], len(u)), strict=True):
+        yield int(bucket[a]), u[a:z], n[a:z]
 
 
 def build(parts: DataFrame) -> DataFrame:
-    """(bucket, grams, logs) of (bucket, salt, grams, n) rows: the log10 probability of each gram."""
-    once = stage(merge(parts, "bucket", "salt"), "gram-counts")
-    counts = stage(merge(once, "bucket"), "gram-counts")
+    """(place, grams, logs) of (place, salt, grams, n) rows: the log10 probability of each gram, by group."""
+    once = stage(merge(parts, "place", "salt", wide=False), "gram-counts")
+    counts = stage(merge(once.withColumn("salt", F.lit(0)), "place", wide=True), "gram-counts")
     discard(once)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Of each nearest byte the buckets of this task.
         found: dict[int, list[np.ndarray]] = {}
-        for (bucket,), u, n in _flushed(batches, ("bucket",)):
-            found.setdefault(bucket >> 8, []).append(bucket_top(u, n))
+        for _, u, n in _flushed(batches, True):
+            for bucket, keys, times in by_bucket(u, n):
+                found.setdefault(bucket >> 8, []).append(bucket_top(keys, times))
         if found:
             yield _rows([(k, np.sum(v, axis=0).tobytes()) for k, v in found.items()], "near", "top")
 
@@ -272,49 +305,48 @@ def build(parts: DataFrame) -> DataFrame:
     shared = counts.sparkSession.sparkContext.broadcast(above)  # at most 256 nodes and the root, 6 KB each
 
     def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket,), u, n in _flushed(batches, ("bucket",)):
-            yield _rows([(bucket, u, bucket_logs(u, n, shared.value[bucket >> 8]).astype(np.float32))], "bucket", "grams", "logs")
+        for (place, _), u, n in _flushed(batches, True):
+            found = np.concatenate([bucket_logs(keys, times, shared.value[bucket >> 8]) for bucket, keys, times in by_bucket(u, n)])
+            yield _rows([(place, planes(np.diff(u, prepend=0)), planes(found.astype(np.float32)))], "place", "grams", "logs")
 
-    model = stage(counts.mapInArrow(logs, schema("bucket int, grams array<long>, logs array<float>")), "gram-logs")
+    model = stage(counts.mapInArrow(logs, schema("place int, grams binary, logs binary")), "gram-logs")
     discard(counts)
     return model
 
 
 def answers(parts: DataFrame, model: DataFrame, salts: DataFrame) -> DataFrame:
-    """(slice, bucket, logs): the log-probabilities of each slice's grams, in their order."""
-    tables = model.join(F.broadcast(salts), "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(-1).cast("long").alias("slice"), "grams", "logs")
-    asked = parts.select("bucket", "salt", "slice", "grams", F.lit(None).cast("array<float>").alias("logs"))
+    """(slice, place, logs): the log-probabilities of each slice's grams, in their order, by group."""
+    tables = model.join(F.broadcast(salts), "place").select("place", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(-1).cast("long").alias("slice"), "grams", "logs")
+    asked = parts.select("place", "salt", "slice", "grams", F.lit(None).cast("binary").alias("logs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = values = None
         for b in batches:
             out = []
-            for i in range(b.num_rows):
-                g = b.column(3)[i].values.to_numpy(zero_copy_only=False)
-                if b.column(2)[i].as_py() < 0:
-                    keys, values = g, b.column(4)[i].values.to_numpy(zero_copy_only=False)
+            for place, _, number, g, logs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                g = grams_of(g)
+                if number < 0:
+                    keys, values = g, numbers(logs, np.float32)
                 else:
-                    out.append((b.column(2)[i].as_py(), b.column(0)[i].as_py(), values[np.searchsorted(keys, g)]))
+                    out.append((number, place, planes(values[np.searchsorted(keys, g)])))
             if out:
-                yield _rows(out, "slice", "bucket", "logs")
+                yield _rows(out, "slice", "place", "logs")
 
-    return tables.unionByName(asked).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "slice").mapInArrow(run, schema("slice long, bucket int, logs array<float>"))
+    return tables.unionByName(asked).repartition("place", "salt").sortWithinPartitions("place", "salt", "slice").mapInArrow(run, schema("slice long, place int, logs binary"))
 
 
 def scores(texts: list[bytes], logs: np.ndarray) -> np.ndarray:
-    """Log10 probabilities of texts; logs are those of their distinct grams."""
+    """Log10 probabilities of texts; logs are those of their distinct grams, by group."""
     data, first = whole(texts)
     starts = np.unique(first)
+    known = counted(texts, np.zeros(len(texts), bool))[0]
+    of_gram = np.empty(len(known))
+    of_gram[np.argsort(group_of(known), kind="stable")] = logs
     out = np.zeros(len(texts))
-    known = None
     for at in range(0, len(data), PIECE):
         lo = max(0, at - DEPTH)
         g = grams(data[lo : at + PIECE], first[lo : at + PIECE] - lo)[at - lo :]
-        if len(data) <= PIECE:
-            values = logs[np.unique(g, return_inverse=True)[1]]
-        else:
-            known = counted(texts, np.zeros(len(texts), bool))[0] if known is None else known
-            values = logs[np.searchsorted(known, g)]
+        values = of_gram[np.searchsorted(known, g)]
         out += np.bincount(np.searchsorted(starts, first[at : at + PIECE]), weights=values, minlength=len(texts))
     return out
 
@@ -362,10 +394,9 @@ def byte_logs(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFram
     """(slices, answers) of (__id, __text, __train) rows, both staged."""
     with setting(spark, BATCH, "2000"):
         slices = stage(pack(rows), "slices")
-    parts = slices.select("slice", F.explode("parts").alias("x")).select("slice", "x.bucket", "x.grams", "x.n")
-    # At most 65,536 rows.
-    salts = stage(parts.groupBy("bucket").agg(F.ceil(F.sum(F.size("grams")) / ASKED).cast("int").alias("salts")), "salts")
-    parts = parts.join(F.broadcast(salts), "bucket").withColumn("salt", F.pmod(F.xxhash64("slice"), "salts").cast("int")).drop("salts")
+    parts = slices.where("place >= 0").select("slice", "place", "grams", "n", "held")
+    salts = stage(parts.groupBy("place").agg(F.ceil(F.sum("held") / ASKED).cast("int").alias("salts")), "salts")  # at most GROUPS rows
+    parts = parts.join(F.broadcast(salts), "place").withColumn("salt", F.pmod(F.xxhash64("slice"), "salts").cast("int")).drop("salts")
     with setting(spark, BATCH, "64"):
         model = build(parts)
         found = stage(answers(parts, model, salts), "answers")
@@ -391,8 +422,8 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
     shared = spark.sparkContext.broadcast(frequent(words))  # at most TOP_WORDS words
     fields = "key long, __id long, held_out boolean, n_tokens long, known long, logs double, score double, size long, rare array<struct<word:string,n:int>>"
     names = schema(fields).names
-    answered = found.select("slice", F.col("bucket").alias("place"), "logs", *[F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("train", "array<boolean>"), ("sizes", "array<int>"), ("text", "binary"))])
-    asking = slices.select("slice", F.lit(1 << 30).alias("place"), F.lit(None).cast("array<float>").alias("logs"), "ids", "train", "sizes", "text")
+    answered = found.select("slice", "place", "logs", *[F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("train", "array<boolean>"), ("sizes", "array<int>"), ("text", "binary"))])
+    asking = slices.where("place < 0").select("slice", F.lit(GROUPS).alias("place"), F.lit(None).cast("binary").alias("logs"), "ids", "train", "sizes", "text")
     both = answered.unionByName(asking).repartition("slice").sortWithinPartitions("slice", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +433,7 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
         for b in batches:
             for row in range(b.num_rows):
                 if b.column(2)[row].is_valid:
-                    got.append(b.column(2)[row].values.to_numpy(zero_copy_only=False))
+                    got.append(numbers(b.column(2)[row].as_py(), np.float32))
                     continue
                 ids, train, sizes, text = (b.column(c)[row].as_py() for c in range(3, 7))
                 ends_at = np.cumsum(sizes)
@@ -424,11 +455,11 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
                     logs.append(total)
                     rare.append(others)
                 key = (b.column(0)[row].as_py() << 16) + np.arange(len(raw))
-                score = scores(raw, np.concatenate(got).astype(np.float64))
+                score = scores(raw, np.concatenate(got))
                 got = []
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids, pa.int64()), pa.array([not t for t in train], pa.bool_()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64()), pa.array(rare, rare_kind)], names)
 
-    with setting(spark, BATCH, "64"):
+    with setting(spark, BATCH, "8"):
         scored = stage(both.mapInArrow(run, schema(fields)), "scored")
     discard(slices, found)
     others = scored.select("key", F.explode("rare").alias("r")).select("key", "r.word", F.col("r.n").alias("times")).join(words, "word")
