@@ -57,13 +57,13 @@ def threads(messages: DataFrame) -> DataFrame:
     at = stage(known.select("id", up.alias("to")).groupBy("id").agg(F.min("to").alias("to")).withColumn("depth", (F.col("id") != F.col("to")).cast("int")), "threads")
     total = at.count()
     for _ in range(max(1, total.bit_length()) + 1):
-        if at.join(at.where("id = to").select(F.col("id").alias("to")), "to", "left_anti").isEmpty():
-            break  # all point to roots; what is in a circle still does not when the chain would be longer than all messages
+        if at.join(at.where("id = to and depth = 0").select(F.col("id").alias("to")), "to", "left_anti").isEmpty():
+            break  # all point to roots; what is in a circle, or replies to it, never does
         b = at.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("depth").alias("d2"))
         step = at.join(b, "to").select("id", F.col("to2").alias("to"), (F.col("depth") + F.when(F.col("id") != F.col("to"), F.col("d2")).otherwise(0)).cast("int").alias("depth"))
         last, at = at, stage(step, "threads")
         discard(last)
-    return at.join(at.where("id = to").select(F.col("id").alias("to")), "to", "left_semi").select("id", F.col("to").alias("root"), "depth")
+    return at.join(at.where("id = to and depth = 0").select(F.col("id").alias("to")), "to", "left_semi").select("id", F.col("to").alias("root"), "depth")
 
 
 def by_title(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -134,9 +134,9 @@ def insight_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def type_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of user and type that came up or went away with the middle of the month."""
+    """Pairs of user and type that came up or went away with the last days of the month."""
     e = event_nodes(spark, d).withColumn("kind", F.concat_ws(":", "entity", "type"))
-    return op.schema_changes(e, "kind", F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz"))
+    return op.schema_changes(e, "kind", F.col("ts") >= F.lit("2024-01-26").cast("timestamp_ntz"))
 
 
 def document_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -179,8 +179,8 @@ def metadata_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similar_recent(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest vectors among those whose event is of the second half of the month."""
-    recent = event_nodes(spark, d).where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")).select("id")
+    """Nearest vectors among those whose event is from noon of the first day on."""
+    recent = event_nodes(spark, d).where(F.col("ts") >= F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")).select("id")
     mine = _vectors(spark, d).join(recent, "id", "left_semi").select("id", "v")
     return vec.nearest(mine, _queries(spark, d), 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
@@ -243,7 +243,7 @@ SQL = {
     "quality_trends": f"WITH e AS ({E}), q AS (SELECT entity, count(*) AS n, arg_max(value / 100, (t, id)) - arg_min(value / 100, (t, id)) AS c FROM e WHERE value IS NOT NULL GROUP BY 1) SELECT entity, n, round(c, 6) AS change, CASE WHEN c > .05 THEN 'improving' WHEN c < -.05 THEN 'degrading' ELSE 'stable' END AS trend FROM q",
     "insight_ranking": """WITH p AS (SELECT event_type AS type, avg(CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE -0.5 END) AS f FROM events GROUP BY 1)
         SELECT event_id AS id, round(least(1.0, greatest(0.0, 0.3 * (event_id % 10) / 10 + 0.25 * (event_id % 7) / 7 + 0.2 * (f + 1) / 2 + 0.15 * greatest(0.0, 1 - (event_id % 90) / 30 * 0.5) + 0.1 * (event_id % 4) / 4)), 9) AS score, (event_id % 10) / 10.0 >= CASE WHEN f < -.5 THEN .8 WHEN f > .5 THEN .4 ELSE .5 END AS shown FROM events JOIN p ON type = event_type""",
-    "type_changes": "WITH k AS (SELECT user_id || ':' || event_type AS kind, bool_or(ts >= TIMESTAMP '2024-01-15') AS a, bool_or(ts < TIMESTAMP '2024-01-15') AS b FROM events GROUP BY 1) SELECT kind, CASE WHEN a THEN 'added' ELSE 'removed' END AS change FROM k WHERE a != b",
+    "type_changes": "WITH k AS (SELECT user_id || ':' || event_type AS kind, bool_or(ts >= TIMESTAMP '2024-01-26') AS a, bool_or(ts < TIMESTAMP '2024-01-26') AS b FROM events GROUP BY 1) SELECT kind, CASE WHEN a THEN 'added' ELSE 'removed' END AS change FROM k WHERE a != b",
     "document_violations": "WITH d AS (SELECT count(*) FILTER (NOT coalesce(length(text) > 0, false)) AS a, count(*) FILTER (NOT coalesce(n_chars = length(text), false)) AS b, count(*) FILTER (NOT coalesce(strlen(text) <= 51200, false)) AS c, count(*) FILTER (source IS NULL) AS e, count(*) FILTER (NOT coalesce(lang IN ('en', 'de', 'fr'), false)) AS f FROM documents) SELECT 'has_text' AS rule, a AS n FROM d UNION ALL SELECT 'length_agrees', b FROM d UNION ALL SELECT 'at_most_50_kb', c FROM d UNION ALL SELECT 'has_source', e FROM d UNION ALL SELECT 'known_language', f FROM d",
     "starved_users": "WITH u AS (SELECT user_id AS entity, count(*) AS n FROM events GROUP BY 1) SELECT * FROM u WHERE n < 0.8 * (SELECT avg(n) FROM u)",
     "source_resources": "SELECT source, count(*) AS documents, sum(n_chars)::BIGINT AS chars, round(avg(n_chars), 6) AS mean, max(n_chars) AS largest FROM documents GROUP BY 1",
@@ -251,7 +251,7 @@ SQL = {
     "aggregation_fusion": "SELECT user_id AS entity, count(*) AS n, array_to_string(list_sort(list_distinct(list(floor(value)::BIGINT))), ',') AS all_values FROM events WHERE event_type = 'purchase' AND value IS NOT NULL GROUP BY 1",
     "approximate_aggregates": "SELECT event_type AS type, count(DISTINCT user_id) AS exact_distinct, true AS within FROM events GROUP BY 1",
     "metadata_json": "SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'none') AS source, 'nobody' AS owner, n_chars FROM documents",
-    "similar_recent": f"WITH {KNN}, r AS (SELECT query_id, id, cos, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 12) DESC, id)::INTEGER AS rank FROM s WHERE id IN (SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15')) SELECT query_id, id, rank, round(cos, 6) AS score FROM r WHERE rank <= 5",
+    "similar_recent": f"WITH {KNN}, r AS (SELECT query_id, id, cos, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 12) DESC, id)::INTEGER AS rank FROM s WHERE id IN (SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-01 12:00:00')) SELECT query_id, id, rank, round(cos, 6) AS score FROM r WHERE rank <= 5",
     "combined_vectors": "WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT id, 160 AS size, round(sqrt(5 * list_dot_product(v, v)), 6) AS norm, round(sqrt(list_dot_product(v, v) + 4 * list_dot_product(v[1:32], v[1:32])), 6) AS cut FROM x",
     "file_classes": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'markdown' WHEN 2 THEN 'rust' ELSE 'unknown' END AS language FROM part",
     "quality_gates": "WITH s AS (SELECT source, count(*) AS n, avg((length(text) < 1000)::INT) AS x FROM documents GROUP BY 1) SELECT source, n, round(x, 9) AS short, CASE WHEN x > .6 THEN 'fail' WHEN x > .3 THEN 'warn' ELSE 'pass' END AS gate FROM s",

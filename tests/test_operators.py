@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mnemion.functions import stats, text
-from mnemion.operators import documents, graph, operations, retrieval, temporal
+from mnemion.operators import documents, graph, knowledge, operations, ranking, retrieval, temporal
 from mnemion.operators.components import connected_components
 from mnemion.sources import tables
 
@@ -191,3 +191,152 @@ def test_streams(spark, tmp_path):
     q = stream().writeStream.foreachBatch(ev.merge_into(str(tmp_path / "latest"), "user_id", "ts")).option("checkpointLocation", str(tmp_path / "m")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.user_id, r.event_id) for r in spark.read.parquet(str(tmp_path / "latest" / "0")).collect()} == {(1, 6), (2, 7)}
+
+
+def random_events(spark, n=400, seed=3):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(4), rng.choice("abcd"), rng.randrange(200) * temporal.SECOND) for i in range(n)]
+    return rows, events(spark, rows)
+
+
+def literal_pairs(rows, pairs, least, most):
+    out = []
+    for entity in sorted({r[1] for r in rows}):
+        for a, b in pairs:
+            mine = sorted((t, i, k) for i, e, k, t in rows if e == entity)
+            x, y = [(t, i) for t, i, k in mine if k == a], [(t, i) for t, i, k in mine if k == b]
+            for i, j in literal_matches([t for t, _ in x], [t for t, _ in y], least, most):
+                out.append((entity, a, b, x[i][1], y[j][1], (y[j][0] - x[i][0]) / temporal.SECOND))
+    return out
+
+
+def test_greedy_pairs_stream_as_the_literal_loop(spark):
+    rows, e = random_events(spark)
+    pairs = [("a", "b"), ("b", "a"), ("c", "d")]
+    for gap in (3, 20):
+        got = {(r.entity, r.type_a, r.type_b, r.id_a, r.id_b, r.gap_s) for r in temporal.greedy_pairs(e.repartition(3), pairs, gap).collect()}
+        assert got == set(literal_pairs(rows, pairs, 1, gap * temporal.SECOND))
+
+
+def test_correlations_lags_and_bootstrap_are_of_the_literal_matches(spark):
+    rows, e = random_events(spark)
+    every = [(a, b) for a in "abcd" for b in "abcd" if a != b]
+    found = literal_pairs(rows, every, 1, 10 * temporal.SECOND)
+    by = {}
+    for _, a, b, _, _, g in found:
+        by.setdefault((a, b), []).append(g)
+    got = {(r.type_a, r.type_b): r for r in temporal.correlations(e, 10).collect()}
+    assert set(got) == {k for k, g in by.items() if len(g) >= 2}
+    for k, r in got.items():
+        g = np.array(by[k])
+        even = max(0.0, 1 - min(g.std(ddof=1) / g.mean(), 1.0))
+        assert r.n == len(g) and abs(r.avg_gap - g.mean()) < 1e-9 and abs(r.consistency - even) < 1e-9
+        assert r.causal == (len(g) >= 4 and even >= 0.5)
+    matches = temporal.greedy_pairs(e, [("a", "b")], 10)
+    lags = {r.bucket_s: r for r in temporal.lag_buckets(matches, 1, 2).collect()}
+    g = by["a", "b"]
+    want = {}
+    for x in g:
+        want[1 + (x - 1) // 2 * 2] = want.get(1 + (x - 1) // 2 * 2, 0) + 1
+    assert {k: r.n for k, r in lags.items()} == want and all(abs(r.share - r.n / len(g)) < 1e-12 for r in lags.values())
+    [b] = temporal.bootstrap_mean(matches, ["type_a", "type_b"], "gap_s").collect()
+    half = 1.96 * np.std(g) / len(g) ** 0.5
+    assert b.low < np.mean(g) < b.high and 0.5 * half < (b.high - b.low) / 2 < 1.7 * half
+
+
+def test_causal_order_is_by_hand(spark):
+    m = lambda rows: spark.createDataFrame([(a, b, 10, p, 1 - p, "a->b" if p >= 0.6 else "b->a" if p <= 0.4 else "none") for a, b, p in rows], "type_a string, type_b string, pairs int, p_ab double, p_ba double, edge string")
+    assert temporal.causal_order(m([("a", "b", 0.1), ("a", "c", 0.9), ("b", "c", 0.5)])) == (["b", "a", "c"], 1.0)
+    order, confidence = temporal.causal_order(m([("a", "b", 0.9), ("b", "c", 0.9), ("a", "c", 0.1), ("c", "d", 0.8)]))
+    assert order == ["a", "b", "c", "d"] and abs(confidence - 5 / 6) < 1e-12
+
+
+def test_following_counts_are_all_pairs(spark):
+    rows, e = random_events(spark, 300)
+    got = {(r.id, r.type_b): (r.after, r.ties) for r in temporal.following(e, 7).collect()}
+    for i, entity, k, t in rows:
+        for other in "abcd":
+            if other != k:
+                later = [u - t for _, en, kk, u in rows if en == entity and kk == other]
+                assert got[i, other] == (sum(0 < x <= 7 * temporal.SECOND for x in later), sum(x == 0 for x in later))
+
+
+def test_a_correlation_remains_in_the_whole_scan(spark):
+    day = 86_400 * temporal.SECOND
+    rows = []
+    for k in range(40):
+        rows += [(3 * k, k, "cause", k * day), (3 * k + 1, k, "effect", k * day + 600 * temporal.SECOND), (3 * k + 2, k, "noise", (k * 7919 % 40) * day)]
+    e = events(spark, rows)
+    out = temporal.scanned(e, 3600).collect()
+    assert {(r.type_a, r.type_b) for r in out} == {("cause", "effect")} and out[0].observed == 40 and out[0].causal
+    s = temporal.summary(temporal.correlations(e, 3600)).collect()[0]
+    assert s.total >= 1 and s.strongest == "cause > effect"
+    assert temporal.summary(temporal.correlations(e.limit(0), 3600)).collect()[0].total == 0
+
+
+def test_diverse_is_the_literal_loop(spark):
+    rng = np.random.default_rng(4)
+    x, score = rng.normal(size=(30, 4)), rng.random(30)
+    rows = [(7, i, float(score[i]), x[i].tolist()) for i in range(30)]
+    got = [r.id for r in retrieval.diverse(spark.createDataFrame(rows, "query_id long, id long, score double, v array<double>"), 8).orderBy("place").collect()]
+    u, chosen = x / np.linalg.norm(x, axis=1, keepdims=True), []
+    while len(chosen) < 8:
+        value = lambda i: 0.8 * score[i] - 0.2 * max([u[i] @ u[j] for j in chosen] + [0])
+        chosen.append(max((i for i in range(30) if i not in chosen), key=value))
+    assert got == chosen
+
+
+def test_strategies_and_weights_by_hand():
+    costs = {"a": (100.0, 0.0, 1.0, 1.0), "b": (50.0, 0.0, 1.0, 0.6), "c": (2000.0, 0.0, 1.0, 1.0)}
+    assert retrieval.strategy(costs) == "a" and retrieval.strategy({"b": costs["b"], "c": costs["c"]}) == "b"
+    assert retrieval.adjusted_weights("causal", 3, 20) == pytest.approx((0.35 / 1.1, 0.75 / 1.1))
+
+
+def test_fusion_weights_are_those_of_the_scalar(spark):
+    rows = [(i, a, b) for i in ("causal", "temporal", "lookup", "exploratory") for a in (3, 20) for b in (3, 20)]
+    df = spark.createDataFrame(rows, "intent string, nv int, ng int")
+    for r in df.select("*", *retrieval.fusion_weights(F.col("intent"), F.col("nv"), F.col("ng"))).collect():
+        assert (r.wv, r.wg) == pytest.approx(retrieval.adjusted_weights(r.intent, r.nv, r.ng))
+
+
+def test_exact_percentiles_and_ranks(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.integers(0, 50, 301)] + [("b", 4.0)] + [("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r.k: r for r in ranking.percentiles(df, "k", "v", (0.5, 0.95, 0.0, 1.0)).collect()}
+    a = [v for k, v in rows if k == "a"]
+    assert set(got) == {"a", "b"} and got["b"].p == [4.0] * 4 and got["a"].p == pytest.approx(np.percentile(a, [50, 95, 0, 100]).tolist())
+    ranks = {(r.k, r.i): r.rank for r in ranking.global_rank(spark.createDataFrame([("x", i) for i in range(500)], "k string, i int").repartition(7), F.desc("i")).collect()}
+    assert all(ranks["x", i] == 500 - i for i in range(500))
+
+
+def test_threads_with_orphans_and_circles(spark):
+    rows = [(1, None), (2, 1), (3, 2), (4, 99), (5, 5), (6, 7), (7, 6), (8, 6)] + [(100 + i, 99 + i if i else None) for i in range(40)]
+    got = {r.id: (r.root, r.depth) for r in knowledge.threads(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (4, 0), 5: (5, 0)} | {100 + i: (100, i) for i in range(40)}
+    assert knowledge.threads(spark.createDataFrame([], "id long, parent long")).count() == 0
+
+
+def test_titles_keep_the_headings_above(spark):
+    text = "before\n# A\none\n### C\ntwo\n## B\nthree\n# D\n\n## E\nfour"
+    got = [(r.title, r.path, r.content) for r in knowledge.by_title(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("chunk").collect()]
+    assert got == [("", [], "before"), ("A", ["A"], "one"), ("C", ["A", "C"], "two"), ("B", ["A", "B"], "three"), ("E", ["D", "E"], "four")]
+
+
+def test_overlaps_are_all_pairs_once(spark):
+    import random
+
+    rng = random.Random(6)
+    make = lambda: [(i, lo, lo + rng.randrange(0, 90) * temporal.SECOND) for i, lo in enumerate(rng.randrange(300) * temporal.SECOND for _ in range(60))]
+    a, b = make(), make()
+    got = [(r.id_a, r.id_b) for r in temporal.overlapping(*(spark.createDataFrame(x, "id long, lo long, hi long") for x in (a, b)), 20).collect()]
+    assert sorted(got) == sorted((i, j) for i, lo, hi in a for j, lo2, hi2 in b if lo <= hi2 and lo2 <= hi)
+
+
+def test_shared_neighbours_of_a_hub_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 4)
+    edges = [(i, 0) for i in range(30)] + [(i, 1 + i % 3) for i in range(30)]
+    got = {(r.a, r.b): r.shared for r in graph.shared_neighbours(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {(a, b): 1 + (a % 3 == b % 3) for a in range(30) for b in range(a + 1, 30)}
