@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from mnemion.functions import vectors as v
 from mnemion.sources.staging import stage
 
+if TYPE_CHECKING:
+    import pandas as pd
 
 VECTORS, QUERIES = 4096, 256  # in a block
 
@@ -29,6 +31,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
     right = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("qv").cast("array<double>").alias("qv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))).alias("vb"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"))
 
     def run(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd  # in the tasks only
+
         if not len(mine) or not len(asked):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
         x, q = np.stack(mine["v"].to_numpy()), np.stack(asked["qv"].to_numpy())
@@ -205,6 +209,8 @@ def quality(c: Column) -> Column:
 def diverse(rows: DataFrame, k: int, trade: float = 0.2, by: str = "query_id") -> DataFrame:
     """(by, id, place): maximal marginal relevance within each group's candidates (id, score, v), which are few (a top-k)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
         x = np.stack(pdf["v"].to_numpy()).astype(float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
