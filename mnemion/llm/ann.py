@@ -15,15 +15,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemion.llm.common import hashed_sample, salt, schema, stage
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 SAMPLE_ROWS = 20_000  # vectors that the index is fitted on, chosen by a hash of their id; fewer if they are wide:
 SAMPLE_NUMBERS = 1 << 21  # components in the sample
 CELLS = 4096  # coarse centroids at most
@@ -205,6 +208,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     per_cell = entries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
 
     def compare(entry: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd  # in the tasks only
+
         none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(entry) or not len(query):
             return none
