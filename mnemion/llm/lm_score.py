@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from math import lgamma, log, log10, pi
 
 import numpy as np
@@ -85,20 +86,34 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return u, np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(u)).astype(np.int64)
 
 
-_lgamma = np.frompyfunc(lgamma, 1, 1)
+SMALL = 1 << 16
+
+
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """The logarithms of gamma at k + 1/2 and at k + 1, for small k."""
+    k = np.arange(SMALL)
+    return lgamma(0.5) + np.concatenate(([0.0], np.cumsum(np.log(k[:-1] + 0.5)))), np.concatenate(([0.0], np.cumsum(np.log(k[1:]))))
+
+
+def _log_gamma(k: np.ndarray, shift: float) -> np.ndarray:
+    """At k + shift, for shift 1/2 or 1: from the table, by Stirling's series beyond it."""
+    table = _tables()[0 if shift == 0.5 else 1]
+    small = table[np.minimum(k, SMALL - 1)]
+    if k.size == 0 or k.max() < SMALL:
+        return small
+    x = k + shift
+    return np.where(k < SMALL, small, (x - 0.5) * np.log(x) - x + 0.5 * log(2 * pi) + 1 / (12 * x) - 1 / (360 * x**3))
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """The log-probability that Krichevsky and Trofimov give to a sequence of so many zeros and ones."""
-    values, at = np.unique(np.concatenate([zeros.ravel(), ones.ravel()]), return_inverse=True)
-    half = _lgamma(values + 0.5).astype(np.float64)[at]
-    n = zeros.size
-    whole, back = np.unique((zeros + ones).ravel(), return_inverse=True)
-    return (half[:n] + half[n:] - _lgamma(whole + 1.0).astype(np.float64)[back]).reshape(zeros.shape) - log(pi)
+    zeros, ones = zeros.astype(np.int64), ones.astype(np.int64)
+    return _log_gamma(zeros, 0.5) + _log_gamma(ones, 0.5) - _log_gamma(zeros + ones, 1.0) - log(pi)
 
 
 class Level:
-    """Of one binary decision (the level-th bit of a byte) the nodes at all depths from DEPTH to `top` under one bucket.
+    """Of one binary decision (the level-th bit of a byte) the nodes at all depths from DEPTH to `top` under some buckets.
 
     Grams are sorted. Nodes of a depth are (context, bits before); up[d] leads from those of depth d + 1 to those of depth d.
     """
@@ -123,7 +138,7 @@ class Level:
             mine = log_kt(zeros, ones)
             weight, self.own[depth] = weighted(mine, below)
             self.up[depth], self.next[depth], self.reached[depth] = back, (ones + 0.5) / (zeros + ones + 1), zeros + ones > 0
-        self.bits, self.weight, self.zeros, self.ones = node & 255, weight, zeros, ones  # of depth `top`
+        self.context, self.bits, self.weight, self.zeros, self.ones = node >> 8, node & 255, weight, zeros, ones  # of depth `top`
 
     def probability(self, top: int) -> tuple[np.ndarray, np.ndarray]:
         """(of each node of depth DEPTH the probability of a 1, mixed down from depth `top`; its node at that depth)."""
@@ -143,12 +158,13 @@ def weighted(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both, np.exp(own - log(2) - both)
 
 
-def bucket_top(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(3, 256): zeros, ones and log weighted probability of a bucket's own nodes."""
-    out = np.zeros((3, 256))
+def tops_of(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(256, 3, 256): zeros, ones and log weighted probability of the buckets' own nodes, summed by the nearest byte."""
+    out = np.zeros((256, 3, 256))
     for level in range(8):
         x = Level(keys, n, level, TOP)
-        out[:, (1 << level) | x.bits] = x.zeros, x.ones, x.weight
+        for row, values in enumerate((x.zeros, x.ones, x.weight)):
+            np.add.at(out[:, row], (x.context >> 8, (1 << level) | x.bits), values)
     return out
 
 
@@ -159,16 +175,16 @@ def joined_tops(tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([zeros, ones, weight]), np.stack([(ones + 0.5) / (zeros + ones + 1), own, (zeros + ones > 0).astype(float)])
 
 
-def bucket_logs(keys: np.ndarray, n: np.ndarray, above: list[np.ndarray]) -> np.ndarray:
-    """Log10 probabilities of a bucket's grams; above: (3, 256) of the nodes of depth TOP - 1, ... 0."""
+def logs_of(keys: np.ndarray, n: np.ndarray, first: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Log10 probabilities of grams; first: (256, 3, 256), root: (3, 256): next, own weight and reached of the nodes above the buckets."""
     total = np.zeros(len(keys))
     for level in range(8):
         x = Level(keys, n, level, TOP)
         q, at = x.probability(TOP)
-        node, reached = (1 << level) | x.bits[at], x.reached[TOP][at]
-        for upper in above:
-            q = np.where(reached, upper[1][node] * upper[0][node] + (1 - upper[1][node]) * q, upper[0][node])
-            reached = upper[2][node] > 0
+        node, near, reached = (1 << level) | x.bits[at], x.context[at] >> 8, x.reached[TOP][at]
+        for upper in (first[near, :, node].T, root[:, node]):
+            q = np.where(reached, upper[1] * upper[0] + (1 - upper[1]) * q, upper[0])
+            reached = upper[2] > 0
         p = q[x.of_gram]
         total += np.log10(np.where(x.bit == 1, p, 1 - p))
     return total
@@ -273,14 +289,6 @@ def merge(parts: DataFrame, *by: str, wide: bool) -> DataFrame:
     return parts.select("place", "salt", "grams", "n").repartition(*by).sortWithinPartitions("place", "salt").mapInArrow(run, schema("place int, salt int, grams binary, n binary"))
 
 
-def by_bucket(u: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, grams, counts) of a group's sorted grams."""
-    bucket = u >> (8 * (DEPTH + 1 - TOP))
-    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    for a, z in zip(starts, np.append(starts[1:], len(u)), strict=True):
-        yield int(bucket[a]), u[a:z], n[a:z]
-
-
 def build(parts: DataFrame) -> DataFrame:
     """(place, grams, logs) of (place, salt, grams, n) rows: the log10 probability of each gram, by group."""
     once = stage(merge(parts, "place", "salt", wide=False), "gram-counts")
@@ -288,26 +296,23 @@ def build(parts: DataFrame) -> DataFrame:
     discard(once)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of each nearest byte the buckets of this task.
-        found: dict[int, list[np.ndarray]] = {}
+        found = np.zeros((256, 3, 256))
         for _, u, n in _flushed(batches, True):
-            for bucket, keys, times in by_bucket(u, n):
-                found.setdefault(bucket >> 8, []).append(bucket_top(keys, times))
-        if found:
-            yield _rows([(k, np.sum(v, axis=0).tobytes()) for k, v in found.items()], "near", "top")
+            found += tops_of(u, n)
+        seen = np.flatnonzero(found.any(axis=(1, 2)))
+        if seen.size:
+            yield _rows([(int(k), found[k].tobytes()) for k in seen], "near", "top")
 
-    summed: dict[int, np.ndarray] = {}
+    summed = np.zeros((256, 3, 256))
     for r in counts.mapInArrow(tops, schema("near int, top binary")).toLocalIterator():  # at most 256 rows of 6 KB a task
-        summed[r.near] = summed.get(r.near, 0) + np.frombuffer(r.top).reshape(3, 256)
-    first = {near: joined_tops(x[None]) for near, x in summed.items()}
-    root = joined_tops(np.stack([x for x, _ in first.values()]))[1] if first else None
-    above = {near: [x, root] for near, (_, x) in first.items()}
-    shared = counts.sparkSession.sparkContext.broadcast(above)  # at most 256 nodes and the root, 6 KB each
+        summed[r.near] += np.frombuffer(r.top).reshape(3, 256)
+    below = [joined_tops(x[None]) for x in summed]
+    root = joined_tops(np.stack([x for x, _ in below]))[1]
+    shared = counts.sparkSession.sparkContext.broadcast((np.stack([x for _, x in below]), root))  # 257 nodes, 6 KB each
 
     def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (place, _), u, n in _flushed(batches, True):
-            found = np.concatenate([bucket_logs(keys, times, shared.value[bucket >> 8]) for bucket, keys, times in by_bucket(u, n)])
-            yield _rows([(place, planes(np.diff(u, prepend=0)), planes(found.astype(np.float32)))], "place", "grams", "logs")
+            yield _rows([(place, planes(np.diff(u, prepend=0)), planes(logs_of(u, n, *shared.value).astype(np.float32)))], "place", "grams", "logs")
 
     model = stage(counts.mapInArrow(logs, schema("place int, grams binary, logs binary")), "gram-logs")
     discard(counts)
