@@ -49,13 +49,15 @@ def grams(data: np.ndarray, first: np.ndarray) -> np.ndarray:
 
     first: of each byte, where its text begins. What is before a text counts as END.
     """
-    out = data.astype(np.int64)
-    at = np.arange(len(data))
+    bytes_ = data.astype(np.int64)
+    out = bytes_.copy()
     for k in range(1, DEPTH + 1):
-        before = np.full(len(data), END, np.int64)
-        inside = at[k:] - k >= first[k:]
-        before[k:][inside] = data[:-k][inside]
-        out |= before << (8 * (DEPTH + 1 - k))
+        out[k:] |= bytes_[:-k] << (8 * (DEPTH + 1 - k))
+    # END has all bits set, so it can be put over whatever came from another text.
+    at = np.arange(len(data)) - first
+    near = np.flatnonzero(at < DEPTH)
+    for k in range(1, DEPTH + 1):
+        out[near[at[near] < k]] |= END << (8 * (DEPTH + 1 - k))
     return out
 
 
@@ -74,16 +76,23 @@ def counted(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for at in range(0, len(data), PIECE):
         lo = max(0, at - DEPTH)
         g = grams(data[lo : at + PIECE], first[lo : at + PIECE] - lo)[at - lo :]
-        u, back = np.unique(g, return_inverse=True)
-        parts.append((u, np.bincount(back, weights=learn[at : at + PIECE], minlength=len(u)).astype(np.int64)))
+        u = np.sort(g)
+        u = u[np.concatenate(([True], u[1:] != u[:-1]))]
+        mine, times = np.unique(g[learn[at : at + PIECE]], return_counts=True)
+        n = np.zeros(len(u), np.int64)
+        n[np.searchsorted(u, mine)] = times
+        parts.append((u, n))
     return merged(parts)
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if len(parts) == 1:
         return parts[0]
-    u, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return u, np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(u)).astype(np.int64)
+    u, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(u)
+    u, n = u[order], n[order]
+    starts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+    return u[starts], np.add.reduceat(n, starts)
 
 
 SMALL = 1 << 16
@@ -351,7 +360,9 @@ def scores(texts: list[bytes], logs: np.ndarray) -> np.ndarray:
     for at in range(0, len(data), PIECE):
         lo = max(0, at - DEPTH)
         g = grams(data[lo : at + PIECE], first[lo : at + PIECE] - lo)[at - lo :]
-        values = of_gram[np.searchsorted(known, g)]
+        order = np.argsort(g)
+        values = np.empty(len(g))
+        values[order] = of_gram[np.searchsorted(known, g[order])]
         out += np.bincount(np.searchsorted(starts, first[at : at + PIECE]), weights=values, minlength=len(texts))
     return out
 
