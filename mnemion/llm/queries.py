@@ -8,10 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemion.llm.align import align
 from mnemion.llm.ann import search
 from mnemion.llm.bpe import bpe_encode
 from mnemion.llm.common import bucket_of_id, read
+from mnemion.llm.decontaminate import contamination
+from mnemion.llm.decontaminate import oracle as contamination_oracle
 from mnemion.llm.exact_dedup import exact_dedup
+from mnemion.llm.filter_audit import filter_audit
+from mnemion.llm.filter_audit import oracle as audit_oracle
 from mnemion.llm.html_extract import extract_pages
 from mnemion.llm.lm_score import lm_scores
 from mnemion.llm.mixing import mix_sources
@@ -78,8 +83,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_extract_pages": op1_extract_pages, "op2_near_dedup": op2_near_dedup, "op3_secrets": op3_secrets, "op4_nearest": op4_nearest, "op5_toxicity": op5_toxicity, "op6_mix_sources": op6_mix_sources, "op7_lm_scores": op7_lm_scores, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_extract_pages": op1_extract_pages, "op2_near_dedup": op2_near_dedup, "op3_secrets": op3_secrets, "op4_nearest": op4_nearest, "op5_toxicity": op5_toxicity, "op6_mix_sources": op6_mix_sources, "op7_lm_scores": op7_lm_scores, "op8_bpe": op8_bpe, "op9_pii": op9_pii, "op10_exact_dedup": op10_exact_dedup, "op11_filter_audit": op11_filter_audit, "op12_decontamination": op12_decontamination, "op13_alignment": op13_alignment}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -91,4 +109,6 @@ def oracle_sql() -> dict[str, str]:
         "op10_exact_dedup": f"""
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256({LOWER}) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY {LOWER})""",
+        "op11_filter_audit": audit_oracle(),
+        "op12_decontamination": contamination_oracle(),
     }
