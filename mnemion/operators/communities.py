@@ -24,7 +24,7 @@ from mnemion.sources.staging import discard, stage
 
 HUB = 10_000  # rows of a node's neighbours in one task
 SALTS = 16  # of the members of one community
-PATIENCE = 3  # rounds without a gain that end a level
+PATIENCE = 2  # rounds without a gain that end a level
 LEAST_GAIN = 1e-7
 
 

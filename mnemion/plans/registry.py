@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemion.plans import documents, graph, knowledge, operations, retrieval, temporal
+from mnemion.plans import documents, graph, knowledge, mining, operations, retrieval, temporal
 
-MODULES = (temporal, graph, retrieval, documents, operations, knowledge)
+MODULES = (temporal, graph, retrieval, documents, operations, knowledge, mining)
 
 
 def queries() -> dict:
