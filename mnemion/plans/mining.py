@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemion.operators import attention as att
 from mnemion.operators import communities as com
 from mnemion.operators import consistency as con
 from mnemion.operators import patterns as pat
+from mnemion.operators import relations as rel
 from mnemion.operators import structure as stc
 from mnemion.plans.graph import COMMUNITIES, _communities
 from mnemion.plans.temporal import EDGES, E
@@ -151,7 +153,50 @@ def missing_edges(spark: SparkSession, d: str) -> DataFrame:
     return pat.missing_edges(*_rules(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (louvain_communities, community_levels, community_modularity, joined_communities, hierarchy_members, hierarchy_ancestors, semantic_split, temporal_cycles, transitive_violations, relation_violations, consistency_report, independence_tests, causal_structure, frequent_patterns, rule_metrics, missing_edges)}
+def _told(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A text for each entity that tells its pairs of events, some without a cause and some the wrong way round, and its events' names."""
+    verb = F.expr("case src % 5 when 0 then 'led to' when 1 then 'was an important reason for and directly triggered' when 2 then 'came before' when 3 then 'prevented' else 'was due to' end")
+    name = lambda kind, c: F.concat_ws(" ", F.initcap(kind), F.lit("number"), F.col(c).cast("string"))
+    told = F.concat(name("src_type", "src"), F.lit(" "), verb, F.lit(" the "), name("dst_type", "dst"), F.lit("."))
+    texts = causal_edges(spark, d).groupBy(F.col("entity").alias("id")).agg(F.concat_ws(" ", F.array_sort(F.collect_list(told))).alias("text"))
+    return texts, event_nodes(spark, d).select(F.col("entity").alias("id"), name("type", "id").alias("name"), "t")
+
+
+def causal_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return rel.causal_candidates(*_told(spark, d)).select("id", "cause", "effect", "relation", "evidence", "confidence")
+
+
+def part_names(spark: SparkSession, d: str) -> DataFrame:
+    """How often the parts' names of two words or more occur in other parts' names and kinds."""
+    p = table(spark, d, "part")
+    texts = p.select(F.col("p_partkey").alias("id"), F.concat_ws(". ", "p_type", "p_name", "p_brand", "p_name").alias("text"))
+    return rel.phrase_mentions(texts, p.select(F.col("p_name").alias("name")).distinct()).groupBy("name").agg(F.count_distinct("id").alias("parts"), F.count("*").alias("n"))
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every vector whose id is divisible by 100 asks, from the part of its id; parts and suppliers, and vectors of parts."""
+    v = table(spark, d, "embeddings")
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    seeds = queries.select("query", _named("p", "query").alias("id"))
+    edges = table(spark, d, "lineitem").select(_named("p", "l_partkey").alias("src"), _named("s", "l_suppkey").alias("dst")).distinct()
+    return queries, seeds, edges, v.select(_named("p", "vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def multi_hop_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents of the parts that they contain."""
+    docs = table(spark, d, "lineitem").select(_named("p", "l_partkey").alias("id"), F.col("l_orderkey").alias("doc")).distinct()
+    return att.multi_hop(*_asked(spark, d), docs).select("query", "doc", F.round("score", 6).alias("score"))
+
+
+def graph_attention(spark: SparkSession, d: str) -> DataFrame:
+    """Node scores after two rounds between parts; tests hold them against a loop in numpy."""
+    queries, seeds, edges, nodes = _asked(spark, d)
+    pairs = edges.join(edges.select(F.col("dst"), F.col("src").alias("other")).groupBy("dst").agg(F.min("other").alias("other")), "dst").select("src", F.col("other").alias("dst"))
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct()
+    return att.attention(queries, seeds, both, nodes).select("query", "id", F.round("score", 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (louvain_communities, community_levels, community_modularity, joined_communities, hierarchy_members, hierarchy_ancestors, semantic_split, temporal_cycles, transitive_violations, relation_violations, consistency_report, independence_tests, causal_structure, frequent_patterns, rule_metrics, missing_edges, causal_sentences, part_names, multi_hop_documents, graph_attention)}
 
 PLACES = """p AS (SELECT 1 AS level, 'c' || c_custkey AS id, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 2, 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 3, 'r' || r_regionkey, 'world' FROM region)"""
 
@@ -226,6 +271,16 @@ SQL = {
         q AS (SELECT x, y, min(CASE WHEN CASE size WHEN 0 THEN 2 * h < 3.841458820694124 WHEN 1 THEN exp(-h) > 0.05 WHEN 2 THEN exp(-h) * (1 + h) > 0.05 ELSE exp(-h) * (1 + h + h * h / 2 + h * h * h / 6) > 0.05 END THEN size END) AS size FROM h GROUP BY 1, 2),
         o AS (SELECT src_type, dst_type, count(*) AS n FROM g GROUP BY 1, 2), d AS (SELECT q.*, coalesce(a.n, 0) AS xy, coalesce(b.n, 0) AS yx FROM q LEFT JOIN o a ON a.src_type = x AND a.dst_type = y LEFT JOIN o b ON b.src_type = y AND b.dst_type = x)
         SELECT CASE WHEN yx > xy THEN y ELSE x END AS cause, CASE WHEN yx > xy THEN x ELSE y END AS effect, size IS NULL AS linked, size, xy = yx AS undecided FROM d""",
+    "causal_sentences": f"""WITH {EDGES}, s AS (SELECT *, upper(src_type[1]) || lower(src_type[2:]) || ' number ' || src AS cause, upper(dst_type[1]) || lower(dst_type[2:]) || ' number ' || dst AS effect,
+        CASE src % 5 WHEN 0 THEN 'led to' WHEN 1 THEN 'was an important reason for and directly triggered' WHEN 3 THEN 'prevented' ELSE 'was due to' END AS verb FROM g WHERE src % 5 != 2), v AS (SELECT *, cause || ' ' || verb || ' the ' || effect AS evidence FROM s)
+        SELECT entity AS id, cause, effect, CASE src % 5 WHEN 0 THEN 'LEADS_TO' WHEN 1 THEN 'TRIGGERS' WHEN 3 THEN 'PREVENTS' ELSE 'CAUSES' END AS relation, evidence, round(least(1.0, 0.7 + CASE WHEN src % 5 IN (0, 1) THEN 0.2 ELSE 0 END + CASE WHEN length(evidence) > 50 THEN 0.1 ELSE 0 END), 9) AS confidence FROM v""",
+    "part_names": r"""WITH n AS (SELECT DISTINCT p_name AS name, list_filter(string_split_regex(lower(p_name), '[^\w]+'), lambda x: x != '') AS k FROM part), w AS (SELECT p_partkey AS id, list_filter(string_split_regex(lower(p_type || '. ' || p_name || '. ' || p_brand || '. ' || p_name), '[^\w]+'), lambda x: x != '') AS ws FROM part),
+        x AS (SELECT id, array_to_string(list_slice(ws, i, i + l - 1), ' ') AS run FROM w, (SELECT DISTINCT len(k) AS l FROM n), unnest(range(1, len(ws) + 1)) u(i) WHERE i + l - 1 <= len(ws))
+        SELECT name, count(DISTINCT id) AS parts, count(*) AS n FROM n JOIN x ON run = array_to_string(k, ' ') WHERE len(k) > 0 GROUP BY 1""",
+    "multi_hop_documents": """WITH RECURSIVE b AS (SELECT DISTINCT 'p' || l_partkey AS x, 's' || l_suppkey AS y FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
+        q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), w AS (SELECT query, 'p' || query AS id, 0 AS hop FROM q UNION SELECT query, b.y, hop + 1 FROM w JOIN b ON b.x = w.id WHERE hop < 2),
+        m AS (SELECT query, id, min(hop) AS hop FROM w GROUP BY 1, 2), s AS (SELECT m.query, m.id, CASE WHEN e.vec_id IS NULL THEN 0.5 ELSE list_cosine_similarity(q.v, e.embedding::DOUBLE[]) END * pow(0.7, hop) AS score FROM m JOIN q ON q.query = m.query LEFT JOIN embeddings e ON m.id = 'p' || e.vec_id)
+        SELECT query, l_orderkey AS doc, round(max(score), 6) AS score FROM s JOIN lineitem ON s.id = 'p' || l_partkey WHERE score >= 0.3 GROUP BY 1, 2""",
     "frequent_patterns": _pattern_sql(),
     "rule_metrics": f"""WITH {RULES}, c AS (SELECT coalesce(q.rule, z.rule) AS rule, count(q.head) AS support, count(*) FILTER (q.head IS NOT NULL AND z.head IS NOT NULL) AS tp, count(*) FILTER (z.head IS NULL) AS fp, count(*) FILTER (q.head IS NULL) AS fn FROM q FULL JOIN z ON q.rule = z.rule AND q.head = z.head AND q.tail = z.tail GROUP BY 1)
         SELECT rule, support, tp AS true_positives, fp AS false_positives, fn AS false_negatives, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c""",
