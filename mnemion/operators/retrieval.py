@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -17,32 +17,59 @@ if TYPE_CHECKING:
     import pandas as pd
 
 VECTORS, QUERIES = 4096, 256  # in a block
+CELLS = 1024  # twice as many at most
+SLACK = 1e-6  # of distances, for rounded scores
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(query_id, id, score, rank): each query's k nearest other rows of (id, v), exactly. queries is (query_id, qv).
 
-    Blocks of vectors meet blocks of queries, each pair in a task of its own that keeps k rows a query. Scores are compared to
-    12 places, ties go to the smaller id. Vectors are of one length and without nulls; a score that isn't defined is left out.
+    Scores are compared to 12 places, ties go to the smaller id. Vectors are of one length and without nulls; a score that
+    isn't defined is left out. Beyond VECTORS rows, vectors are dealt into cells around a bounded sample of them. A query
+    searches its own cell, and then those only that may hold a nearer vector than its k-th there: by the triangle inequality
+    none is nearer than the distance to the cell's centre less the cell's radius (distances of unit vectors for cosines). On
+    vectors that cluster that is a few cells, on ones in all directions it is most.
     """
-    n_v = max(1, -(-vectors.count() // VECTORS))
-    n_q = max(1, -(-queries.count() // QUERIES))
-    left = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n_v)).alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("qb"))
-    right = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("qv").cast("array<double>").alias("qv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))).alias("vb"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"))
+    n = vectors.count()
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("qv").cast("array<double>").alias("qv"))
+    if n <= VECTORS:
+        best = _searched(rows.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0)), {0: n}, k, metric)
+    else:
+        best = _by_cells(rows, asked, n, k, metric)
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        if metric == "cosine":
+            score = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1))
+        else:
+            score = 1 / (1 + np.stack([np.linalg.norm(x - y, axis=1) for y in q]))
+    return np.round(score, 12)
 
-    def run(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+
+def _searched(rows: DataFrame, visits: DataFrame, sizes: Mapping[int, int], k: int, metric: str) -> DataFrame:
+    """(query_id, id, score): the k best of each block of a cell for each query (query_id, qv, cell) that visits it.
+
+    Blocks of a cell's vectors meet blocks of its queries, each pair in a task of its own. sizes has the rows of each cell.
+    """
+    asked = dict(visits.groupBy("cell").agg(F.count("*").alias("n")).collect())  # a row a cell
+    spark = rows.sparkSession
+    cells = spark.createDataFrame([(c, -(-max(1, m) // VECTORS), -(-asked[c] // QUERIES)) for c, m in sizes.items() if c in asked] or [(-1, 1, 1)], "cell int, n_v int, n_q int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
+    left = rows.join(F.broadcast(cells), "cell").select("cell", "id", "v", block("id", "n_v").alias("vb"), every("n_q").alias("qb"))
+    right = visits.join(F.broadcast(cells), "cell").select("cell", "query_id", "qv", block("query_id", "n_q").alias("qb"), every("n_v").alias("vb"))
+
+    def run(mine: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         import pandas as pd  # in the tasks only
 
-        if not len(mine) or not len(asked):
+        if not len(mine) or not len(wanted):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        x, q = np.stack(mine["v"].to_numpy()), np.stack(asked["qv"].to_numpy())
-        ids, names = mine["id"].to_numpy(), asked["query_id"].to_numpy()
-        with np.errstate(all="ignore"):
-            if metric == "cosine":
-                score = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1))
-            else:
-                score = 1 / (1 + np.stack([np.linalg.norm(x - y, axis=1) for y in q]))
-        score = np.round(score, 12)
+        x, q = np.stack(mine["v"].to_numpy()), np.stack(wanted["qv"].to_numpy())
+        ids, names = mine["id"].to_numpy(), wanted["query_id"].to_numpy()
+        score = _scores(x, q, metric)
         score[(ids == names[:, None]) | ~np.isfinite(score)] = -np.inf
         out = []
         for i, name in enumerate(names):
@@ -51,8 +78,84 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
             out.append(pd.DataFrame({"query_id": name, "id": ids[order], "score": score[i][order]}))
         return pd.concat(out)
 
-    best = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(run, "query_id long, id long, score double")
-    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    key = ("cell", "vb", "qb")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, "query_id long, id long, score double")
+
+
+def _placed(x: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors where distances order as scores do; not-numbers where there is no direction."""
+    with np.errstate(all="ignore"):
+        return x / np.linalg.norm(x, axis=1)[:, None] if metric == "cosine" else x
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    square = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)
+    return np.sqrt(np.maximum(square, 0))
+
+
+def _by_cells(rows: DataFrame, asked: DataFrame, n: int, k: int, metric: str) -> DataFrame:
+    wanted = min(CELLS, -(-n // VECTORS) * 4)
+    share = int(min(1.0, wanted / n) * (1 << 30))
+    some = rows.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)) <= share).limit(2 * wanted).select("v").collect() or rows.limit(1).select("v").collect()
+    centres = _placed(np.array([r.v for r in some], float), metric)
+    centres = centres[np.isfinite(centres).all(1)]
+    if not len(centres):
+        centres = np.zeros((1, len(some[0].v)))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        for b in batches:
+            if not len(b):
+                continue
+            x = _placed(np.stack(b["v"].to_numpy()), metric)
+            d = _distances(x, centres)
+            d[~np.isfinite(d)] = np.inf
+            cell = d.argmin(1)
+            # The sum of squares loses the last places of small distances, so the radius is measured again.
+            yield pd.DataFrame({"id": b["id"], "v": b["v"], "cell": cell.astype(np.int32), "r": np.linalg.norm(x - centres[cell], axis=1)})
+
+    dealt = stage(rows.mapInPandas(deal, "id long, v array<double>, cell int, r double"), "cells")
+    found = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max(F.when(~F.isnan("r"), F.col("r"))).alias("r")).collect()  # a row a cell
+    sizes, radius = {r.cell: r.n for r in found}, {r.cell: r.r for r in found}
+    numbers = np.array(sorted(sizes), np.int32)
+    counts, radii = np.array([sizes[c] for c in numbers]), np.array([radius[c] if radius[c] is not None else 0.0 for c in numbers])
+
+    def home(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to the cells' centres, and the nearest cell that has k other rows (-1 if none)."""
+        x = _placed(q, metric)
+        d = np.linalg.norm(x[:, None, :] - centres[numbers][None, :, :], axis=2)
+        full = np.where(counts > k, d, np.inf)
+        return d, np.where(np.isfinite(full).any(1), full.argmin(1), -1)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        for b in batches:
+            if len(b):
+                at = home(np.stack(b["qv"].to_numpy()))[1]
+                yield pd.DataFrame({"query_id": b["query_id"], "qv": b["qv"], "cell": np.where(at >= 0, numbers[at], -1).astype(np.int32)})
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        for b in batches:
+            if not len(b):
+                continue
+            d, at = home(np.stack(b["qv"].to_numpy()))
+            worst = b["worst"].to_numpy(float)  # the k-th score at home; none if there are fewer
+            reach = np.sqrt(np.maximum(2 - 2 * worst, 0)) if metric == "cosine" else 1 / worst - 1
+            reach = np.where(np.isfinite(reach), reach, np.inf) + SLACK
+            may = ~(d - radii > reach[:, None])  # where there is no distance, all
+            may[np.arange(len(b))[at >= 0], at[at >= 0]] = False
+            i, c = np.nonzero(may)
+            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[i], "qv": b["qv"].to_numpy()[i], "cell": numbers[c]})
+
+    kind = "query_id long, qv array<double>, cell int"
+    near = stage(_searched(dealt.select("id", "v", "cell"), stage(asked.mapInPandas(first, kind), "homes"), sizes, k, metric), "near")
+    worst = near.groupBy("query_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list("score"))), k, 1).alias("s")).select("query_id", F.get("s", F.lit(0)).alias("worst"))
+    visits = stage(asked.join(worst, "query_id", "left").mapInPandas(rest, kind), "visits")
+    return near.unionByName(_searched(dealt.select("id", "v", "cell"), visits, sizes, k, metric))
 
 
 def weighted_fusion(vector: DataFrame, graph: DataFrame, vector_weight: float, graph_weight: float) -> DataFrame:
