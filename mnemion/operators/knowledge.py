@@ -165,11 +165,23 @@ def starved(counts: DataFrame, by: str, value: str, share: float = 0.5) -> DataF
 
 
 def subsequences(short: DataFrame, long: DataFrame, pattern: str = "pattern") -> DataFrame:
-    """(short, long): patterns (types joined by '>') whose types all are in a longer one, in the same order. Patterns are few: kinds of events."""
-    a = short.select(F.col(pattern).alias("short"))
-    b = long.select(F.col(pattern).alias("long"))
-    inside = F.expr("long rlike concat('(^|>)', replace(short, '>', '(>.*)?>'), '(>|$)')")
-    return a.join(F.broadcast(b), inside)
+    """(short, long): patterns (types joined by '>') whose types all are in a longer or equal one, in the same order.
+
+    Each long pattern is taken apart into its ordered selections of as many types as a short one has, which are joined by
+    equality: their number follows the patterns' length and not the number of patterns.
+    """
+    a = short.select(F.col(pattern).alias("short")).distinct()
+    b = long.select(F.col(pattern).alias("long"), F.split(F.col(pattern), ">").alias("types")).distinct()
+    found = None
+    for n in sorted(r[0] for r in a.select(F.size(F.split("short", ">"))).distinct().collect()):  # a few lengths
+        at = b.where(F.size("types") >= n).select("long", "types", F.lit(0).alias("k"), F.array().cast("array<string>").alias("some"))
+        for i in range(n):  # the next type is further on, and leaves enough for those to come
+            places = F.sequence(F.col("k") + 1, F.size("types") - (n - 1 - i))
+            at = at.where(F.col("k") + 1 <= F.size("types") - (n - 1 - i)).select("long", "types", F.explode(places).alias("k"), "some")
+            at = at.select("long", "types", "k", F.concat("some", F.array(F.element_at("types", F.col("k")))).alias("some"))
+        met = at.select(F.array_join("some", ">").alias("short"), "long").distinct().join(a, "short")
+        found = met if found is None else found.unionByName(met)
+    return found if found is not None else a.join(b.select("long").limit(0))
 
 
 def approximate(rows: DataFrame, by: Sequence[str], key: str, value: str) -> DataFrame:

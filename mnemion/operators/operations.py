@@ -135,3 +135,9 @@ def type_preferences(feedback: DataFrame, by: str, rating: str) -> DataFrame:
     """(by, n, preference): the mean of ratings (valuable 1, dismiss -0.5, wrong -1, others 0)."""
     value = F.when(F.col(rating) == "valuable", 1.0).when(F.col(rating) == "dismiss", -0.5).when(F.col(rating) == "wrong", -1.0).otherwise(0.0)
     return feedback.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("preference"))
+
+
+def unconsented(requests: DataFrame, by: str, active: str = "active") -> DataFrame:
+    """(by, hour, n, first): hours since the epoch in which a key made requests (id, t in microseconds) without consent, one alert an hour."""
+    rows = requests.where(~F.col(active)).withColumn("hour", F.floor(F.col("t") / 3_600_000_000))
+    return rows.groupBy(by, "hour").agg(F.count("*").alias("n"), F.min(F.struct("t", "id")).alias("f")).select(by, "hour", "n", F.col("f.id").alias("first"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemion.operators import operations as op
+from mnemion.operators.knowledge import consented
 from mnemion.sources import tables as src
 from mnemion.sources.tables import event_nodes, table
 
@@ -53,9 +54,16 @@ def jain_fairness(spark: SparkSession, d: str) -> DataFrame:
     return op.fairness(users, "n").select("n", *[F.round(c, 9).alias(c) for c in ("jain", "cv", "ratio")])
 
 
-def retry_delays(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.range(12).select(F.col("id").alias("attempt"))
-    return n.select("attempt", *[op.retry_delay(F.col("attempt"), kind=k).cast("double").alias(k) for k in ("exponential", "linear", "fixed")])
+def rapid_consent_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Grants and refusals of one entity, at least three within a day."""
+    return op.sliding_counts(event_nodes(spark, d).where("type in ('signup', 'error')"), "entity", 1440, 3)
+
+
+def unconsented_escalations(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases without what sign-ups grant and errors revoke."""
+    e = event_nodes(spark, d)
+    log = e.where("type in ('signup', 'error')").select("entity", "t", (F.col("type") == "signup").alias("granted"))
+    return op.unconsented(consented(e.where("type = 'purchase'").select("id", "entity", "t"), log, 7 * 86400), "entity")
 
 
 def search_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +154,7 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("n_name").agg(F.round(F.sum(sales).cast("double"), 2).alias("revenue"))
 
 
-QUERIES = {f.__name__: f for f in (audit_verify, sliding_violations, volume_spikes, queue_order, status_counts, illegal_transitions, latency_percentiles, jain_fairness, retry_delays, search_rates, bandit_scores, prior_confidence, missing_synthesis, type_preferences, insight_scores, entity_filter, name_contains, count_by_label, page_with_total, merged_upsert, cascade, append_new, grouping_summary, distinct_partners, revenue_by_nation)}
+QUERIES = {f.__name__: f for f in (audit_verify, sliding_violations, volume_spikes, queue_order, status_counts, illegal_transitions, latency_percentiles, jain_fairness, rapid_consent_changes, unconsented_escalations, search_rates, bandit_scores, prior_confidence, missing_synthesis, type_preferences, insight_scores, entity_filter, name_contains, count_by_label, page_with_total, merged_upsert, cascade, append_new, grouping_summary, distinct_partners, revenue_by_nation)}
 
 SQL = {
     "audit_verify": """WITH f AS (SELECT o_custkey AS stream, o_orderkey AS seq, o_orderkey % 97 = 0 AS tampered, o_orderkey % 89 = 0 AND o_orderkey > min(o_orderkey) OVER (PARTITION BY o_custkey) AS unlinked FROM orders)
@@ -160,7 +168,11 @@ SQL = {
     "illegal_transitions": "WITH s AS (SELECT o_custkey, o_orderkey, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, o_orderstatus AS after FROM orders) SELECT * FROM s WHERE before IS NOT NULL AND (before, after) NOT IN (('O', 'F'), ('F', 'O'), ('P', 'O'), ('O', 'P'))",
     "latency_percentiles": "SELECT event_type AS type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1",
     "jain_fairness": "WITH u AS (SELECT count(*)::DOUBLE AS x FROM events GROUP BY user_id) SELECT count(*) AS n, round(sum(x) * sum(x) / (count(*) * sum(x * x)), 9) AS jain, round(stddev_pop(x) / avg(x), 9) AS cv, round(max(x) / min(x), 9) AS ratio FROM u",
-    "retry_delays": "SELECT a AS attempt, least(300.0, pow(2, a))::DOUBLE AS exponential, least(300.0, a + 1)::DOUBLE AS linear, 1.0::DOUBLE AS fixed FROM range(12) r(a)",
+    "rapid_consent_changes": f"""WITH e AS (SELECT event_id AS id, user_id AS entity, {T} AS t FROM events WHERE event_type IN ('signup', 'error')), c AS (SELECT *, count(*) OVER (PARTITION BY entity ORDER BY t RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS in_window FROM e)
+        SELECT entity, t // 3600000000 AS hour, id, in_window FROM c WHERE in_window >= 3 QUALIFY row_number() OVER (PARTITION BY entity, t // 3600000000 ORDER BY t, id) = 1""",
+    "unconsented_escalations": f"""WITH e AS (SELECT event_id AS id, user_id AS entity, event_type AS type, {T} AS t FROM events), m AS (SELECT p.id, p.entity, p.t, max(c.t) AS last FROM e p LEFT JOIN e c ON c.entity = p.entity AND c.t <= p.t AND c.type IN ('signup', 'error') WHERE p.type = 'purchase' GROUP BY 1, 2, 3),
+        a AS (SELECT m.*, coalesce(t - last <= 604800000000 AND NOT EXISTS (SELECT 1 FROM e x WHERE x.entity = m.entity AND x.t = m.last AND x.type = 'error'), false) AS active FROM m)
+        SELECT entity, t // 3600000000 AS hour, count(*) AS n, arg_min(id, (t, id)) AS first FROM a WHERE NOT active GROUP BY 1, 2""",
     "search_rates": """WITH s AS (SELECT event_type AS type, (event_id % 3 = 0)::INT AS c, (event_id % 5 = 0)::INT AS r, (event_id % 7 = 0)::INT AS z FROM events) SELECT type, count(*) AS n, round(avg(c), 9) AS click_rate, round(avg(r), 9) AS refine_rate, round(avg(z), 9) AS empty_rate, round(avg(c) - avg(r), 9) AS trend FROM s GROUP BY 1""",
     "bandit_scores": "WITH s AS (SELECT event_type AS type, count(*) AS n, avg(value / 1000) AS q, avg((event_id % 4 != 0)::INT) AS s FROM events GROUP BY 1) SELECT type, n, round(q * s + 1.4 * sqrt(ln(sum(n) OVER ()) / n), 6) AS score FROM s",
     "prior_confidence": "SELECT user_id AS entity, count(*) FILTER (event_type != 'error') AS successes, count(*) FILTER (event_type = 'error') AS failures, round(count(*) FILTER (event_type != 'error') / count(*), 9) AS confidence FROM events GROUP BY 1",

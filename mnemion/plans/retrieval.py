@@ -160,13 +160,7 @@ def diverse_topk(spark: SparkSession, d: str) -> DataFrame:
     return op.diverse(near.join(_vectors(spark, d).select("id", "v"), "id"), 8)
 
 
-def chosen_strategy(spark: SparkSession, d: str) -> DataFrame:
-    name = op.strategy({"vector": (100.0, 0.2, 0.5, 0.7), "graph": (300.0, 0.5, 0.3, 0.8), "hybrid": (500.0, 0.8, 0.2, 0.9)})
-    weights = op.adjusted_weights("causal", 3, 20)
-    return spark.createDataFrame([(name, round(weights[0], 9), round(weights[1], 9))], "strategy string, vector double, graph double")
-
-
-QUERIES = {f.__name__: f for f in (knn_cosine, knn_l2, knn_filtered, weighted_fusion, rank_fusion, intent_rules, keyword_search, schema_compatible, minmax_by_source, distinct_signature, balanced_topk, boosts, centroids, sequence_embedding, unit_vectors, fused_embedding, embedding_quality, embedding_consistency, hybrid_search, diverse_topk, chosen_strategy)}
+QUERIES = {f.__name__: f for f in (knn_cosine, knn_l2, knn_filtered, weighted_fusion, rank_fusion, intent_rules, keyword_search, schema_compatible, minmax_by_source, distinct_signature, balanced_topk, boosts, centroids, sequence_embedding, unit_vectors, fused_embedding, embedding_quality, embedding_consistency, hybrid_search, diverse_topk)}
 
 X = "x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), p AS (SELECT id, label, unnest(v) AS c, unnest(range(1, len(v) + 1)) AS i FROM x)"
 SQL = {

@@ -199,7 +199,14 @@ def ngram_sql(n: int) -> str:
     return f"WITH e AS ({E}), l AS (SELECT {parts} FROM e WINDOW w AS (PARTITION BY entity ORDER BY t, id)) SELECT {pattern} AS pattern, count(*) AS n FROM l WHERE {pattern} IS NOT NULL GROUP BY 1 HAVING count(*) >= 3"
 
 
-QUERIES = {f.__name__: f for f in (time_range_decay_topk, events_before, events_after, events_simultaneous, weekday_pattern, event_gaps, recurring_bigrams, recurring_trigrams, sequence_match, pair_matches, correlation_scan, correlation_report, correlation_summary, lag_histogram, bootstrap_gap, cooccurrence, significance, corrections, fdr_standard, precedence_matrix, causal_order, temporal_neighbourhood, hybrid_neighbourhood, overlapping_sessions, rhythm, unified_items, consistency_causal, temporal_markers)}
+def relative_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Due dates told in relation to the orders' dates."""
+    k = F.col("o_orderkey")
+    told = F.expr("case o_orderkey % 6 when 0 then 'sent Yesterday' when 1 then 'due tomorrow' when 2 then 'due today' when 3 then concat('seen ', o_orderkey % 9, ' days ago') when 4 then concat('in ', o_orderkey % 5 + 1, ' weeks') else 'some day' end")
+    return table(spark, d, "orders").select(k, told.alias("told"), F.to_date("o_orderdate").alias("reference")).select("o_orderkey", "told", F.date_format(op.relative_marker(F.col("told"), F.col("reference")), "yyyy-MM-dd").alias("date"))
+
+
+QUERIES = {f.__name__: f for f in (time_range_decay_topk, events_before, events_after, events_simultaneous, weekday_pattern, event_gaps, recurring_bigrams, recurring_trigrams, sequence_match, pair_matches, correlation_scan, correlation_report, correlation_summary, lag_histogram, bootstrap_gap, cooccurrence, significance, corrections, fdr_standard, precedence_matrix, causal_order, temporal_neighbourhood, hybrid_neighbourhood, overlapping_sessions, rhythm, unified_items, consistency_causal, temporal_markers, relative_markers)}
 
 SQL = {
     "time_range_decay_topk": f"WITH e AS ({E}) SELECT id, type, round(exp(-(ln(2) / 30) * ((epoch_us(TIMESTAMP '2024-01-31') - t) / 86400000000.0)), 9) AS score FROM e WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' AND type IN ('click', 'purchase') ORDER BY t DESC, id LIMIT 100",
@@ -231,4 +238,6 @@ SQL = {
         UNION ALL SELECT 'document', CASE WHEN regexp_matches(source, '[02468]$') THEN 'markdown_note' ELSE 'pdf_document' END, n_chars FROM documents) SELECT kind, category, count(*) AS n, sum(size)::BIGINT AS size FROM u GROUP BY 1, 2""",
     "consistency_causal": f"WITH {EDGES} SELECT dst AS src, src AS dst, rel FROM g",
     "temporal_markers": "SELECT o_orderkey AS doc_id, 'iso' AS kind, strftime(o_orderdate, '%Y-%m-%d') AS marker FROM orders UNION ALL SELECT o_orderkey, 'us', strftime(o_orderdate, '%-m/%-d/%Y') FROM orders UNION ALL SELECT o_orderkey, 'eu', strftime(o_orderdate, '%-d.%-m.%Y') FROM orders",
+    "relative_markers": """WITH t AS (SELECT o_orderkey, o_orderdate::DATE AS r, CASE o_orderkey % 6 WHEN 0 THEN 'sent Yesterday' WHEN 1 THEN 'due tomorrow' WHEN 2 THEN 'due today' WHEN 3 THEN 'seen ' || o_orderkey % 9 || ' days ago' WHEN 4 THEN 'in ' || (o_orderkey % 5 + 1) || ' weeks' ELSE 'some day' END AS told,
+        CASE o_orderkey % 6 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN -(o_orderkey % 9) WHEN 4 THEN 7 * (o_orderkey % 5 + 1) END AS days FROM orders) SELECT o_orderkey, told, strftime(r + days::INT, '%Y-%m-%d') AS date FROM t""",
 }
