@@ -1,7 +1,7 @@
 """Communities of a weighted graph: moves by modularity gain, refinement into connected parts, levels, and splits by meaning.
 
 A graph is a table of edges (src, dst, optionally weight) without direction; a null weight or one of 0 counts as 1. Nodes move
-in rounds. In a round every node sees the communities of its neighbours as they were, half of the nodes (another half each
+in rounds. In a round every node sees the communities of its neighbours as they were, three in four nodes (others each
 round) go where the gain is largest, and of two lone nodes that want each other only the one of the larger name goes, so
 nodes don't swap for ever. Rounds that don't raise modularity end a level; its best state is kept. The communities are then
 the nodes of the next level, with summed weights.
@@ -108,7 +108,7 @@ def _settled(graph: Graph, resolution: float, rounds: int) -> tuple[DataFrame, f
         if not now.wants or stale == PATIENCE or turn == rounds:
             break
         lone = (F.col("size") == 1) & (F.col("best.size") == 1)
-        free = (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0) & ~(lone & (F.col("best.c") > F.col("c")))
+        free = (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(4)) > 0) & ~(lone & (F.col("best.c") > F.col("c")))
         state = choices.select("id", F.when(F.coalesce(wants & free, F.lit(False)), F.col("best.c")).otherwise(F.col("c")).alias("c"), "k", "loop", "salts")
     return kept.select("id", "c"), top, first
 
