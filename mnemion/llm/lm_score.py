@@ -39,6 +39,8 @@ FLUSH_WORDS = 300_000  # words counted in a task before they are handed on
 GROUPS = 256  # that buckets are dealt to
 SLICE, SLICE_TEXTS = 8 << 20, 1 << 15  # bytes and texts packed together; a longer text is a slice of its own
 PIECE = 4 << 20  # positions whose grams are sorted at once
+LOOKED_UP = 1 << 20  # positions whose grams are looked up at once
+RUN_TEXTS = 512  # texts whose words are handed on at once
 PENDING = 1 << 20  # grams that wait to be merged
 ASKED = 1 << 26  # grams requested of a bucket in one task
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -357,13 +359,13 @@ def scores(texts: list[bytes], logs: np.ndarray) -> np.ndarray:
     of_gram = np.empty(len(known))
     of_gram[np.argsort(group_of(known), kind="stable")] = logs
     out = np.zeros(len(texts))
-    for at in range(0, len(data), PIECE):
+    for at in range(0, len(data), LOOKED_UP):
         lo = max(0, at - DEPTH)
-        g = grams(data[lo : at + PIECE], first[lo : at + PIECE] - lo)[at - lo :]
+        g = grams(data[lo : at + LOOKED_UP], first[lo : at + LOOKED_UP] - lo)[at - lo :]
         order = np.argsort(g)
         values = np.empty(len(g))
         values[order] = of_gram[np.searchsorted(known, g[order])]
-        out += np.bincount(np.searchsorted(starts, first[at : at + PIECE]), weights=values, minlength=len(texts))
+        out += np.bincount(np.searchsorted(starts, first[at : at + LOOKED_UP]), weights=values, minlength=len(texts))
     return out
 
 
@@ -445,6 +447,20 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         rare_kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
+
+        def word_logs(x: bytes) -> tuple[int, int, float, list[dict]]:
+            """Of a text: tokens, known words and the sum of their logarithms as far as they are frequent, and the other words."""
+            counted_words = Counter(x.translate(LOWER_BYTES).split())
+            n_known, total, others = 0, 0.0, []
+            for w, k in counted_words.items():
+                c = common.get(w)
+                if c is None:
+                    others.append({"word": w.decode(), "n": k})
+                else:
+                    n_known += k
+                    total += k * log10(c + 1)
+            return sum(counted_words.values()) + 1, n_known, total, others
+
         got: list[np.ndarray] = []
         for b in batches:
             for row in range(b.num_rows):
@@ -455,25 +471,15 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
                 ends_at = np.cumsum(sizes)
                 text = zstandard.ZstdDecompressor().decompress(text, max_output_size=int(ends_at[-1]) + 1)
                 raw = [text[z - s : z] for s, z in zip(sizes, ends_at.tolist(), strict=True)]
-                tokens, known, logs, rare = [], [], [], []
-                for x in raw:
-                    counted_words = Counter(x.translate(LOWER_BYTES).split())
-                    n_known, total, others = 0, 0.0, []
-                    for w, k in counted_words.items():
-                        c = common.get(w)
-                        if c is None:
-                            others.append({"word": w.decode(), "n": k})
-                        else:
-                            n_known += k
-                            total += k * log10(c + 1)
-                    tokens.append(sum(counted_words.values()) + 1)
-                    known.append(n_known)
-                    logs.append(total)
-                    rare.append(others)
                 key = (b.column(0)[row].as_py() << 16) + np.arange(len(raw))
                 score = scores(raw, np.concatenate(got))
                 got = []
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids, pa.int64()), pa.array([not t for t in train], pa.bool_()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64()), pa.array(rare, rare_kind)], names)
+                # The words are counted after that, and handed on a run of texts at a time: what is held is one or the other.
+                for lo in range(0, len(raw), RUN_TEXTS):
+                    part = slice(lo, lo + RUN_TEXTS)
+                    tokens, known, logs, rare = zip(*map(word_logs, raw[part]), strict=True)
+                    columns = ((key[part], None), (ids[part], pa.int64()), ([not t for t in train[part]], pa.bool_()), (tokens, pa.int64()), (known, pa.int64()), (logs, pa.float64()), (score[part], pa.float64()), (sizes[part], pa.int64()), (rare, rare_kind))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], names)
 
     with setting(spark, BATCH, "8"):
         scored = stage(both.mapInArrow(run, schema(fields)), "scored")
