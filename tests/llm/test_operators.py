@@ -506,6 +506,7 @@ def test_language_model_in_pieces(monkeypatch):
     logs = -np.linspace(1, 2, len(u))
     want = lm_score.scores(texts, logs)
     monkeypatch.setattr(lm_score, "PIECE", 37)
+    monkeypatch.setattr(lm_score, "LOOKED_UP", 41)
     again = lm_score.counted(texts, train)
     assert (u == again[0]).all() and (n == again[1]).all() and np.allclose(lm_score.scores(texts, logs), want)
     assert n.sum() == sum(len(x) + 1 for x, t in zip(texts, train, strict=True) if t)
