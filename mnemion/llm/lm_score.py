@@ -300,11 +300,15 @@ def merge(parts: DataFrame, *by: str, wide: bool) -> DataFrame:
     return parts.select("place", "salt", "grams", "n").repartition(*by).sortWithinPartitions("place", "salt").mapInArrow(run, schema("place int, salt int, grams binary, n binary"))
 
 
-def build(parts: DataFrame) -> DataFrame:
-    """(place, grams, logs) of (place, salt, grams, n) rows: the log10 probability of each gram, by group."""
+def build(parts: DataFrame, salts: DataFrame) -> DataFrame:
+    """(place, grams, logs) of (place, salt, grams, n) rows: the log10 probability of each gram, by group.
+
+    salts: of each place the number of salts. A group of one salt is whole once merged; those of several are merged again.
+    """
     once = stage(merge(parts, "place", "salt", wide=False), "gram-counts")
-    counts = stage(merge(once.withColumn("salt", F.lit(0)), "place", wide=True), "gram-counts")
-    discard(once)
+    dealt = F.broadcast(salts.where("salts > 1").select("place"))  # at most GROUPS rows
+    again = stage(merge(once.join(dealt, "place", "left_semi").withColumn("salt", F.lit(0)), "place", wide=True), "gram-counts")
+    counts = once.join(dealt, "place", "left_anti").unionByName(again)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((256, 3, 256))
@@ -326,7 +330,7 @@ def build(parts: DataFrame) -> DataFrame:
             yield _rows([(place, planes(np.diff(u, prepend=0)), planes(logs_of(u, n, *shared.value).astype(np.float32)))], "place", "grams", "logs")
 
     model = stage(counts.mapInArrow(logs, schema("place int, grams binary, logs binary")), "gram-logs")
-    discard(counts)
+    discard(once, again)
     return model
 
 
@@ -416,7 +420,7 @@ def byte_logs(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFram
     salts = stage(parts.groupBy("place").agg(F.ceil(F.sum("held") / ASKED).cast("int").alias("salts")), "salts")  # at most GROUPS rows
     parts = parts.join(F.broadcast(salts), "place").withColumn("salt", F.pmod(F.xxhash64("slice"), "salts").cast("int")).drop("salts")
     with setting(spark, BATCH, "64"):
-        model = build(parts)
+        model = build(parts, salts)
         found = stage(answers(parts, model, salts), "answers")
     discard(model, salts)
     return slices, found
