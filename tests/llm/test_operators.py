@@ -443,7 +443,7 @@ def test_scores_of_the_language_model(spark):
         assert got[i].score < 0 and got[i].bits_per_byte < 8
 
 
-def test_context_trees_match_a_literal_mixture(spark):
+def test_context_trees_match_a_literal_mixture(spark, monkeypatch):
     """By recursion over the tree of contexts, from the definition; the fifth text and those after are held out."""
     texts = ["abab abba abcabcabc", "ab", "", "bab ab abcab", "abc\u00e9", "abba", "ab", "xyz", "abcabcab", ""]
     depth = lm_score.DEPTH
@@ -490,7 +490,8 @@ def test_context_trees_match_a_literal_mixture(spark):
         return w * own + (1 - w) * probability(node, c, d + 1)
 
     rows = list(enumerate(texts))
-    for partitions in (1, 3):
+    for partitions, asked in ((1, lm_score.ASKED), (3, lm_score.ASKED), (3, 4)):  # the last with some groups of several salts
+        monkeypatch.setattr(lm_score, "ASKED", asked)
         got = {r.doc_id: r for r in lm_score.lm_scores(docs(spark, rows).repartition(partitions), F.col("doc_id") < 5).collect()}
         for i, x in rows:
             want = sum(log10(p if bit else 1 - p) for p, bit in ((probability(node, c), bit) for node, c, bit in steps(x)))
