@@ -413,7 +413,7 @@ def frequent(words: DataFrame, most: int = TOP_WORDS) -> dict[bytes, int]:
 
 
 def byte_logs(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(slices, answers) of (__id, __text, __train) rows, both staged."""
+    """(texts, answers) by slice of (__id, __text, __train) rows, both staged."""
     with setting(spark, BATCH, "2000"):
         slices = stage(pack(rows), "slices")
     parts = slices.where("place >= 0").select("slice", "place", "grams", "n", "held")
@@ -423,7 +423,9 @@ def byte_logs(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFram
         model = build(parts, salts)
         found = stage(answers(parts, model, salts), "answers")
     discard(model, salts)
-    return slices, found
+    texts = stage(slices.where("place < 0").select("slice", "ids", "train", "sizes", "text"), "slice-texts")  # the grams have been answered
+    discard(slices)
+    return texts, found
 
 
 def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -440,12 +442,12 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
     ends, n, v = counts.agg(F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = counts.where("word != ''")
     spark = docs.sparkSession
-    slices, found = byte_logs(spark, rows)
+    texts, found = byte_logs(spark, rows)
     shared = spark.sparkContext.broadcast(frequent(words))  # at most TOP_WORDS words
     fields = "key long, __id long, held_out boolean, n_tokens long, known long, logs double, score double, size long, rare array<struct<word:string,n:int>>"
     names = schema(fields).names
     answered = found.select("slice", "place", "logs", *[F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("train", "array<boolean>"), ("sizes", "array<int>"), ("text", "binary"))])
-    asking = slices.where("place < 0").select("slice", F.lit(GROUPS).alias("place"), F.lit(None).cast("binary").alias("logs"), "ids", "train", "sizes", "text")
+    asking = texts.select("slice", F.lit(GROUPS).alias("place"), F.lit(None).cast("binary").alias("logs"), "ids", "train", "sizes", "text")
     both = answered.unionByName(asking).repartition("slice").sortWithinPartitions("slice", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,7 +489,7 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
 
     with setting(spark, BATCH, "8"):
         scored = stage(both.mapInArrow(run, schema(fields)), "scored")
-    discard(slices, found)
+    discard(texts, found)
     others = scored.select("key", F.explode("rare").alias("r")).select("key", "r.word", F.col("r.n").alias("times")).join(words, "word")
     others = others.groupBy("key").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1))).alias("more_logs"))
     whole_rows = scored.drop("rare").join(others, "key", "left").fillna(0, ["more"]).fillna(0.0, ["more_logs"])
