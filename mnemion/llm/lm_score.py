@@ -64,23 +64,27 @@ def grams(data: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def whole(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes with ends, where each byte's text begins)."""
+    """(bytes with ends, where each text begins)."""
     size = np.array([len(x) + 1 for x in texts], np.int64)
     starts = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size
-    return np.frombuffer(b"".join(x + b"\xff" for x in texts), np.uint8), np.repeat(starts, size)
+    return np.frombuffer(b"".join(x + b"\xff" for x in texts), np.uint8), starts
+
+
+def pieces(data: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, number of each gram's text) of so many positions at a time."""
+    for at in range(0, len(data), size):
+        lo = max(0, at - DEPTH)
+        text = np.searchsorted(starts, np.arange(lo, min(at + size, len(data))), "right") - 1
+        yield grams(data[lo : at + size], starts[text] - lo)[at - lo :], text[at - lo :]
 
 
 def counted(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct grams, their number in texts to learn from)."""
-    data, first = whole(texts)
-    learn = np.repeat(train, [len(x) + 1 for x in texts])
     parts = []
-    for at in range(0, len(data), PIECE):
-        lo = max(0, at - DEPTH)
-        g = grams(data[lo : at + PIECE], first[lo : at + PIECE] - lo)[at - lo :]
+    for g, text in pieces(*whole(texts), PIECE):
         u = np.sort(g)
         u = u[np.concatenate(([True], u[1:] != u[:-1]))]
-        mine, times = np.unique(g[learn[at : at + PIECE]], return_counts=True)
+        mine, times = np.unique(g[train[text]], return_counts=True)
         n = np.zeros(len(u), np.int64)
         n[np.searchsorted(u, mine)] = times
         parts.append((u, n))
@@ -357,19 +361,15 @@ def answers(parts: DataFrame, model: DataFrame, salts: DataFrame) -> DataFrame:
 
 def scores(texts: list[bytes], logs: np.ndarray) -> np.ndarray:
     """Log10 probabilities of texts; logs are those of their distinct grams, by group."""
-    data, first = whole(texts)
-    starts = np.unique(first)
     known = counted(texts, np.zeros(len(texts), bool))[0]
     of_gram = np.empty(len(known))
     of_gram[np.argsort(group_of(known), kind="stable")] = logs
     out = np.zeros(len(texts))
-    for at in range(0, len(data), LOOKED_UP):
-        lo = max(0, at - DEPTH)
-        g = grams(data[lo : at + LOOKED_UP], first[lo : at + LOOKED_UP] - lo)[at - lo :]
+    for g, text in pieces(*whole(texts), LOOKED_UP):
         order = np.argsort(g)
         values = np.empty(len(g))
         values[order] = of_gram[np.searchsorted(known, g[order])]
-        out += np.bincount(np.searchsorted(starts, first[at : at + LOOKED_UP]), weights=values, minlength=len(texts))
+        out += np.bincount(text, weights=values, minlength=len(texts))
     return out
 
 
