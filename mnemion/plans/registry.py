@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemion.plans import documents, graph, knowledge, mail, mining, operations, retrieval, temporal
+from mnemion.plans import alignment, documents, graph, knowledge, mail, mining, operations, retrieval, temporal
 
-MODULES = (temporal, graph, retrieval, documents, operations, knowledge, mining, mail)
+MODULES = (temporal, graph, retrieval, documents, operations, knowledge, mining, mail, alignment)
 
 
 def queries() -> dict:
