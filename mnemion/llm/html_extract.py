@@ -19,15 +19,17 @@ from pyspark.sql import functions as F
 from mnemion.llm.common import schema
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template svg math iframe object canvas form button select textarea nav footer aside dialog menu head title audio video".split())
-BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+DROPPED = frozenset("script style noscript template svg math iframe object canvas button select textarea nav footer aside dialog menu head title audio video".split())
+BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = frozenset("p pre td blockquote dd h1 h2 h3".split())
 #: A start tag of the key closes an open tag of the value, unless a tag of LIMITS is between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 LIMITS = frozenset("table ul ol dl div article section main body html blockquote td th select".split())
 CLOSE_P = BLOCKS - {"br", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
 #: Names of what is never part of the article, whatever other names say.
-NEVER = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsbygoogle|breadcrumbs?|combx|comments?|commentlist|respond|reply|replies|disqus|cookies?|consent|gdpr|menu|nav|navbar|navigation|newsletter|outbrain|pager|pagination|popup|modal|promo\w*|related|recommend\w*|share|sharing|shoutbox|sidebar|skip|social|sponsor\w*|subscribe|subscription|taboola|toolbar|login|signup)(?:$|[_-])", re.I)
+NEVER = re.compile(r"(?:^|[_-])(?:ads?|ad\d+|adbox|adslot|adunit|advert\w*|adsbygoogle|breadcrumbs?|combx|comments?|commentlist|respond|reply|replies|disqus|cookies?|consent|gdpr|menu|nav|navbar|navigation|newsletter|outbrain|pager|pagination|popup|modal|promo\w*|related|recommend\w*|share|sharing|shoutbox|sidebar|skip|social|sponsor\w*|subscribe|subscription|taboola|toolbar|login|signup)(?:$|[_-])", re.I)
+#: Such a name alone is enough as well, but for what holds an article or heads it.
+NOTICES = re.compile(r"^(?:notice|alert|banner)s?$", re.I)
 COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|reply|replies)(?:$|[_-])", re.I)
 #: Such names only say what the layout has.
 LAYOUT = re.compile(r"^(?:has|with|without|no|is|not)[_-]", re.I)
@@ -37,6 +39,7 @@ LIKELY = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog".split())
 KEEP = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WHOLE = frozenset("html body main article".split())
 PLAIN = frozenset("p pre blockquote figure table dl ul ol".split())
 
 
@@ -50,10 +53,14 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """Builds the tree; parts that are never content are passed over. Counts of open tags keep the work linear in deep nesting."""
+    """Builds the tree; parts that are never content are passed over. Counts of open tags keep the work linear in deep nesting.
 
-    def __init__(self) -> None:
+    named: whether names and roles say what is no content.
+    """
+
+    def __init__(self, named: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.named = named
         self.root = self.at = Node("html", {}, None)
         self.open: Counter = Counter()
         self.skip: list[str] = []  # open tags inside a dropped part
@@ -146,7 +153,11 @@ class Tree(HTMLParser):
             return False
         if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
             return True
+        if not self.named:
+            return False
         names = f"{a.get('class', '')} {a.get('id', '')}".split()
+        if tag not in WHOLE | HEADINGS and any(NOTICES.search(x) for x in names):
+            return True
         if tag not in ("html", "body", "main"):
             pattern = COMMENTS if tag == "article" else NEVER
             if any(pattern.search(x) and not LAYOUT.search(x) for x in names):
@@ -169,6 +180,7 @@ def measure(root: Node) -> list[Node]:
         todo += [c for c in node.children if not isinstance(c, str)]
     order.reverse()
     for node in order:
+        node.chars = node.commas = node.linked = 0
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(c.strip())
@@ -182,6 +194,19 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def drop_forms(root: Node, order: list[Node]) -> bool:
+    """Takes out forms, but one around most of the page with paragraphs in it; returns whether any was."""
+    out, holds = set(), set()
+    for node in order:  # children before parents
+        if node.tag == "form" and not (node in holds and 2 * node.chars > root.chars):
+            out.add(node)
+        elif node.parent is not None and (node in holds or node.tag in ("p", "article", "main")):
+            holds.add(node.parent)
+    for parent in {node.parent for node in out}:
+        parent.children = [c for c in parent.children if c not in out]
+    return bool(out)
+
+
 def density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
@@ -193,6 +218,8 @@ def is_paragraph(node: Node) -> bool:
 def choose(root: Node) -> list[Node]:
     """The containers of the main text."""
     order = measure(root)
+    if any(node.tag == "form" for node in order) and drop_forms(root, order):
+        order = measure(root)
     candidates = []
     for node in order:
         if node.chars < 2 or not is_paragraph(node):
@@ -212,6 +239,11 @@ def choose(root: Node) -> list[Node]:
         bonus = {"article": 1.5, "main": 1.2}.get(node.tag, 1.0) * (1.25 if LIKELY.search(names) else 1.0)
         node.score *= (1 - density(node)) * bonus
     best = max(candidates, key=lambda n: n.score)
+    up = best
+    while up is not None and best.tag not in ("article", "main"):
+        if up.tag in ("article", "main") and 2 * (up.chars - up.linked) > root.chars - root.linked:
+            best = up  # which holds most of the page, so it is the article as a whole
+        up = up.parent
     if best.parent is None:
         return [best]
     return [c for c in best.parent.children if not isinstance(c, str) and (c is best or _belongs(c, best))]
@@ -250,10 +282,13 @@ def text_of(nodes: list[Node]) -> str:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    tree = Tree()
-    tree.feed(html)
-    tree.close()
-    return text_of(choose(tree.root))
+    for named in (True, False):  # a page whose names leave nothing is read without them
+        tree = Tree(named)
+        tree.feed(html)
+        tree.close()
+        if text := text_of(choose(tree.root)):
+            return text
+    return ""
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -581,3 +581,27 @@ def test_deep_pages_are_linear():
         began = time.perf_counter()
         html_extract.main_text(text)
         assert time.perf_counter() - began < 20
+
+
+PARAGRAPH = "<p>This is a paragraph, of the article, with a number of words and some commas, so that it scores.</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<main><section><h2>S1</h2>PPP</section><section><h2>S2</h2><p>Short one.</p></section></main>", "S1 P P P S2 Short one."),
+        ("<article><div>PPP</div><div><p>Yes, indeed.</p></div></article>", "P P P Yes, indeed."),
+        ("<body><form id=aspnetForm><div>PPP</div><input name=q><button>Go</button></form></body>", "P P P"),
+        ("<div>PP<form><p>Name <label>of the reader</label></form></div>", "P P"),
+        ('<div class="main-menu-open">PP</div>', "P P"),
+        ('<div class="social-science">P</div>', "P"),
+        ("<article>PP<p class=notice>Not this.</p></article>", "P P"),
+        ('<div>PP<div class="notice content"><p>Not this, nor that.</p></div><div class="banner main">No</div></div>', "P P"),
+        ("<div>PP<div class=adbox><p>Buy now.</p></div><div class=ad1>Buy</div></div>", "P P"),
+        ("<div>PP</div><form><p>Search</p></form>", "P P"),
+        ("<form><form></form>", ""),
+    ],
+)
+def test_whole_articles_and_nothing_else(html, want):
+    text = PARAGRAPH[3:-4]
+    assert html_extract.main_text(re.sub(r"P+(?=<)", lambda m: PARAGRAPH * len(m[0]), html)) == " ".join(text if w == "P" else w for w in want.split())
