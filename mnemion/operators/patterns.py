@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from mnemion.sources.staging import discard, stage
 
+LISTED = 1024  # ends of a node in one row
 
 def _frequent(table: DataFrame, least: int) -> DataFrame:
     """The rows of table (signature, id, n, ...) whose signature at least so many roots have."""
@@ -57,26 +58,60 @@ def frequent_patterns(edges: DataFrame, nodes: DataFrame, size: int = 3, least:
 def path_pairs(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule, head, tail): the distinct ends of ways along the relations of each rule (rule, path: array of relations, conclusion).
 
-    A step keeps distinct pairs only, so what it joins is bounded by the pairs and not by the ways. Rules are a small table.
+    A rule is followed from the side that has fewer ends, its near side. A row of a step is a node with a list of the near
+    ends that it is joined to, so a step shuffles one list an edge and not one row a pair; distinct ends are taken where the
+    list arrives. Where a side has many ends lists are cut by a hash of the end, at about LISTED of them. Rules are a small table.
     """
-    e = edges.select("src", "dst", "rel").distinct()
-    longest = rules.agg(F.max(F.size("path"))).first()[0] or 0
-    steps = F.broadcast(rules.select("rule", "path"))
-    at = e.join(steps, F.col("rel") == F.get("path", F.lit(0))).select("rule", "path", F.col("src").alias("head"), F.col("dst").alias("tail"))
-    done = []
+    todo = {r.rule: list(r.path) for r in rules.select("rule", "path").collect() if r.path}
+    kinds = edges.schema
+    if not todo:
+        return rules.select("rule", F.lit(None).cast(kinds["src"].dataType).alias("head"), F.lit(None).cast(kinds["dst"].dataType).alias("tail")).limit(0)
+    outer = sorted({path[k] for path in todo.values() for k in (0, -1)})
+    ends = edges.where(F.col("rel").isin(outer)).groupBy("rel").agg(F.approx_count_distinct("src").alias("heads"), F.approx_count_distinct("dst").alias("tails")).collect()  # a row a relation
+    heads, tails = {r.rel: r.heads for r in ends}, {r.rel: r.tails for r in ends}
+    back = {rule: tails.get(path[-1], 0) <= heads.get(path[0], 0) for rule, path in todo.items()}
+    cuts = {rule: 1 + (tails.get(path[-1], 0) if back[rule] else heads.get(path[0], 0)) // LISTED for rule, path in todo.items()}
+    ways = {rule: path[::-1] if back[rule] else path for rule, path in todo.items()}
+
+    def step(k: int) -> DataFrame:
+        """(rule, near, far): of each rule the edges of its k-th relation from the near side."""
+        mine = rules.sparkSession.createDataFrame([(rule, way[k], back[rule], cuts[rule]) for rule, way in ways.items() if k < len(way)], f"rule {rules.schema['rule'].dataType.simpleString()}, rel string, back boolean, cuts int")
+        met = edges.where(F.col("rel").isin(sorted({way[k] for way in ways.values() if k < len(way)}))).join(F.broadcast(mine), "rel")
+        return met.select("rule", "cuts", F.when(F.col("back"), F.col("dst")).otherwise(F.col("src")).alias("near"), F.when(F.col("back"), F.col("src")).otherwise(F.col("dst")).alias("far"))
+
+    first = step(0)
+    names = stage(first.select("near").distinct().withColumn("number", F.monotonically_increasing_id()), "ends")
+    numbered = first.join(names.withColumnRenamed("near", "name"), F.col("near").eqNullSafe(F.col("name")))
+    met = numbered.select("rule", F.col("far").alias("node"), F.pmod(F.xxhash64("number"), "cuts").alias("cut"), F.array("number").alias("list"))
+    longest, found, held = max(map(len, ways.values())), [], [names]
     for k in range(1, longest + 1):
-        done.append(at.where(F.size("path") == k).select("rule", "head", "tail"))
-        if k < longest:
-            onward = at.where(F.size("path") > k).withColumn("rel", F.get("path", F.lit(k)))
-            at = onward.join(e.select(F.col("src").alias("tail"), "rel", F.col("dst").alias("next")), ["tail", "rel"]).select("rule", "path", "head", F.col("next").alias("tail")).distinct()
-    return reduce(DataFrame.unionByName, done).distinct() if done else rules.select("rule", F.lit("").alias("head"), F.lit("").alias("tail")).limit(0)
+        # The rows of a node and cut are in one task from here on: neither step shuffles again.
+        pairs = met.repartition("rule", "node", "cut").select("rule", "node", "cut", F.explode("list").alias("number")).distinct()
+        if k == longest:
+            found.append(pairs.select("rule", "node", "number"))
+            break
+        at = stage(pairs.groupBy("rule", "node", "cut").agg(F.collect_list("number").alias("list")), "ways")
+        held.append(at)
+        if ended := [rule for rule, way in ways.items() if len(way) == k]:
+            found.append(at.where(F.col("rule").isin(ended)).select("rule", "node", F.explode("list").alias("number")))
+        met = step(k).select("rule", F.col("near").alias("node"), "far").join(at, ["rule", "node"]).select("rule", F.col("far").alias("node"), "cut", "list")
+    every = reduce(DataFrame.unionByName, found).join(names, "number")
+    turned = F.col("rule").isin([rule for rule in ways if back[rule]])
+    out = stage(every.select("rule", F.when(turned, F.col("node")).otherwise(F.col("near")).alias("head"), F.when(turned, F.col("near")).otherwise(F.col("node")).alias("tail")), "path-pairs")
+    discard(*held)
+    return out
+
+
+def _concluded(edges: DataFrame, rules: DataFrame) -> DataFrame:
+    """(head, conclusion, tail) of the edges that some rule concludes."""
+    some = [r[0] for r in rules.select("conclusion").distinct().collect()]  # a small table
+    return edges.where(F.col("rel").isin(some)).select(F.col("src").alias("head"), F.col("rel").alias("conclusion"), F.col("dst").alias("tail"))
 
 
 def missing_edges(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule, head, conclusion, tail): pairs that a rule's path joins but its conclusion doesn't."""
     pairs = path_pairs(edges, rules).join(F.broadcast(rules.select("rule", "conclusion")), "rule")
-    known = edges.select(F.col("src").alias("head"), F.col("rel").alias("conclusion"), F.col("dst").alias("tail")).distinct()
-    return pairs.join(known, ["head", "conclusion", "tail"], "left_anti").select("rule", "head", "conclusion", "tail")
+    return pairs.join(_concluded(edges, rules), ["head", "conclusion", "tail"], "left_anti").select("rule", "head", "conclusion", "tail")
 
 
 def rule_metrics(edges: DataFrame, rules: DataFrame) -> DataFrame:
@@ -85,7 +120,7 @@ def rule_metrics(edges: DataFrame, rules: DataFrame) -> DataFrame:
     Support is the number of pairs that the path joins; a false negative is a pair that has the conclusion without the path.
     """
     pairs = path_pairs(edges, rules).withColumn("predicted", F.lit(1))
-    known = edges.select(F.col("src").alias("head"), F.col("rel").alias("conclusion"), F.col("dst").alias("tail")).distinct().join(F.broadcast(rules.select("rule", "conclusion")), "conclusion")
+    known = _concluded(edges, rules).distinct().join(F.broadcast(rules.select("rule", "conclusion")), "conclusion")
     both = pairs.join(known.select("rule", "head", "tail", F.lit(1).alias("true")), ["rule", "head", "tail"], "full_outer")
     p, t = F.col("predicted").isNotNull(), F.col("true").isNotNull()
     sums = both.groupBy("rule").agg(F.count_if(p).alias("support"), F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"))
