@@ -15,6 +15,7 @@ from mnemion.operators.components import connected_components
 from mnemion.sources.staging import discard, stage
 
 HUB = 10_000  # neighbours of a node beyond which pairs of them are made in several tasks
+MET = 10_000_000  # pairs of one node counted in a task
 
 
 def one_hop(edges: DataFrame, nodes: DataFrame, direction: str = "out", rel: str | None = None) -> DataFrame:
@@ -117,19 +118,33 @@ def shared_neighbours(edges: DataFrame) -> DataFrame:
     e = edges.select("src", "dst").distinct()
     degree = e.groupBy("src").agg(F.count("*").alias("d"))
     weight = e.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst", "n", (1.0 / F.ln("n")).alias("w"))
-    # A node's neighbours in blocks, every two of which meet in a task of their own, so that a hub is many tasks.
-    rows = e.join(weight.withColumn("blocks", F.ceil(F.sqrt(F.col("n") / HUB)).cast("int")), "dst").withColumn("block", F.pmod(F.xxhash64("src"), "blocks").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = rows.select(F.col("src").alias("a"), "dst", "block", every.alias("other"))
-    y = rows.select(F.col("src").alias("b"), "dst", F.col("block").alias("other"), every.alias("block"), "w")
-    both = x.join(y, ["dst", "block", "other"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("w").alias("adamic"))
+    # A node's neighbours are lists of about HUB, and each neighbour gets the lists: a row an edge and not a row a pair.
+    rows = e.join(weight.withColumn("blocks", F.ceil(F.col("n") / HUB).cast("int")), "dst")
+    lists = rows.groupBy("dst", F.pmod(F.xxhash64("src"), "blocks").cast("int").alias("block")).agg(F.array_sort(F.collect_list("src")).alias("others"))
+    x = rows.select(F.col("src").alias("a"), "dst", "w", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = x.join(lists, ["dst", "block"]).select("a", "w", F.filter("others", lambda b: b > F.col("a")).alias("others")).where("size(others) > 0")
+    # A node that meets more than MET others (so they are few) is dealt over tasks by a hash of the other.
+    many = rows.groupBy(F.col("src").alias("a")).agg(F.ceil(F.sum("n") / MET).cast("int").alias("parts")).where("parts > 1")
+    met = met.join(F.broadcast(many), "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    mine = F.when(F.col("parts") == 1, F.col("others")).otherwise(F.filter("others", lambda b: F.pmod(F.xxhash64(b), F.col("parts")) == F.col("part")))
+    # Pairs are counted where the lists arrive, without another shuffle.
+    pairs = met.select("a", "part", "w", mine.alias("others")).repartition("a", "part").select("a", "part", "w", F.explode("others").alias("b"))
+    both = pairs.groupBy("a", "part", "b").agg(F.count("*").alias("shared"), F.sum("w").alias("adamic"))
     both = both.join(degree.select(F.col("src").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("src").alias("b"), F.col("d").alias("db")), "b")
     return both.select("a", "b", "shared", (F.col("shared") / (F.col("da") + F.col("db") - F.col("shared"))).alias("jaccard"), "adamic")
 
 
-def predict_links(scores: DataFrame, linked: DataFrame, weights: tuple[float, float, float] = (1 / 3, 1 / 3, 1 / 3)) -> DataFrame:
-    """(a, b, score) of pairs not linked yet: the mean of common neighbours (of 10), Jaccard and Adamic-Adar (of the largest)."""
-    new = scores.join(linked, ["a", "b"], "left_anti")
+def predict_links(scores: DataFrame, linked: DataFrame | None = None, weights: tuple[float, float, float] = (1 / 3, 1 / 3, 1 / 3), groups: DataFrame | None = None) -> DataFrame:
+    """(a, b, score) of pairs not linked yet: the mean of common neighbours (of 10), Jaccard and Adamic-Adar (of the largest).
+
+    linked has pairs (a, b); groups (id, group) links all members of a group without a row for each of their pairs.
+    """
+    new = scores if linked is None else scores.join(linked, ["a", "b"], "left_anti")
+    if groups is not None:
+        of = groups.groupBy("id").agg(F.collect_set("group").alias("g"))
+        new = new.join(of.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b", "left")
+        new = new.where(~F.coalesce(F.arrays_overlap("ga", "gb"), F.lit(False)))
+    new = stage(new.select("a", "b", "shared", "jaccard", "adamic"), "new-links")
     top = new.agg(F.max("adamic").alias("top")).first().top or 1.0
     parts = (F.least(F.lit(1.0), F.col("shared") / 10), F.col("jaccard"), F.col("adamic") / max(top, 1.0))
     return new.select("a", "b", (sum(w * p for w, p in zip(weights, parts, strict=True)) / sum(weights)).alias("score"))

@@ -109,9 +109,8 @@ j AS (SELECT a, b, shared, shared / (p.d + q.d - shared) AS jaccard, adamic FROM
 
 
 def predicted_links(spark: SparkSession, d: str) -> DataFrame:
-    linked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("x"), F.col("s_nationkey").alias("n"))
-    same = linked.join(linked.withColumnRenamed("x", "y"), "n").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return op.predict_links(op.shared_neighbours(_supplied(spark, d)), same).select("a", "b", F.round("score", 6).alias("score"))
+    nations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("group"))
+    return op.predict_links(op.shared_neighbours(_supplied(spark, d)), groups=nations).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def pattern_support(spark: SparkSession, d: str) -> DataFrame:
