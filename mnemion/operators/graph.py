@@ -16,6 +16,7 @@ from mnemion.sources.staging import discard, stage
 
 HUB = 10_000  # neighbours of a node beyond which pairs of them are made in several tasks
 MET = 10_000_000  # pairs of one node counted in a task
+NEAR = 4096  # neighbours in a row
 
 
 def one_hop(edges: DataFrame, nodes: DataFrame, direction: str = "out", rel: str | None = None) -> DataFrame:
@@ -204,16 +205,20 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     Deterministic; a round is two joins and an aggregation with partial counts, written down between rounds.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct()
-    both = stage(both, "neighbours")
-    at = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
+    # A node's neighbours in lists of about NEAR: a round moves a row a list, and not one an edge, to the node's label.
+    cut = F.pmod(F.xxhash64("src"), F.ceil(F.col("n") / NEAR).cast("int"))
+    cuts = both.groupBy("dst").agg(F.count("*").alias("n"))
+    near = both.join(cuts, "dst").groupBy("dst", cut.alias("cut")).agg(F.collect_list("src").alias("near"))
+    near = stage(near.select(F.col("dst").alias("id"), "near"), "neighbours")
+    at = near.select("id").distinct().withColumn("community", F.col("id"))
     for turn in range(rounds):
-        seen = both.join(at.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.count("*").alias("n"))
+        seen = near.join(at, "id").select(F.explode("near").alias("src"), "community").groupBy("src", "community").agg(F.count("*").alias("n"))
         best = seen.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("less"), F.col("community").alias("c"))).alias("b"))
         now = best.select(F.col("src").alias("id"), F.col("b.c").alias("community"))
         last, at = at, stage(now, "labels")
         if turn:
             discard(last)
-    discard(both)
+    discard(near)
     return at
 
 
