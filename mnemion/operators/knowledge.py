@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -185,5 +186,11 @@ def subsequences(short: DataFrame, long: DataFrame, pattern: str = "pattern") ->
 
 
 def approximate(rows: DataFrame, by: Sequence[str], key: str, value: str) -> DataFrame:
-    """(by, distinct, median, exact_distinct): sketched counts and medians beside the exact number, from one pass of small states."""
-    return rows.groupBy(*by).agg(F.approx_count_distinct(key, 0.02).alias("distinct"), F.percentile_approx(value, 0.5, 10_000).alias("median"), F.count_distinct(key).alias("exact_distinct"))
+    """(by, distinct, median, exact_distinct): sketched counts and medians beside the exact number, each from a pass of its own.
+
+    Beside an exact distinct count in one aggregation, sketches would be kept for each key.
+    """
+    sketches = rows.groupBy(*by).agg(F.approx_count_distinct(key, 0.02).alias("distinct"), F.percentile_approx(value, 0.5, 10_000).alias("median"))
+    exact = rows.select(*by, key).distinct().groupBy(*by).agg(F.count(key).alias("exact_distinct"))
+    same = reduce(lambda a, b: a & b, (F.col(f"s.{c}").eqNullSafe(F.col(f"x.{c}")) for c in by))
+    return sketches.alias("s").join(exact.alias("x"), same).select(*[F.col(f"s.{c}") for c in by], "distinct", "median", "exact_distinct")
