@@ -18,6 +18,7 @@ if TYPE_CHECKING:
 
 VECTORS, QUERIES = 4096, 256  # in a block
 CELLS = 1024  # twice as many at most
+AT_ONCE = 1 << 23  # numbers in a table of distances, and rows of visits times their length
 SLACK = 1e-6  # of distances, for rounded scores
 
 
@@ -109,9 +110,11 @@ def _by_cells(rows: DataFrame, asked: DataFrame, n: int, k: int, metric: str) ->
             if not len(b):
                 continue
             x = _placed(np.stack(b["v"].to_numpy()), metric)
-            d = _distances(x, centres)
-            d[~np.isfinite(d)] = np.inf
-            cell = d.argmin(1)
+            cell = np.zeros(len(x), np.int64)
+            for lo in range(0, len(x), step := max(1, AT_ONCE // len(centres))):
+                d = _distances(x[lo : lo + step], centres)
+                d[~np.isfinite(d)] = np.inf
+                cell[lo : lo + step] = d.argmin(1)
             # The sum of squares loses the last places of small distances, so the radius is measured again.
             yield pd.DataFrame({"id": b["id"], "v": b["v"], "cell": cell.astype(np.int32), "r": np.linalg.norm(x - centres[cell], axis=1)})
 
@@ -123,15 +126,21 @@ def _by_cells(rows: DataFrame, asked: DataFrame, n: int, k: int, metric: str) ->
 
     def home(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distances to the cells' centres, and the nearest cell that has k other rows (-1 if none)."""
-        x = _placed(q, metric)
-        d = np.linalg.norm(x[:, None, :] - centres[numbers][None, :, :], axis=2)
+        x, near = _placed(q, metric), centres[numbers]
+        d = np.stack([np.linalg.norm(y - near, axis=1) for y in x])
         full = np.where(counts > k, d, np.inf)
         return d, np.where(np.isfinite(full).any(1), full.argmin(1), -1)
 
+    def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Batches of so few queries that a row for each of their cells stays small."""
+        for b in batches:
+            for lo in range(0, len(b), step := max(1, AT_ONCE // (len(numbers) * len(b["qv"].iloc[0])))) if len(b) else ():
+                yield b.iloc[lo : lo + step]
+
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
-        for b in batches:
+        for b in few(batches):
             if len(b):
                 at = home(np.stack(b["qv"].to_numpy()))[1]
                 yield pd.DataFrame({"query_id": b["query_id"], "qv": b["qv"], "cell": np.where(at >= 0, numbers[at], -1).astype(np.int32)})
@@ -139,9 +148,7 @@ def _by_cells(rows: DataFrame, asked: DataFrame, n: int, k: int, metric: str) ->
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
-        for b in batches:
-            if not len(b):
-                continue
+        for b in few(batches):
             d, at = home(np.stack(b["qv"].to_numpy()))
             worst = b["worst"].to_numpy(float)  # the k-th score at home; none if there are fewer
             reach = np.sqrt(np.maximum(2 - 2 * worst, 0)) if metric == "cosine" else 1 / worst - 1
