@@ -19,6 +19,9 @@ STRONG = ("caused", "led to", "resulted in", "triggered")
 KINDS = (("CAUSES", ("caused", "cause")), ("TRIGGERS", ("triggered", "trigger")), ("ENABLES", ("enabled", "enable", "allowed", "allow")), ("PREVENTS", ("prevented", "prevent", "blocked", "block")), ("CONTRIBUTES_TO", ("contributed", "contribute")), ("LEADS_TO", ("led to", "resulted in")))
 
 
+DEALT = 50_000  # texts of a task
+
+
 def holds(text: Column, phrases: tuple[str, ...]) -> Column:
     """Does the lower-cased text hold one of the phrases, as a run of characters?"""
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in phrases))
@@ -28,17 +31,19 @@ def phrase_mentions(texts: DataFrame, names: DataFrame, id_col: str = "id") -> D
     """(id, name, at, length): where texts (id, text) have a name (name) as whole words, in any case; at counts words from 1.
 
     Names are known by their words: a text's runs of as many words as any name has are joined with them by equality, so no
-    text meets a name that it doesn't have. There are as many lengths as names have, a few.
+    text meets a name that it doesn't have. There are as many lengths as names have, a few. Texts are dealt out by id first:
+    runs are many times the texts, which may lie in one file.
     """
     keys = names.where("name is not null").select("name", words(F.col("name")).alias("w")).where("size(w) > 0").distinct()
     keys = keys.select("name", F.size("w").alias("length"), F.array_join("w", " ").alias("phrase"))
     lengths = sorted(r[0] for r in keys.select("length").distinct().collect())
-    rows = texts.select(id_col, words(F.col("text")).alias("w"))
-    runs = [rows.where(F.size("w") >= n).select(id_col, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("at", "phrase")).withColumn("length", F.lit(n)) for n in lengths]  # noqa: B023
-    if not runs:
+    n = 1 + texts.count() // DEALT
+    rows = texts.select(id_col, "text").repartition(n, id_col).select(id_col, words(F.col("text")).alias("w"))
+    if not lengths:
         return rows.select(id_col, F.lit("").alias("name"), F.lit(1).alias("at"), F.lit(1).alias("length")).limit(0)
-    every = reduce(DataFrame.unionByName, runs)
-    return every.join(keys, ["phrase", "length"]).select(id_col, "name", (F.col("at") + 1).alias("at"), "length")
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i, n), " ").alias("phrase"), F.lit(n).alias("length"))))
+    every = rows.select(id_col, F.explode(F.flatten(F.array_compact(F.array(*[runs(n) for n in lengths])))).alias("run")).select(id_col, "run.*")
+    return every.join(keys, ["phrase", "length"]).select(id_col, "name", "at", "length")
 
 
 def sentences(texts: DataFrame, id_col: str = "id", ends: str = r"\.") -> DataFrame:

@@ -170,7 +170,7 @@ def part_names(spark: SparkSession, d: str) -> DataFrame:
     """How often the parts' names of two words or more occur in other parts' names and kinds."""
     p = table(spark, d, "part")
     texts = p.select(F.col("p_partkey").alias("id"), F.concat_ws(". ", "p_type", "p_name", "p_brand", "p_name").alias("text"))
-    return rel.phrase_mentions(texts, p.select(F.col("p_name").alias("name")).distinct()).groupBy("name").agg(F.count_distinct("id").alias("parts"), F.count("*").alias("n"))
+    return rel.phrase_mentions(texts, p.select(F.col("p_name").alias("name")).distinct()).groupBy("id", "name").agg(F.count("*").alias("n")).groupBy("name").agg(F.count("*").alias("parts"), F.sum("n").alias("n"))
 
 
 def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

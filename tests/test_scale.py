@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 from itertools import combinations
 from math import log
 
 import numpy as np
 
-from mnemion.operators import communities, graph, knowledge, patterns, retrieval
+from mnemion.operators import communities, graph, knowledge, patterns, relations, retrieval
 
 
 def test_rules_in_short_lists(spark, monkeypatch):
@@ -79,3 +80,11 @@ def test_sketches_beside_exact_counts(spark):
     df = knowledge.approximate(rows, ["type"], "k", "v")
     assert {tuple(r) for r in df.collect()} == {("a", 2, 3.0, 2), (None, 1, 2.0, 1), ("b", 0, None, 0)}
     assert "approx_count_distinct" not in next(line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "count(" in line)
+
+
+def test_texts_of_one_file_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(relations, "DEALT", 5, raising=False)
+    texts = spark.createDataFrame([(i, f"red box. blue {i} red box. tin") for i in range(60)], "id long, text string").coalesce(1)
+    found = relations.phrase_mentions(texts, spark.createDataFrame([("red box",), ("tin",)], "name string"))
+    assert re.search(r"hashpartitioning\(id#\d+L?, 13\), REPARTITION_BY_NUM", found._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r.id, r.name, r.at) for r in found.collect()) == sorted((i, n, k) for i in range(60) for n, k in (("red box", 1), ("red box", 5), ("tin", 7)))
