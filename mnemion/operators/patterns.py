@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from mnemion.sources.staging import discard, stage
 
 LISTED = 1024  # ends of a node in one row
+DEALT = 500_000  # edges of a task
+
 
 def _frequent(table: DataFrame, least: int) -> DataFrame:
     """The rows of table (signature, id, n, ...) whose signature at least so many roots have."""
@@ -25,6 +27,14 @@ def _frequent(table: DataFrame, least: int) -> DataFrame:
     return table.join(F.broadcast(often), "signature", "left_semi")
 
 
+def _sources(edges: DataFrame) -> DataFrame:
+    """(dst, rel, sources): the distinct sources of each node by relation, of a node with many edges in lists of about LISTED."""
+    rows = edges.select("src", "dst", "rel").dropna()
+    hubs = rows.groupBy("dst").agg(F.ceil(F.count("*") / LISTED).cast("int").alias("cuts")).where("cuts > 1")  # a row for LISTED edges at most
+    dealt = rows.join(F.broadcast(hubs), "dst", "left").withColumn("cut", F.pmod(F.xxhash64("src"), F.coalesce("cuts", F.lit(1))))
+    return dealt.repartition("dst", "cut").groupBy("dst", "rel", "cut").agg(F.collect_set("src").alias("sources")).drop("cut")
+
+
 def frequent_patterns(edges: DataFrame, nodes: DataFrame, size: int = 3, least: int = 2) -> DataFrame:
     """(signature, edges, support, matches) of the patterns of 1 to size edges that have the least support.
 
@@ -32,8 +42,12 @@ def frequent_patterns(edges: DataFrame, nodes: DataFrame, size: int = 3, least:
     than what is left of it at the same root, so the last and largest level grows from frequent ones only. Below that, rare
     ones are kept for what they stand behind: many roots may lead to few. Signatures are as many as the labels and relations
     combine to, not as the rows.
+
+    Edges are lists of the sources of a node and relation, so a level moves a list an edge; what arrives at the sources is
+    dealt over as many tasks as bound the sums of one, as few edges of a task have source, relation and tree in common.
     """
-    links = stage(edges.select("src", "dst", "rel").distinct(), "links")
+    links = stage(_sources(edges), "links")
+    tasks = 1 + (links.agg(F.sum(F.size("sources"))).first()[0] or 0) // DEALT
     whole = F.concat(F.col("label"), F.when(F.col("inner") != "", F.concat(F.lit("["), F.col("inner"), F.lit("]"))).otherwise(""))
     # Trees by number of edges: signature; label, inner (what is in brackets) and last (its last relation); root; matches.
     trees = {0: nodes.where("id is not null").select("id", "label").distinct().select("id", "label", F.lit("").alias("inner"), F.lit("").alias("last"), F.lit(1).cast("decimal(38,0)").alias("n")).withColumn("signature", F.col("label"))}
@@ -41,17 +55,20 @@ def frequent_patterns(edges: DataFrame, nodes: DataFrame, size: int = 3, least:
     for k in range(1, size + 1):
         # A relation that leads to a tree of k - 1 edges, summed over a root's neighbours.
         below = trees[k - 1].select(F.col("id").alias("dst"), F.col("signature").alias("below"), "n")
-        planted[k] = stage(links.join(below, "dst").groupBy(F.col("src").alias("id"), "rel", "below").agg(F.sum("n").alias("m")), "planted")
+        arrived = links.join(below, "dst").select(F.explode("sources").alias("id"), "rel", "below", "n").repartition(tasks, "id")
+        planted[k] = stage(arrived.groupBy("id", "rel", "below").agg(F.sum("n").alias("m")), "planted")
         grown = []
         for j in range(1, k + 1):
             met = (often if k == size else trees)[k - j].join(planted[j], "id").where("rel > last")
             inner = F.concat("inner", F.when(F.col("inner") != "", ",").otherwise(""), "rel", F.lit(">"), "below")
             grown.append(met.select("id", "label", inner.alias("inner"), F.col("rel").alias("last"), (F.col("n") * F.col("m")).cast("decimal(38,0)").alias("n")))
-        trees[k] = stage(reduce(DataFrame.unionByName, grown).withColumn("signature", whole), "trees")
-        often[k] = _frequent(trees[k], least)
-    counts = [often[k].groupBy("signature").agg(F.count("*").alias("support"), F.sum("n").alias("matches")).withColumn("edges", F.lit(k)) for k in range(1, size + 1)]
+        trees[k] = reduce(DataFrame.unionByName, grown).withColumn("signature", whole)
+        if k < size:
+            trees[k] = stage(trees[k], "trees")
+            often[k] = _frequent(trees[k], least)
+    counts = [trees[k].groupBy("signature").agg(F.count("*").alias("support"), F.sum("n").alias("matches")).where(F.col("support") >= least).withColumn("edges", F.lit(k)) for k in range(1, size + 1)]
     out = stage(reduce(DataFrame.unionByName, counts).select("signature", "edges", "support", F.col("matches").cast("long").alias("matches")), "frequent")
-    discard(links, *planted.values(), *[trees[k] for k in range(1, size + 1)])
+    discard(links, *planted.values(), *[trees[k] for k in range(1, size)])
     return out
 
 

@@ -97,3 +97,16 @@ def test_edges_are_counted_where_a_node_is(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "repartition_by_num" in plan.lower() and not re.search(r"hashpartitioning\(id#\d+L?, community#", plan)
     assert {(r.id, r.community, round(r.share, 6)) for r in found.collect()} == {(i, None, 0.2) for i in range(7)}
+
+
+def test_patterns_from_lists_of_sources(spark, monkeypatch):
+    """The edges of a hub are several lists, and a level moves lists, not edges."""
+    monkeypatch.setattr(patterns, "LISTED", 4)
+    monkeypatch.setattr(patterns, "DEALT", 10, raising=False)
+    edges = [(f"c{i}", "n", "IN") for i in range(30)] + [(f"c{i}", f"o{i}{j}", "PLACED") for i in range(30) for j in range(2)] + [("n", "r", "PART")] + [("c1", "n", "IN"), (None, "n", "IN"), ("c1", None, "IN")]
+    nodes = [(x, {"c": "C", "o": "O", "n": "N", "r": "R"}[x[0]]) for x in {e for edge in edges for e in edge[:2] if e}]
+    graph_edges = spark.createDataFrame(edges, "src string, dst string, rel string")
+    found = patterns.frequent_patterns(graph_edges, spark.createDataFrame(nodes, "id string, label string"), 3, 2)
+    assert sorted(tuple(r) for r in found.collect()) == [("C[IN>N,PLACED>O]", 2, 30, 60), ("C[IN>N[PART>R],PLACED>O]", 3, 30, 60), ("C[IN>N[PART>R]]", 2, 30, 30), ("C[IN>N]", 1, 30, 30), ("C[PLACED>O]", 1, 30, 60)]
+    lists = patterns._sources(graph_edges).where("dst = 'n'").collect()
+    assert len(lists) > 3 and sorted(x for r in lists for x in r.sources) == sorted({f"c{i}" for i in range(30)})
