@@ -605,3 +605,27 @@ PARAGRAPH = "<p>This is a paragraph, of the article, with a number of words and
 def test_whole_articles_and_nothing_else(html, want):
     text = PARAGRAPH[3:-4]
     assert html_extract.main_text(re.sub(r"P+(?=<)", lambda m: PARAGRAPH * len(m[0]), html)) == " ".join(text if w == "P" else w for w in want.split())
+
+
+def test_near_dedup_moves_only_listed_texts(spark):
+    rows = docs(spark, [(i, f"text {i}") for i in range(5000)]).select(F.col("doc_id").alias("id"), "text")
+    wanted = spark.range(0, 5000, 100)
+    got = {r.id for r in near_dedup._likely(rows, wanted).collect()}
+    assert {r.id for r in wanted.collect()} <= got and len(got) < 60
+    assert near_dedup._likely(rows, wanted.where("id < 0")).count() == 0
+
+
+def test_near_dedup_aggregates_keys_in_one_shuffle(spark):
+    rows = spark.createDataFrame([(k, i) for i in range(300) for k in (["hot"] if i else ["hot", "once"])], "key string, id long")
+    found = near_dedup._per_key(rows, "key", "id", F.count("*").alias("n"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r.key: (r.n, set(r.salts)) for r in found.collect()}
+    salts = {r.id: r.s for r in spark.range(300).select("id", near_dedup.salt(F.col("id"), near_dedup.HOT).alias("s")).collect()}
+    assert got == {"hot": (300, set(salts.values())), "once": (1, {salts[0]})}
+
+
+def test_near_dedup_moves_no_sets_for_sizes_too_far_apart(spark):
+    same = list(range(near_dedup.K))
+    sigs = spark.createDataFrame([(1, 80, same), (2, 100, same), (3, 101, same)], "id long, n long, sig array<long>")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "a long, b long")
+    assert sorted(map(tuple, near_dedup._colliding(pairs, sigs, 80).collect())) == [(2, 1), (3, 2)]
