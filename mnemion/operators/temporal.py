@@ -15,9 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemion.functions import stats
+from mnemion.sources.staging import stage
 
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
+CELL = 2048  # starts of intervals that meet others in one cell
+PAIRS = 1 << 22  # that may meet in one task, about
 
 
 def time_range(events: DataFrame, start: str, end: str, types: Sequence[str] | None = None) -> DataFrame:
@@ -331,13 +334,31 @@ def hybrid_neighbourhood(graph: DataFrame, similar: DataFrame, vector_weight: fl
 def overlapping(intervals: DataFrame, others: DataFrame, width_s: int) -> DataFrame:
     """(id_a, id_b) of rows (id, lo, hi) of two tables whose intervals, both ends included, overlap: a range join.
 
-    Each interval goes to every bucket of `width_s` that it touches, and a pair is reported by the first bucket of both, so
-    only rows of a bucket meet, in an equi-join that Spark can split.
+    Of two that overlap one starts within the other; so each pair is met once, where a start, in its bucket of `width_s`,
+    meets the intervals that touch the bucket. Few rows make very many pairs: the starts of a bucket are dealt over cells of
+    about CELL, and tasks are as many as the pairs ask for, whatever the bytes.
     """
     width = width_s * SECOND
-    dealt = lambda df, s: df.select(F.col("id").alias(f"id_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"), F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("bucket"))
-    met = dealt(intervals, "a").join(dealt(others, "b"), "bucket").where("lo_a <= hi_b and lo_b <= hi_a")
-    return met.where(F.col("bucket") == F.floor(F.greatest("lo_a", "lo_b") / width)).select("id_a", "id_b")
+    one, other = (stage(df.select("id", "lo", "hi"), "intervals") for df in (intervals, others))
+    within = lambda a, b, met: _starting(a, b, width).where(met)
+    first = within(one, other, F.col("at") >= F.col("lo")).select(F.col("start").alias("id_a"), F.col("id").alias("id_b"))
+    return first.unionByName(within(other, one, F.col("at") > F.col("lo")).select(F.col("id").alias("id_a"), F.col("start").alias("id_b")))
+
+
+def _starting(starts: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """(start, at, end, id, lo, hi): rows of starts, by their id, lo and hi, with the spans that touch the same bucket and don't lie before or behind."""
+    bucket = lambda c: F.floor(F.col(c) / width)
+    a = starts.select(F.col("id").alias("start"), F.col("lo").alias("at"), F.col("hi").alias("end"), bucket("lo").alias("bucket"))
+    b = spans.select("id", "lo", "hi", F.explode(F.sequence(bucket("lo"), bucket("hi"))).alias("bucket"))
+    sizes = a.groupBy("bucket").agg(F.count("*").alias("n")).join(b.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
+    sizes = stage(sizes.select("bucket", "n", "m", (1 + F.floor(F.col("n") / CELL)).cast("int").alias("cells")), "sizes")
+    work = sizes.agg(F.sum(F.col("n") * F.col("m")).alias("pairs"), F.sum("cells").alias("cells")).first()
+    tasks = min(1 + (work.pairs or 0) // PAIRS, work.cells or 1)
+    cells = sizes.select("bucket", "cells")
+    a = a.join(cells, "bucket").withColumn("cell", F.pmod(F.xxhash64("start"), "cells").cast("int")).drop("cells")
+    b = b.join(cells, "bucket").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+    key = ("bucket", "cell")
+    return a.repartition(tasks, *key).join(b.repartition(tasks, *key).hint("merge"), list(key)).where("at <= hi and lo <= end")
 
 
 def rhythm(events: DataFrame) -> DataFrame:

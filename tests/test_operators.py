@@ -335,6 +335,17 @@ def test_overlaps_are_all_pairs_once(spark):
     assert sorted(got) == sorted((i, j) for i, lo, hi in a for j, lo2, hi2 in b if lo <= hi2 and lo2 <= hi)
 
 
+def test_overlaps_are_dealt_by_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(temporal, "CELL", 16)
+    monkeypatch.setattr(temporal, "PAIRS", 1000)
+    rows = [(i, (5 + i % 7) * temporal.SECOND, (4 + i % 11) * temporal.SECOND) for i in range(200)] + [(999, None, 1)]  # some end before they start
+    one, other = rows, [(1000 + i, lo, hi) for i, lo, hi in rows[:90]]
+    found = temporal.overlapping(*(spark.createDataFrame(x, "id long, lo long, hi long") for x in (one, other)), 3600)
+    assert len({r.p for r in found.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 8
+    assert sorted(map(tuple, found.collect())) == sorted((i, j) for i, lo, hi in one[:200] for j, lo2, hi2 in other if lo <= hi2 and lo2 <= hi)
+    assert temporal.overlapping(*(spark.createDataFrame([], "id long, lo long, hi long") for _ in "ab"), 20).count() == 0
+
+
 def test_shared_neighbours_of_a_hub_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUB", 4)
     edges = [(i, 0) for i in range(30)] + [(i, 1 + i % 3) for i in range(30)]
