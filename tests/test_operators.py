@@ -90,6 +90,19 @@ def test_components_of_a_chain_and_a_star(spark):
     assert connected_components(e.limit(0)).count() == 0
 
 
+def test_components_of_stars_take_one_round(spark, monkeypatch):
+    from mnemion.operators import components
+
+    staged = []
+    monkeypatch.setattr(components, "stage", lambda df, name, f=components.stage: (staged.append(name), f(df, name))[1])
+    star = spark.createDataFrame([(i, i % 3) for i in range(3, 200)], "a long, b long")
+    got = {r.id: r.component for r in connected_components(star, distinct=True).collect()}
+    assert got == {i: i % 3 for i in range(200)}
+    assert staged == ["edges", "edges", "edges", "nodes"]
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)] * 2, "a long, b long")
+    assert {r.component for r in connected_components(path).collect()} == {0}
+
+
 def test_label_propagation_is_the_literal_loop(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("e", "f"), ("f", "d"), ("c", "d")]
     near = {}
