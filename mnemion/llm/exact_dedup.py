@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemion.llm.common import LOWER_BYTES, lower_ascii, packed, salt, schema, stage
+from mnemion.llm.common import LOWER_BYTES, lower_ascii, packed, salt, schema, small_batches, stage
 
 CHUNK = 1024  # bytes hashed at once
 COMPARE = 16384  # code points compared at once
 SALTS = 512
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (1103515245, 1566083941)
-SLICE = 1 << 20  # bytes handled by one numpy pass
+SLICE = 1 << 18  # bytes handled by one numpy pass
 
 
 def powers(base: int, prime: int, n: int) -> np.ndarray:
@@ -89,7 +89,7 @@ def fingerprints(texts: list[bytes]) -> list[tuple[int, int]]:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small_batches(batches):
         texts = [(x or "").encode().translate(LOWER_BYTES) for x in b.column("__text").to_pylist()]
         fps = fingerprints(texts)
         yield pa.RecordBatch.from_arrays(

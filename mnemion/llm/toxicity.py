@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemion.llm.common import hashed_sample, schema
+from mnemion.llm.common import hashed_sample, schema, small_batches
 
 SAMPLE_ROWS = 6000  # labelled rows that are learned from, chosen by a hash of their id
 LEAST_TEXTS = 3  # toxic texts that a learned pattern is in
@@ -379,7 +379,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Grammar(known, coefficients)
-        for b in batches:
+        for b in small_batches(batches):
             scores = [g.score(x or "") for x in b.column(1).to_pylist()]
             out = [b.column(0), *(b.column(2 + i) for i in range(len(keep))), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(out, [id_col, *keep, "score", "predicted"])
@@ -395,7 +395,7 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text", least:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Grammar(known, coefficients)
-        for b in batches:
+        for b in small_batches(batches):
             yield b.filter(pa.array([g.score(x or "") < least for x in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ from hashlib import sha256
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -629,3 +630,14 @@ def test_near_dedup_moves_no_sets_for_sizes_too_far_apart(spark):
     sigs = spark.createDataFrame([(1, 80, same), (2, 100, same), (3, 101, same)], "id long, n long, sig array<long>")
     pairs = spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "a long, b long")
     assert sorted(map(tuple, near_dedup._colliding(pairs, sigs, 80).collect())) == [(2, 1), (3, 2)]
+
+
+def test_workers_take_texts_in_small_batches():
+    """What is made of a batch's texts at once is bounded, whatever the size of the batch."""
+    n = 2_000
+    texts = [f"text {i} " * 20 for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts), pa.array(texts)], ["__id", "__text", "text_sha256"])
+    found = list(exact_dedup._fingerprint_batches(iter([batch])))
+    assert max(b.num_rows for b in found) <= 512
+    want = [f << 32 | g for f, g in exact_dedup.fingerprints([x.encode() for x in texts])]
+    assert [x for b in found for x in b.column(1).to_pylist()] == want and [x for b in found for x in b.column(0).to_pylist()] == list(range(n))
