@@ -41,6 +41,38 @@ def test_causal_sentences_by_hand(spark):
     assert {(r.cause, r.effect): r.relation for r in far.collect()}["Outage", "review"] == "TRIGGERS" and {(r.cause, r.effect): r.confidence for r in far.collect()}["launch", "review"] == 0.7
 
 
+def test_attention_between_all_parts_of_a_supplier(spark, tmp_path):
+    """Neither part 2 nor 3 is the least of supplier 7, and they are neighbours."""
+    lines = [(2, 7), (3, 7), (1, 7), (1, 7), (100, 8), (3, 8), (2, 9), (4, 9), (50, 9), (200, 1)]
+    rng = np.random.default_rng(4)
+    vectors = {i: rng.normal(size=5) for i in (1, 2, 3, 4, 100, 200, 300)}
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = lambda x: x / np.linalg.norm(x)
+    own = {i: unit(v) for i, v in vectors.items()}
+    near = {(a, b) for a, s in lines for b, t in lines if s == t and a != b and a in own and b in own}
+    assert (2, 3) in near
+    want = {}
+    for k in (100, 200, 300):
+        q, at = own[k], {k: own[k]}
+        for _ in range(2):
+            inbox = {}
+            for a, b in near:
+                if a in at:
+                    inbox.setdefault(b, []).append((np.exp((at.get(b, own[b]) + q) @ (at[a] + q) / 5**0.5), at[a]))
+            at = at | {b: unit((at.get(b, own[b]) + sum(e * v for e, v in m) / sum(e for e, _ in m)) / 2) for b, m in inbox.items()}
+        want |= {(k, f"p{i}"): round(float(v @ q), 6) for i, v in at.items()}
+    from mnemion.plans import mining
+
+    assert {(r["query"], r.id): round(r.score, 6) for r in mining.graph_attention(spark, str(tmp_path)).collect()} == want
+
+
+def test_attention_in_small_groups(spark, monkeypatch):
+    for name in ("LISTED", "TARGETS", "SOURCES", "AT_ONCE"):
+        monkeypatch.setattr(att, name, 2)
+    test_attention_equals_numpy(spark)
+
+
 def test_attention_equals_numpy(spark):
     rng = np.random.default_rng(1)
     d, n = 6, 20

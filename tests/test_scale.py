@@ -41,6 +41,14 @@ def test_shared_neighbours_dealt_over_tasks(spark, monkeypatch):
     assert new == {(a, b) for a, b in want if a % 3 != b % 3 or 5 in (a, b)}
 
 
+def test_sharing_is_all_pairs_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELL", 3, raising=False)
+    monkeypatch.setattr(graph, "PAIRS", 50, raising=False)
+    edges = [(f"p{i}", "hub") for i in range(20)] + [(f"p{i}", f"s{i % 9}") for i in range(30)] + [("p1", "hub")]
+    found = graph.sharing(spark.createDataFrame(edges, "src string, dst string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted({(a, b) for a, s in edges for b, t in edges if s == t and a != b})
+
+
 def test_labels_in_short_lists(spark, monkeypatch):
     rng = random.Random(6)
     edges = spark.createDataFrame([(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(25)], "src string, dst string")
