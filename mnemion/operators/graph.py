@@ -5,17 +5,25 @@ Paths are grown by one join a hop from the frontier only, with the edges walked
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemion.operators.components import connected_components
 from mnemion.sources.staging import discard, stage
 
 HUB = 10_000  # neighbours of a node beyond which pairs of them are made in several tasks
-MET = 10_000_000  # pairs of one node counted in a task
+MET = 1 << 21  # pairs counted in a task
+SHIFT = 7  # bits of an id that are left out in a block of nodes, to which a list goes out once
+ENTRIES = 1 << 20  # of lists made, or pairs counted, at once
+ROWS = 1024  # of lists that are paired at once
+NODES = 2_000_000  # rows by node, at most, that are sent to all tasks
 NEAR = 4096  # neighbours in a row
 CELL = 2048  # of a node's neighbours that meet all of them in one task
 PAIRS = 1 << 21  # met in one task, about
@@ -127,25 +135,135 @@ def sharing(edges: DataFrame) -> DataFrame:
 def shared_neighbours(edges: DataFrame) -> DataFrame:
     """(a, b, shared, jaccard, adamic): of distinct neighbours of src nodes a < b that have one in common.
 
-    adamic sums 1 / ln(degree) over common neighbours of degree above 1.
+    adamic sums 1 / ln(degree) over common neighbours of degree above 1. A pair is counted where its lists arrive and leaves
+    the task only as a row of the result: no row a pair is shuffled, but by Spark's joins where there are more than NODES src nodes.
     """
-    e = edges.select("src", "dst").distinct()
-    degree = e.groupBy("src").agg(F.count("*").alias("d"))
-    weight = e.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst", "n", (1.0 / F.ln("n")).alias("w"))
-    # A node's neighbours are lists of about HUB, and each neighbour gets the lists: a row an edge and not a row a pair.
-    rows = e.join(weight.withColumn("blocks", F.ceil(F.col("n") / HUB).cast("int")), "dst")
-    lists = rows.groupBy("dst", F.pmod(F.xxhash64("src"), "blocks").cast("int").alias("block")).agg(F.array_sort(F.collect_list("src")).alias("others"))
-    x = rows.select(F.col("src").alias("a"), "dst", "w", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    met = x.join(lists, ["dst", "block"]).select("a", "w", F.filter("others", lambda b: b > F.col("a")).alias("others")).where("size(others) > 0")
-    # A node that meets more than MET others (so they are few) is dealt over tasks by a hash of the other.
-    many = rows.groupBy(F.col("src").alias("a")).agg(F.ceil(F.sum("n") / MET).cast("int").alias("parts")).where("parts > 1")
-    met = met.join(F.broadcast(many), "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    mine = F.when(F.col("parts") == 1, F.col("others")).otherwise(F.filter("others", lambda b: F.pmod(F.xxhash64(b), F.col("parts")) == F.col("part")))
-    # Pairs are counted where the lists arrive, without another shuffle.
-    pairs = met.select("a", "part", "w", mine.alias("others")).repartition("a", "part").select("a", "part", "w", F.explode("others").alias("b"))
-    both = pairs.groupBy("a", "part", "b").agg(F.count("*").alias("shared"), F.sum("w").alias("adamic"))
-    both = both.join(degree.select(F.col("src").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("src").alias("b"), F.col("d").alias("db")), "b")
-    return both.select("a", "b", "shared", (F.col("shared") / (F.col("da") + F.col("db") - F.col("shared"))).alias("jaccard"), "adamic")
+    kind = edges.schema["src"].dataType
+    if not isinstance(kind, T.IntegralType):  # other ids are numbered
+        numbers = stage(edges.select("src").distinct().where("src is not null").withColumn("k", F.monotonically_increasing_id()), "numbers")
+        found = shared_neighbours(edges.join(numbers, "src").select(F.col("k").alias("src"), "dst"))
+        for c in ("a", "b"):
+            found = found.join(_sent(numbers.select(F.col("src").alias(f"{c}_id"), F.col("k").alias(c))), c)
+        return found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "shared", "jaccard", "adamic")
+    e = stage(edges.select(F.col("src").cast("long").alias("src"), "dst").distinct(), "edges")
+    degree = stage(e.groupBy("src").agg(F.count("*").alias("d")), "degrees")
+    ends = e.where("src is not null and dst is not null")
+    hubs = stage(ends.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") > HUB), "hubs")
+    some = not hubs.isEmpty()
+    near = (ends.join(hubs, "dst", "left_anti") if some else ends).groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("near"))
+    near = stage(near.where("size(near) > 1").select("near"), "near")
+    work = near.mapInArrow(_to_blocks(SHIFT, sizes=True), "block long, n long")
+    if some:
+        # The neighbours of a hub are lists of about HUB, which all its blocks of nodes meet.
+        rows = ends.join(hubs.withColumn("lists", F.ceil(F.col("n") / HUB).cast("int")), "dst")
+        lists = rows.groupBy("dst", F.pmod(F.xxhash64("src"), "lists").cast("int").alias("list")).agg(F.array_sort(F.collect_list("src")).alias("others"))
+        mine = rows.groupBy("dst", "n", "lists", F.shiftright("src", SHIFT).alias("block")).agg(F.array_sort(F.collect_list("src")).alias("mine"))
+        mine = mine.withColumn("list", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)))
+        more = mine.join(lists, ["dst", "list"]).select("block", (1.0 / F.ln("n")).alias("w"), "mine", F.filter("others", lambda x: x > F.col("mine")[0]).alias("others")).where("size(others) > 0")
+        work = work.unionByName(more.select("block", (F.size("mine").cast("long") * F.size("others")).alias("n")))
+    else:
+        discard(e)
+    # A block whose nodes meet more than MET others (so they are few) is dealt over tasks by a hash of the other.
+    work = stage(work.groupBy("block").agg(F.sum("n").alias("n")), "work")
+    tasks = 1 + 2 * (work.agg(F.sum("n").alias("n")).first().n or 0) // MET
+    # A list goes out once to each block of nodes that it names, with those (`mine`) and all that come after the first of them.
+    met = near.repartition(1 + tasks // 4).mapInArrow(_to_blocks(SHIFT), "block long, w double, mine array<long>, others array<long>")
+    met = met.unionByName(more) if some else met
+    many = work.select("block", F.ceil(F.col("n") / MET).cast("int").alias("parts")).where("parts > 1")
+    met = met.join(F.broadcast(many), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    others = F.when(F.col("parts") == 1, F.col("others")).otherwise(F.filter("others", lambda b: F.pmod(F.xxhash64(b), F.col("parts")) == F.col("part")))
+    met = met.select("block", "part", "w", "mine", others.alias("others")).where("size(others) > 0")
+    both = met.repartition(tasks, "block", "part").sortWithinPartitions("block", "part").mapInArrow(_counted, "a long, b long, shared long, adamic double")
+    both = both.join(_sent(degree.select(F.col("src").alias("a"), F.col("d").alias("da"))), "a").join(_sent(degree.select(F.col("src").alias("b"), F.col("d").alias("db"))), "b")
+    return both.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "shared", (F.col("shared") / (F.col("da") + F.col("db") - F.col("shared"))).alias("jaccard"), "adamic")
+
+
+def _to_blocks(shift: int, sizes: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of sorted lists (near) the rows (block, w, mine, others) that go to the blocks of nodes, or the numbers (block, n) of what they meet there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            near = b.column(0)
+            flat, counts = near.flatten().to_numpy(), pc.list_value_length(near).to_numpy()
+            ends = np.cumsum(counts)
+            blocks, end = flat >> shift, np.repeat(ends, counts)
+            new = np.concatenate(([True], blocks[1:] != blocks[:-1]))
+            new[ends[:-1]] = True
+            starts = np.flatnonzero(new)
+            stops = np.append(starts[1:], len(flat))
+            after = end[starts] - starts - 1
+            starts, stops, after = starts[after > 0], stops[after > 0], after[after > 0]
+            if sizes:
+                found, at = np.unique(blocks[starts], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(at, (stops - starts) * after).astype(np.int64))], ["block", "n"])
+                continue
+            w = 1.0 / np.log(np.repeat(counts, counts)[starts])
+            total = np.cumsum(after)
+            cuts = np.searchsorted(total, np.arange(0, total[-1], ENTRIES)[1:]) if len(total) else []
+            for some in np.split(np.arange(len(starts)), cuts):
+                if len(some):
+                    mine, others = (_slices(flat, x, n) for x, n in ((starts[some], (stops - starts)[some]), (starts[some] + 1, after[some])))
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks[starts[some]]), pa.array(w[some]), mine, others], ["block", "w", "mine", "others"])
+
+    return run
+
+
+def _slices(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    """Lists of so many values from each start."""
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    at = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat[at]))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, shared, adamic) of rows (block, part, w, mine, others) in the order of block and part, which alone hold a pair."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    last, n = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        block, part, w = (b.column(i).to_numpy() for i in range(3))
+        mine, others = b.column(3), b.column(4)
+        k, m = pc.list_value_length(mine).to_numpy().astype(np.int64), pc.list_value_length(others).to_numpy().astype(np.int64)
+        every, rest = mine.flatten().to_numpy(), others.flatten().to_numpy()
+        ends, first = np.cumsum(k), np.cumsum(m) - m
+        new = np.flatnonzero((block[1:] != block[:-1]) | (part[1:] != part[:-1])) + 1
+        marks = np.concatenate((new, np.arange(0, b.num_rows, ROWS)[1:], [0, b.num_rows])).astype(np.int64)
+        groups = set(new.tolist())
+        if (block[0], part[0]) != last:
+            groups.add(0)
+        marks = np.unique(marks)
+        for lo, hi in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):
+            if lo in groups and n >= ENTRIES:
+                yield from _sums(held)
+                held, n = [], 0
+            rows = np.repeat(np.arange(lo, hi), k[lo:hi])  # of each of mine
+            row = np.repeat(rows, m[rows])
+            a = np.repeat(every[ends[lo] - k[lo] : ends[hi - 1]], m[rows])
+            c = rest[np.arange(len(row)) + np.repeat(first[rows] - np.cumsum(m[rows]) + m[rows], m[rows])]
+            later = c > a
+            held.append((a[later], c[later], w[row[later]]))
+            n += int(later.sum())
+        last = (block[-1], part[-1])
+    if held:
+        yield from _sums(held)
+
+
+def _sums(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    a, b, w = (np.concatenate(x) for x in zip(*held, strict=True))
+    (left, i), (right, j) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+    keys, at = np.unique(i * max(1, len(right)) + j, return_inverse=True)
+    found = [left[keys // max(1, len(right))], right[keys % max(1, len(right))], np.bincount(at, minlength=len(keys)).astype(np.int64), np.bincount(at, w, len(keys))]
+    whole = pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "shared", "adamic"])
+    for start in range(0, whole.num_rows, 1 << 16):
+        yield whole.slice(start, 1 << 16)
+
+
+def _sent(nodes: DataFrame) -> DataFrame:
+    """A staged table with a row a node, to be joined to pairs: sent to all tasks up to NODES rows, so that pairs stay where they are."""
+    return F.broadcast(nodes) if nodes.count() <= NODES else nodes
 
 
 def predict_links(scores: DataFrame, linked: DataFrame | None = None, weights: tuple[float, float, float] = (1 / 3, 1 / 3, 1 / 3), groups: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from math import log
 import numpy as np
 
 from mnemion.operators import communities, graph, knowledge, patterns, relations, retrieval
+from mnemion.sources.staging import setting
 
 
 def test_rules_in_short_lists(spark, monkeypatch):
@@ -41,6 +42,25 @@ def test_shared_neighbours_dealt_over_tasks(spark, monkeypatch):
     assert new == {(a, b) for a, b in want if a % 3 != b % 3 or 5 in (a, b)}
 
 
+def test_shared_neighbours_shuffle_no_pairs(spark, monkeypatch):
+    """Lists go to blocks of nodes, pairs are counted there and their degrees are sent to them; ids may be negative, far apart or names."""
+    monkeypatch.setattr(graph, "MET", 40)
+    rng = random.Random(8)
+    near = {a * 10**15: {rng.randrange(30) for _ in range(rng.randrange(1, 9))} for a in range(-6, 7)} | {a: {rng.randrange(30) for _ in range(6)} for a in range(1, 90, 3)}
+    n = {m: sum(m in s for s in near.values()) for m in range(30)}
+    want = {(a, b): (len(near[a] & near[b]), round(len(near[a] & near[b]) / len(near[a] | near[b]), 9), round(sum(1 / log(n[m]) for m in near[a] & near[b]), 6)) for a, b in combinations(sorted(near), 2) if near[a] & near[b]}
+    edges = spark.createDataFrame([(a, m) for a, s in near.items() for m in s] + [(3, None), (None, 4)], "src long, dst long").where("src is null or dst is not null")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        found = graph.shared_neighbours(edges)
+        assert not re.search(r"hashpartitioning\([ab]#", found._jdf.queryExecution().executedPlan().toString())
+        rows = lambda df: {(r.a, r.b): (r.shared, round(r.jaccard, 9), round(r.adamic, 6)) for r in df.collect()}
+        assert rows(found) == want
+    named = graph.shared_neighbours(edges.selectExpr("concat('n', src) as src", "dst"))
+    assert rows(named) == {tuple(sorted((f"n{a}", f"n{b}"))): v for (a, b), v in want.items()}
+    monkeypatch.setattr(graph, "NODES", 3, raising=False)
+    assert rows(graph.shared_neighbours(edges)) == want
+
+
 def test_sharing_is_all_pairs_of_a_hub(spark, monkeypatch):
     monkeypatch.setattr(graph, "CELL", 3, raising=False)
     monkeypatch.setattr(graph, "PAIRS", 50, raising=False)
