@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemion.operators.components import connected_components
-from mnemion.sources.staging import discard, stage
+from mnemion.sources.staging import CLEANUP, discard, setting, stage
 
 HUB = 10_000  # neighbours of a node beyond which pairs of them are made in several tasks
 MET = 1 << 21  # pairs counted in a task
@@ -269,15 +269,16 @@ def _sent(nodes: DataFrame) -> DataFrame:
 def predict_links(scores: DataFrame, linked: DataFrame | None = None, weights: tuple[float, float, float] = (1 / 3, 1 / 3, 1 / 3), groups: DataFrame | None = None) -> DataFrame:
     """(a, b, score) of pairs not linked yet: the mean of common neighbours (of 10), Jaccard and Adamic-Adar (of the largest).
 
-    linked has pairs (a, b); groups (id, group) links all members of a group without a row for each of their pairs.
+    linked has pairs (a, b); groups (id, group) links all members of a group without a row for each of their pairs. Scores are
+    read twice, first for the largest Adamic-Adar, as pairs are many more than what they are made from: none are written down.
     """
     new = scores if linked is None else scores.join(linked, ["a", "b"], "left_anti")
     if groups is not None:
-        of = groups.groupBy("id").agg(F.collect_set("group").alias("g"))
-        new = new.join(of.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b", "left")
+        of = stage(groups.groupBy("id").agg(F.collect_set("group").alias("g")), "groups")
+        new = new.join(_sent(of.select(F.col("id").alias("a"), F.col("g").alias("ga"))), "a", "left").join(_sent(of.select(F.col("id").alias("b"), F.col("g").alias("gb"))), "b", "left")
         new = new.where(~F.coalesce(F.arrays_overlap("ga", "gb"), F.lit(False)))
-    new = stage(new.select("a", "b", "shared", "jaccard", "adamic"), "new-links")
-    top = new.agg(F.max("adamic").alias("top")).first().top or 1.0
+    with setting(scores.sparkSession, CLEANUP, "true"):
+        top = new.agg(F.max("adamic").alias("top")).first().top or 1.0
     parts = (F.least(F.lit(1.0), F.col("shared") / 10), F.col("jaccard"), F.col("adamic") / max(top, 1.0))
     return new.select("a", "b", (sum(w * p for w, p in zip(weights, parts, strict=True)) / sum(weights)).alias("score"))
 

@@ -61,6 +61,18 @@ def test_shared_neighbours_shuffle_no_pairs(spark, monkeypatch):
     assert rows(graph.shared_neighbours(edges)) == want
 
 
+def test_predicted_links_write_no_pairs(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "stage", lambda df, name, put=graph.stage: written.append(name) or put(df, name))
+    scores = spark.createDataFrame([(1, 2, 3, 0.5, 4.0), (1, 3, 20, 0.2, 2.0), (2, 3, 1, 0.1, 1.0), (2, 4, 5, 0.25, 0.5)], "a long, b long, shared long, jaccard double, adamic double")
+    groups = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (2, 8), (3, None)], "id long, group long")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        found = graph.predict_links(scores, groups=groups)
+        assert not re.search(r"hashpartitioning\([ab]#", found._jdf.queryExecution().executedPlan().toString())
+        assert {(r.a, r.b): round(r.score, 9) for r in found.collect()} == {(1, 3): round((1 + 0.2 + 1) / 3, 9), (2, 4): round((0.5 + 0.25 + 0.25) / 3, 9)}
+    assert written == ["groups"]
+
+
 def test_sharing_is_all_pairs_of_a_hub(spark, monkeypatch):
     monkeypatch.setattr(graph, "CELL", 3, raising=False)
     monkeypatch.setattr(graph, "PAIRS", 50, raising=False)
