@@ -19,7 +19,7 @@ from mnemion.sources.staging import stage
 
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
-CELL = 2048  # starts of intervals that meet others in one cell
+CELL = 2048  # starts of intervals, and intervals, that meet in one cell
 PAIRS = 1 << 22  # that may meet in one task, about
 
 
@@ -335,8 +335,9 @@ def overlapping(intervals: DataFrame, others: DataFrame, width_s: int) -> DataFr
     """(id_a, id_b) of rows (id, lo, hi) of two tables whose intervals, both ends included, overlap: a range join.
 
     Of two that overlap one starts within the other; so each pair is met once, where a start, in its bucket of `width_s`,
-    meets the intervals that touch the bucket. Few rows make very many pairs: the starts of a bucket are dealt over cells of
-    about CELL, and tasks are as many as the pairs ask for, whatever the bytes.
+    meets the intervals that touch the bucket. Few rows make very many pairs: the starts of a bucket and the intervals that
+    touch it are dealt over cells of about CELL of either, and tasks are as many as the pairs ask for, whatever the bytes. So
+    a task holds few rows of a bucket, however many it has, and the pairs that it writes, in order of time, name few ids.
     """
     width = width_s * SECOND
     one, other = (stage(df.select("id", "lo", "hi"), "intervals") for df in (intervals, others))
@@ -351,14 +352,17 @@ def _starting(starts: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     a = starts.select(F.col("id").alias("start"), F.col("lo").alias("at"), F.col("hi").alias("end"), bucket("lo").alias("bucket"))
     b = spans.select("id", "lo", "hi", F.explode(F.sequence(bucket("lo"), bucket("hi"))).alias("bucket"))
     sizes = a.groupBy("bucket").agg(F.count("*").alias("n")).join(b.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
-    sizes = stage(sizes.select("bucket", "n", "m", (1 + F.floor(F.col("n") / CELL)).cast("int").alias("cells")), "sizes")
-    work = sizes.agg(F.sum(F.col("n") * F.col("m")).alias("pairs"), F.sum("cells").alias("cells")).first()
+    sizes = stage(sizes.select("bucket", "n", "m", *[(1 + F.floor(F.col(c) / CELL)).cast("int").alias(k) for c, k in (("n", "cells"), ("m", "parts"))]), "sizes")
+    work = sizes.agg(F.sum(F.col("n") * F.col("m")).alias("pairs"), F.sum(F.col("cells").cast("long") * F.col("parts")).alias("cells")).first()
     tasks = min(1 + (work.pairs or 0) // PAIRS, work.cells or 1)
-    cells = sizes.select("bucket", "cells")
-    a = a.join(cells, "bucket").withColumn("cell", F.pmod(F.xxhash64("start"), "cells").cast("int")).drop("cells")
-    b = b.join(cells, "bucket").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
-    key = ("bucket", "cell")
-    return a.repartition(tasks, *key).join(b.repartition(tasks, *key).hint("merge"), list(key)).where("at <= hi and lo <= end")
+    cells = sizes.select("bucket", "cells", "parts")
+    mine = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ("bucket", "cell", "part")
+    a = a.join(cells, "bucket").select("bucket", mine("start", "cells").alias("cell"), every("parts").alias("part"), "start", "at", "end")
+    b = b.join(cells, "bucket").select("bucket", every("cells").alias("cell"), mine("id", "parts").alias("part"), "id", "lo", "hi")
+    a, b = (df.repartition(tasks, *key).sortWithinPartitions(*key, by) for df, by in ((a, "at"), (b, "lo")))
+    return a.join(b.hint("merge"), list(key)).where("at <= hi and lo <= end")
 
 
 def rhythm(events: DataFrame) -> DataFrame:

@@ -359,6 +359,16 @@ def test_overlaps_are_dealt_by_their_pairs(spark, monkeypatch):
     assert temporal.overlapping(*(spark.createDataFrame([], "id long, lo long, hi long") for _ in "ab"), 20).count() == 0
 
 
+def test_overlaps_of_a_bucket_are_cells_of_both_sides(spark, monkeypatch):
+    """Neither the starts nor the intervals of a crowded bucket are all in one task."""
+    monkeypatch.setattr(temporal, "CELL", 16)
+    monkeypatch.setattr(temporal, "PAIRS", 100)
+    one, other = [(i, 5, 6 + i % 3) for i in range(20)], [(1000 + i, 4, 5 + i % 3) for i in range(300)]
+    rows = temporal.overlapping(*(spark.createDataFrame(x, "id long, lo long, hi long") for x in (one, other)), 3600).select("id_a", "id_b", F.spark_partition_id().alias("p")).collect()
+    assert sorted((r.id_a, r.id_b) for r in rows) == [(i, j) for i, *_ in one for j, *_ in other]
+    assert max(len({r.id_b for r in rows if r.p == p and r.id_a == a}) for p, a in {(r.p, r.id_a) for r in rows}) < 200
+
+
 def test_shared_neighbours_of_a_hub_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUB", 4)
     edges = [(i, 0) for i in range(30)] + [(i, 1 + i % 3) for i in range(30)]
