@@ -625,6 +625,26 @@ def test_near_dedup_aggregates_keys_in_one_shuffle(spark):
     assert got == {"hot": (300, set(salts.values())), "once": (1, {salts[0]})}
 
 
+def test_near_dedup_moves_a_text_once_for_many_pairs(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    texts = spark.createDataFrame([(i, " ".join([*words, f"x{i}"][i % 3 :]) if i % 50 else f"other text {i}") for i in range(400)], "id long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(3, 400) for b in (1, 2)] + [(399, b) for b in range(3, 100)], "a long, b long")
+    sets = {r.id: set(zip(r.text.split(), r.text.split()[1:])) for r in texts.collect()}
+    want = {(a, b) for a, b in map(tuple, pairs.collect()) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in near_dedup._similar(pairs, texts, 2, 80).collect()} == want and len(want) > 500
+
+    def sent(words, percent):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(2), pa.array([x is not None for x in b.column(3).to_pylist()]).cast(pa.int64())], ["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_compared", sent)
+    rows = [r.b for r in near_dedup._similar(pairs, texts, 2, 80).collect()]
+    assert rows.count(1) == 397 + 3 and rows.count(0) < 150  # a document once for 32 partners; partners once a place, not once a pair
+
+
 def test_near_dedup_moves_no_sets_for_sizes_too_far_apart(spark):
     same = list(range(near_dedup.K))
     sigs = spark.createDataFrame([(1, 80, same), (2, 100, same), (3, 101, same)], "id long, n long, sig array<long>")
